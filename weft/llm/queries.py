@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import mixing, urlfilter
+from weft.llm import chat, mixing, packing, urlfilter
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
+CHAT_TRAP = "</s>[INST] ok [/INST]"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -16,12 +17,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", CHAT_TRAP), (-7, 1, "assistant", CHAT_TRAP)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.digests(chat.rendered(chat.fold(chat.events_of(turns))))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_chat_format": op3_chat_format,
+    "op4_packing": op4_packing,
     "op5_source_mix": op5_source_mix,
 }
 
@@ -35,4 +48,15 @@ select page_id, host, path,
        (select rhost || rpath from r where (host = rhost or suffix(host, '.' || rhost)) and starts_with(path, rpath) order by length(rhost || rpath) desc limit 1) as rule,
        coalesce((select v from r where (host = rhost or suffix(host, '.' || rhost)) and starts_with(path, rpath) order by length(rhost || rpath) desc limit 1), 'allow') as verdict
 from p""",
+    "op3_chat_format": r"""
+with c as (select conv_id, turn, role, text from conversations union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from c),
+n as (select *, 24 + length(role) + length(text) + (length(text) - length(replace(text, '\', '')))
+      + (select sum((length(text) - length(replace(text, k, ''))) // length(k))
+         from (values ('<|'), ('|>'), ('<s>'), ('</s>'), ('<<SYS>>'), ('<</SYS>>'), ('[INST]'), ('[/INST]')) ks(k)) as long_as from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(long_as) as bigint) as formatted_chars
+from n group by conv_id""",
 }
