@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """The batch in slices with about `limit` bytes of `column` each, one row at least: long texts don't pile up in memory."""
     i = batch.schema.get_field_index(column)
-    lengths = pa.compute.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False)
     cut = np.cumsum(lengths) // limit
     edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(lengths)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import chat, mixing, packing, urlfilter
+from weft.llm import chat, minhash, mixing, packing, quality, urlfilter
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -12,6 +12,10 @@ CHAT_TRAP = "</s>[INST] ok [/INST]"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -31,11 +35,17 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_source_mix": op5_source_mix,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL = {
@@ -59,4 +69,17 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(long_as) as bigint) as formatted_chars
 from n group by conv_id""",
+    "op1_minhash_dedup": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+             else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+c as (select min(doc_id) as rep, sh, len(sh) as n from s where len(sh) > 0 group by sh),
+e as (select rep, n, unnest(sh) as g from c),
+p as (select a.rep as a, b.rep as b from e a join e b on a.g = b.g and a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l as (select a, b from p union select b, a from p),
+r as (select rep as node, rep as comp from c union select l.b, r.comp from r join l on r.node = l.a where r.comp < l.b),
+k as (select node, min(comp) as comp from r group by node),
+m as (select c.sh, k.comp from c join k on c.rep = k.node)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, coalesce(m.comp, s.doc_id) as component_id, coalesce(m.comp, s.doc_id) = s.doc_id as kept
+from s left join m on s.sh = m.sh""",
 }
