@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import SPACE, written
 
 #: Whole number of words in a block, of words for which a shard is made, and of times that a document may be taken.
-BLOCK_WORDS, SHARD_WORDS, MAX_EPOCHS = 64, 1 << 24, 3
+BLOCK_WORDS, SHARD_WORDS, MAX_EPOCHS = 64, 1 << 22, 3
 
 
 def word_count(text: Column) -> Column:
@@ -93,7 +93,8 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     placed = rows.filter("size > 0").withColumn("_w_start", F.sum("size").over(here.orderBy("_w_hash", "_w_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = written(placed.withColumn("_w_row", F.row_number().over(here.orderBy("_w_hash", "_w_id"))))
     covered = placed.select("source", "_w_shard", "_w_row", "_w_start", "size", F.explode(F.expr(f"sequence(_w_start div {block_words}, (_w_start + size - 1) div {block_words})")).alias("_w_b"))
-    met = covered.join(blocks, F.expr("source <=> _w_s and _w_shard = _w_h and _w_b = _w_block"))
+    # blocks grow with the words, which their estimated size doesn't show: never broadcast
+    met = covered.join(blocks.hint("merge"), F.expr("source <=> _w_s and _w_shard = _w_h and _w_b = _w_block"))
     overlap = F.least(F.col("_w_start") + F.col("size"), F.col("_w_block") * block_words + F.col("_w_part")) - F.greatest(F.col("_w_start"), F.col("_w_block") * block_words)
     some = met.groupBy("source", "_w_shard", "_w_row").agg(F.sum(F.greatest(F.lit(0), overlap)).alias("_w_some"))
     some = some.select(F.col("source").alias("_w_s"), F.col("_w_shard").alias("_w_h"), F.col("_w_row").alias("_w_r"), "_w_some")
