@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import chat, minhash, mixing, packing, quality, urlfilter
+from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, quality, urlfilter
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -39,6 +40,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -46,6 +55,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_source_mix": op5_source_mix,
     "op8_quality": op8_quality,
+    "op9_nearest": op9_nearest,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
