@@ -36,6 +36,16 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Key sets up to this size are broadcast to a semi-join, larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def having(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` is in keys (one column of longs, written); wide rows aren't shuffled while the keys are few."""
+    few = keys.count() * 32 <= BROADCAST_BYTES
+    return df.join(F.broadcast(keys) if few else keys, column, "left_semi")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected `edges` (a, b): (node, component), component the smallest reachable node.
 

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import by_group, components, mix, shingle_hashes, slices, word_hashes, written
+from weft.llm.common import by_group, components, having, mix, shingle_hashes, slices, word_hashes, written
 
 #: A pair at similarity 0.75 meets in none of the 40 bands of 5 coordinates with probability 2e-5, one at 0.8 with 1e-7.
 BANDS, ROWS, WORDS = 40, 5, 5
 UNIVERSE = 1 << 20
-#: Residual groups are compared in blocks of so many documents.
-BLOCK = 1024
+#: Residual groups are compared in blocks of so many documents, after so many rounds of comparing with one member.
+BLOCK, ROUNDS = 1024, 4
+#: A pair goes on to its full sets unless its signatures agree in so many standard deviations less than the similarity asks for.
+DEVIATIONS = 5.5
 
 
 @functools.lru_cache(2)
@@ -71,7 +73,6 @@ def _sets(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _confirm(top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, held = None, None
     for batch in batches:
         good = []
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
@@ -86,9 +87,17 @@ def _confirm(top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, top: int, of: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose full sets have a Jaccard similarity of at least top / of."""
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+def _agreeing(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("low_a", "low_b"))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= least))
+
+
+def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, least: int, top: int, of: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose full sets have a Jaccard similarity of at least top / of; signatures that agree in fewer than `least` places spare their sets the way."""
+    near = pairs.join(signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("low_a")), "a").join(signs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("low").alias("low_b")), "b")
+    near = near.filter(of * F.least("n_a", "n_b") >= top * F.greatest("n_a", "n_b")).select("a", "b", "low_a", "low_b").mapInArrow(functools.partial(_agreeing, least), "a long, b long").distinct()
+    met = near.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return met.select("a", "b", "set_a", "set_b").mapInArrow(functools.partial(_confirm, top, of), "a long, b long")
 
 
@@ -121,9 +130,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     a null id stays by itself, with a null component, and is kept.
 
     Equal sets meet by digest first, so only one row of a class of copies goes on. In each band's bucket all members are
-    compared with the smallest one, on full sets, and components formed. What then remains are buckets that hold several
-    components: their members are compared across components by signature, in blocks of BLOCK rows spread over tasks,
-    and the likely pairs on full sets; so no pair of a bucket is left out, nor are all of them made.
+    compared with one of them, on full sets, and components formed; buckets that hold several components are compared with other members,
+    in ROUNDS rounds, of which each joins most of what is left. What then remains in several components is
+    compared across them by signature, in blocks of BLOCK rows spread over tasks, and the likely pairs on full
+    sets; so no pair of a bucket is left out, nor are all of them made.
     """
     kind = documents.schema[id_column].dataType.simpleString()
     given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -132,31 +142,29 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     first = written(named.groupBy("digest").agg(F.min("id").alias("id")))
     copies = named.select("digest", F.col("id").alias("b")).distinct().join(first.withColumnRenamed("id", "a"), "digest").filter("a <> b").select("a", "b")
     # the rows that stand for a class: by digest and id, so a large class of copies isn't one key
-    single = named.join(first, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
-    spread = written(single.select("id", "n", F.explode("keys").alias("key")))
-    shared = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
-    hits = written(spread.join(shared, "key").select("key", "id", "hub"))
-    pairs = hits.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(given.join(wanted, "id", "left_semi").mapInArrow(functools.partial(_sets, words), "id long, set binary"))
-    links = written(confirmed(pairs, sets, top, of))
-    parts = written(components(links))
-    # buckets with several components
-    placed = hits.join(parts, hits["id"] == parts["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("members")).filter("l <> h")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = written(placed.join(mixed.select("key", blocks.alias("blocks")), "key"))
-    rest = rest.join(single.select("id", "low").dropDuplicates(["id", "low"]), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", "id", "component", "low", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    coordinates = bands * rows
-    least = int(coordinates * top / of - 7 * (coordinates * top / of * (1 - top / of)) ** 0.5)
-    ordered = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    likely = written(ordered.mapInArrow(functools.partial(_likely, least), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct().join(wanted, "id", "left_anti")
-    sets = sets.union(given.join(more, "id", "left_semi").mapInArrow(functools.partial(_sets, words), "id long, set binary"))
-    every = links.union(confirmed(likely, sets, top, of)).union(copies)
-    parts = written(components(every))
+    single = written(named.join(first, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"]).drop("digest"))
+    spread = single.select("id", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("id").alias("l"), F.max("id").alias("h")).filter("l <> h").select("key")
+    hits = written(spread.join(shared, "key"))
+    wanted = written(hits.select("id").distinct())
+    signs = having(single.select("id", "n", "low"), wanted, "id")
+    sets = written(having(given, wanted, "id").mapInArrow(functools.partial(_sets, words), "id long, set binary"))
+    coordinates, share = bands * rows, top / of
+    least = int(coordinates * share - DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5)
+    links, parts = None, hits.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    for turn in range(ROUNDS + 1):
+        placed = written(hits.join(parts, hits["id"] == parts["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id", "component")).alias("hub")).filter("l <> h")
+        if turn < ROUNDS:
+            pairs = placed.join(mixed.select("key", "hub"), "key").filter("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        else:
+            rest = placed.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key").join(signs.select("id", "low"), "id")
+            rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+            rest = rest.select("key", "id", "component", "low", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+            pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(functools.partial(_likely, least), "a long, b long").distinct()
+        more = confirmed(pairs, signs, sets, least, top, of)
+        links = written(links.union(more) if links is not None else more)
+        parts = written(components(links.union(copies) if turn == ROUNDS else links))
     out = signed.select("id", "n").join(parts, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").cast(kind).alias(id_column), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
