@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, pii, quality, urlfilter
+from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -40,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_source_mix": op5_source_mix,
     "op6_pii": op6_pii,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_embedding_dedup": op10_embedding_dedup,
