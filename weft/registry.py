@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.catalog import graph
+from weft.catalog import graph, relational
 
-MODULES = (graph,)
+MODULES = (graph, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
