@@ -24,7 +24,7 @@ def chromosome(location: Column) -> Column:
 
 def aliases(*lists: Column, canonical: Column) -> Column:
     """Pipe-separated lists as one array in order, without blanks, repeats and the canonical name."""
-    parts = F.transform(F.split(F.concat_ws("|", *lists), r"\|"), F.trim)
+    parts = F.transform(F.split(F.concat_ws("|", *lists), r"\|"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: (x != "") & (x != canonical)))
 
 
@@ -61,13 +61,13 @@ def traits(names: Column, uris: Column) -> Column:
 
     One URI keeps a bare comma in its name; a name that is missing, blank or a number gives way to the id.
     """
-    ids = F.transform(F.filter(F.transform(F.split(F.coalesce(uris, F.lit("")), ","), F.trim), lambda u: u != ""), lambda u: F.regexp_replace(u, r"^.*/", ""))
-    parts = F.when(F.size(ids) == 1, F.array(F.trim(F.coalesce(names, F.lit(""))))).otherwise(F.transform(F.split(F.coalesce(names, F.lit("")), ", "), F.trim))
+    ids = F.transform(F.filter(F.transform(F.split(F.coalesce(uris, F.lit("")), ","), lambda x: F.trim(x)), lambda u: u != ""), lambda u: F.regexp_replace(u, r"^.*/", ""))
+    parts = F.when(F.size(ids) == 1, F.array(F.trim(F.coalesce(names, F.lit(""))))).otherwise(F.transform(F.split(F.coalesce(names, F.lit("")), ", "), lambda x: F.trim(x)))
     return F.transform(ids, lambda i, k: F.struct(i.alias("id"), F.when(F.coalesce(F.get(parts, k), F.lit("")).rlike(r"^$|^[0-9.]+$"), i).otherwise(F.get(parts, k)).alias("name")))
 
 
 def genes(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,]| - "), F.trim), lambda g: g != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,]| - "), lambda x: F.trim(x)), lambda g: g != "")
 
 
 def first_value(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.catalog import graph, relational
+from weft.catalog import graph, relational, retrieval
 
-MODULES = (graph, relational)
+MODULES = (graph, relational, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
