@@ -17,7 +17,7 @@ from weft.llm.common import by_group, components, having, mix, shingle_hashes, s
 BANDS, ROWS, WORDS = 40, 5, 5
 UNIVERSE = 1 << 20
 #: Residual groups are compared in blocks of so many documents, after so many rounds of comparing with one member.
-BLOCK, ROUNDS = 1024, 4
+BLOCK, ROUNDS = 1024, 2
 #: A pair goes on to its full sets unless its signatures agree in so many standard deviations less than the similarity asks for.
 DEVIATIONS = 5.5
 
@@ -101,22 +101,45 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, least: int, t
     return met.select("a", "b", "set_a", "set_b").mapInArrow(functools.partial(_confirm, top, of), "a long, b long")
 
 
-def _likely(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group, of its two blocks or in one, of different components whose signatures agree in `least` places."""
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.binary())], ["id", "short"])
+
+
+def _likely(least: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group, of its two blocks or in one, that lie in different components and whose shortened sets are similar, give or take what shortening may change.
+
+    A pair that meets in several buckets is looked at in the first one only; what isn't similar never leaves the task.
+    """
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        if of * min(len(a), len(b)) < top * max(len(a), len(b)) - 4 * of:
+            return False
+        i = np.searchsorted(a, b)
+        i[i == len(a)] = 0
+        both = int(np.count_nonzero(a[i] == b)) + 2
+        return of * both >= top * (len(a) + len(b) - both)
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, part = group.column("id").to_numpy(), group.column("component").to_numpy()
-        block = group.column("block").to_numpy()
-        low = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("low")])
-        one = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        left = np.arange(len(ids)) if one else np.flatnonzero(block == group.column("i")[0].as_py())
-        right = left if one else np.flatnonzero(block == group.column("j")[0].as_py())
+        ids, part, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        if len(ids) < 2 or (part == part[0]).all():
+            return
+        low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("short")]
+        key, first, second = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        found = []
         for i in left:
-            near = np.count_nonzero(low[right] == low[i], axis=1) >= least
-            other = right[near & (part[right] != part[i]) & ((ids[right] > ids[i]) | (not one))]
-            if len(other):
-                a, b = np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            other = right[(part[right] != part[i]) & ((ids[right] > ids[i]) | (first != second))]
+            other = other[np.count_nonzero(low[other] == low[i], axis=1) >= least]
+            met = keys[other] == keys[i]
+            other = other[keys[i][met.argmax(1)] == key] if len(other) else other
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other.tolist() if alike(sets[i], sets[j])]
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return by_group(batches, ["key", "i", "j"], work)
 
@@ -131,9 +154,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
 
     Equal sets meet by digest first, so only one row of a class of copies goes on. In each band's bucket all members are
     compared with one of them, on full sets, and components formed; buckets that hold several components are compared with other members,
-    in ROUNDS rounds, of which each joins most of what is left. What then remains in several components is
-    compared across them by signature, in blocks of BLOCK rows spread over tasks, and the likely pairs on full
-    sets; so no pair of a bucket is left out, nor are all of them made.
+    in ROUNDS rounds, which join most of what belongs together. Members of what remains in several components are
+    compared across them, in blocks of BLOCK rows spread over tasks, by signature and by sets of shortened hashes; only pairs that
+    are similar there leave a task, to be confirmed on full sets. So no pair of a bucket is left out, nor are all of them made.
     """
     kind = documents.schema[id_column].dataType.simpleString()
     given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -158,10 +181,13 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
         if turn < ROUNDS:
             pairs = placed.join(mixed.select("key", "hub"), "key").filter("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         else:
-            rest = placed.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key").join(signs.select("id", "low"), "id")
+            rest = placed.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
+            kept = written(rest.select("id").distinct())
+            short = having(sets, kept, "id").mapInArrow(_shortened, "id long, short binary")
+            full = having(single.select("id", "low", "keys"), kept, "id").join(short, "id")
             rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-            rest = rest.select("key", "id", "component", "low", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-            pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(functools.partial(_likely, least), "a long, b long").distinct()
+            rest = rest.select("key", "id", "component", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(full, "id").select("key", "i", "j", "block", "id", "component", "low", "keys", "short")
+            pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(functools.partial(_likely, least, top, of), "a long, b long").distinct()
         more = confirmed(pairs, signs, sets, least, top, of)
         links = written(links.union(more) if links is not None else more)
         parts = written(components(links.union(copies) if turn == ROUNDS else links))
