@@ -14,7 +14,7 @@ from weft.llm.common import shingle_hashes, slices, word_hashes, written
 
 #: Statistics of a text, in the order of the feature vector.
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "stops", "pipes", "marks", "distinct", "top", "repeats", "shingles", "lines", "same_lines", "entropy")
-#: Part of the pooled covariance in each class's, and of the mean variance on the diagonal.
+#: Part of the pooled covariance in each class's, and of the identity in that.
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.1, 0.01
 
 
@@ -103,8 +103,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def discriminant(moments: np.ndarray, pooled: float = SHRINK_POOLED, diagonal: float = SHRINK_DIAGONAL) -> dict[str, np.ndarray | float]:
     """Means, inverse Cholesky factors and log-determinants of both classes from their summed moments.
 
-    A class's covariance is shrunk towards the pooled one and that towards its diagonal's mean, on features scaled to unit
-    variance. A class without rows takes the other's moments, none at all gives a score of the prior.
+    On features scaled to unit pooled variance, a class's covariance is shrunk towards the pooled one and then towards the
+    identity. A class without rows takes the other's moments, none at all gives a score of the prior.
     """
     d = len(FEATURES)
     n = moments[:, 0]
@@ -123,7 +123,7 @@ def discriminant(moments: np.ndarray, pooled: float = SHRINK_POOLED, diagonal: f
     white, logdet = [], []
     for k in (0, 1):
         s = ((1 - pooled) * cov[k] + pooled * both) / np.outer(scale, scale)
-        s = (1 - diagonal) * s + diagonal * max(1e-6, np.trace(s) / d) * np.eye(d)
+        s = (1 - diagonal) * (s + s.T) / 2 + diagonal * np.eye(d)
         factor = np.linalg.cholesky(s)
         white.append(np.linalg.inv(factor) / scale)
         logdet.append(2 * np.log(np.diag(factor)).sum())
