@@ -14,7 +14,7 @@ from weft.llm.common import by_group, written
 from weft.llm.vectors import cosines, matrix, usable
 
 #: Vectors that the index is fitted on at most, vectors to a list, lists at most, lists that hold a vector at most, rows of a block of a list.
-SAMPLE, LIST, MAX_LISTS, REPLICAS, BLOCK = 32768, 128, 8192, 6, 2048
+SAMPLE, LIST, MAX_LISTS, REPLICAS, BLOCK = 16384, 128, 4096, 6, 2048
 #: How much farther than the nearest centroid a replica's centroid may be.
 BORDER = 1.25
 #: Share of a sample's true neighbours that the distance ratio of a search must reach.
@@ -100,13 +100,17 @@ def fit(x: np.ndarray, rows: int) -> dict:
     index = {"centroids": centroids, "links": links, "ratio": 1e9 if lists <= 8 else 1.0}
     if lists <= 8:
         return index
-    row, node = assign(x, centroids, links)
     held = np.full((len(x), REPLICAS), -1)
-    held[row, np.arange(len(row)) - np.searchsorted(row, row)] = node
+    for a in range(0, len(x), 256):  # in slices: a search takes memory for each row and centroid
+        row, node = assign(x[a : a + 256], centroids, links)
+        held[a + row, np.arange(len(row)) - np.searchsorted(row, row)] = node
     queries = np.random.default_rng(6).choice(len(x), min(512, len(x)), replace=False)
-    near = x[queries] @ x.T
-    near[np.arange(len(queries)), queries] = -2
-    true = np.argsort(-near, axis=1)[:, :NEIGHBOURS]
+    true = np.empty((len(queries), min(NEIGHBOURS, len(x) - 1)), np.int64)
+    for a in range(0, len(queries), 64):
+        own = queries[a : a + 64]
+        near = x[own] @ x.T
+        near[np.arange(len(own)), own] = -2
+        true[a : a + 64] = np.argpartition(-near, true.shape[1], axis=1)[:, : true.shape[1]]
     far = np.sqrt(np.maximum(0, 2 - 2 * x[queries] @ centroids.T))
     far = np.concatenate([far / far.min(1, keepdims=True), np.full((len(queries), 1), np.inf)], 1)
     need = far[np.arange(len(queries))[:, None, None], held[true]].min(2)
@@ -155,10 +159,10 @@ def nearest(table: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
     small = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)
     classes = written(small.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
     n = classes.count()
-    sample = classes.orderBy("h1", "h2").select("v").limit(SAMPLE).toPandas()["v"]
+    sample = classes.orderBy("h1", "h2").limit(SAMPLE).select(F.col("v")).toArrow().column("v")
     if not len(sample):
         return rows.select(F.col("id").cast(kind).alias("query_id"), F.lit(1).alias("rank"), F.col("id").cast(kind).alias(id_column), F.lit(0.0).alias("score")).limit(0)
-    index = fit(_unit(np.stack(sample.to_numpy())), n)
+    index = fit(_unit(matrix(sample)).astype(np.float32), n)
     asked = written(rows.select("h1", "h2", F.col("id").alias(id_column)).filter(is_query).withColumnRenamed(id_column, "query").join(classes.select("h1", "h2", F.col("id").alias("q")), ["h1", "h2"]).select("query", "q"))
     postings = written(classes.select("id", "v").mapInArrow(functools.partial(_lists, index, False), "id long, v array<double>, list long"))
     queries = classes.select("id", "v").join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
