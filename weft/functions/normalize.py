@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed confidence of the tiers of a regulation.
-TIER_CONFIDENCE = {"A": 0.9, "B": 0.7, "C": 0.5, "D": 0.3, "E": 0.1}
+TIER_CONFIDENCE = {"A": 1.0, "B": 0.85, "C": 0.7, "D": 0.5, "E": 0.25}
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def not_blank(c: Column) -> Column:
@@ -18,8 +23,9 @@ def strip_version(c: Column) -> Column:
 
 
 def chromosome(location: Column) -> Column:
-    """`17p13.1` -> `17`; anything mitochondrial -> `MT`."""
-    return F.when(F.lower(location).contains("mitochond"), "MT").otherwise(F.nullif(F.regexp_extract(location, r"^(\d+|X|Y|MT)", 1), F.lit("")))
+    """`17p13.1` -> `17`; mitochondrial places -> `MT`; null for an unplaced one."""
+    place = F.trim(location)
+    return F.when(F.lower(place).startswith("mitochond"), "MT").otherwise(F.nullif(F.regexp_extract(place, r"^(\d{1,2}|X|Y|MT)", 1), F.lit("")))
 
 
 def aliases(*lists: Column, canonical: Column) -> Column:
@@ -57,13 +63,15 @@ def variant_key(snps: Column, chrom: Column, pos: Column) -> Column:
 
 
 def traits(names: Column, uris: Column) -> Column:
-    """array<struct<id, name>>: names split at comma and space, aligned with the URIs that aren't blank; ids are the URIs' tails.
+    """array<struct<id, name>>: both split at comma and space, so a bare comma stays in a name; ids are the URIs' tails.
 
-    One URI keeps a bare comma in its name; a name that is missing, blank or a number gives way to the id.
+    Blank URIs go before the two are aligned. A name that is missing, blank or only digits gives way to the id.
     """
-    ids = F.transform(F.filter(F.transform(F.split(F.coalesce(uris, F.lit("")), ","), lambda x: F.trim(x)), lambda u: u != ""), lambda u: F.regexp_replace(u, r"^.*/", ""))
-    parts = F.when(F.size(ids) == 1, F.array(F.trim(F.coalesce(names, F.lit(""))))).otherwise(F.transform(F.split(F.coalesce(names, F.lit("")), ", "), lambda x: F.trim(x)))
-    return F.transform(ids, lambda i, k: F.struct(i.alias("id"), F.when(F.coalesce(F.get(parts, k), F.lit("")).rlike(r"^$|^[0-9.]+$"), i).otherwise(F.get(parts, k)).alias("name")))
+    known = F.filter(F.transform(F.split(F.coalesce(uris, F.lit("")), ", "), lambda u: F.trim(u)), lambda u: u != "")
+    labels = F.transform(F.split(F.coalesce(names, F.lit("")), ", "), lambda n: F.trim(n))
+    pairs = F.transform(known, lambda u, k: F.struct(F.regexp_replace(F.regexp_replace(u, "/+$", ""), "^.*/", "").alias("id"), F.coalesce(F.get(labels, k), F.lit("")).alias("name")))
+    kept = F.filter(pairs, lambda x: ~F.lower(x["id"]).isin("", "nan"))
+    return F.transform(kept, lambda x: F.struct(x["id"].alias("id"), F.when(x["name"].rlike(r"^[0-9]*$"), x["id"]).otherwise(x["name"]).alias("name")))
 
 
 def genes(c: Column) -> Column:
@@ -85,12 +93,13 @@ def sample_type(explicit: Column, barcode: Column) -> Column:
 
 
 def hmdb(c: Column) -> Column:
-    digits = F.regexp_extract(F.upper(F.trim(c)), r"^HMDB0*(\d+)$", 1)
+    """The first HMDB number in a text, padded to seven digits."""
+    digits = F.regexp_extract(F.upper(c), r"HMDB0*(\d+)", 1)
     return F.when(digits != "", F.concat(F.lit("HMDB"), F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)))
 
 
 def chebi(c: Column) -> Column:
-    digits = F.regexp_extract(F.upper(F.trim(c)), r"^(?:CHEBI:)?(\d+)(?:\.0)?$", 1)
+    digits = F.regexp_extract(c, r"(\d+)", 1)
     return F.when(digits != "", F.concat(F.lit("CHEBI:"), digits))
 
 
@@ -109,9 +118,10 @@ def pretty_process(c: Column) -> Column:
 
 
 def allele_frequency(populations: Column, reference: Column, preferred: str) -> Column:
-    """Sum of the frequencies of all alleles but the reference in the preferred population, at most 1, to 6 places; null without any."""
-    own = F.filter(populations, lambda p: (p["population"] == preferred) & (p["allele"] != reference))
-    return F.when(F.size(own) > 0, F.round(F.least(F.lit(1.0), F.aggregate(own, F.lit(0.0), lambda a, p: a + p["frequency"])), 6))
+    """Sum of the frequencies of all alleles but the reference in one population, at most 1, to 6 places; null if the population is missing."""
+    own = F.filter(populations, lambda p: p["population"] == preferred)
+    total = F.aggregate(F.filter(own, lambda p: p["allele"] != reference), F.lit(0.0), lambda a, p: a + F.coalesce(p["frequency"], F.lit(0.0)))
+    return F.when(F.size(own) > 0, F.round(F.least(F.lit(1.0), total), 6))
 
 
 def weights_map(tissues: dict[str, Column]) -> Column:
@@ -120,25 +130,33 @@ def weights_map(tissues: dict[str, Column]) -> Column:
     return F.when(F.coalesce(*tissues.values()).isNotNull(), filled)
 
 
+#: What a search text may not carry into a query.
+OPERATORS = r'(\+|-|&&|\|\||!|\(|\)|\{|\}|\[|\]|\^|"|~|\*|\?|:|\\|/)'
+
+
 def query_tokens(c: Column) -> Column:
     """Lower-case words of a search text, without operators."""
-    return F.filter(F.split(F.lower(F.regexp_replace(c, r'[+\-&|!(){}\[\]^"~*?:\\/]', " ")), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.regexp_replace(c, OPERATORS, " ")), r"\s+"), lambda t: t != "")
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*)"), F.lit(1))
 
 
-#: Fixed abbreviations after which a sentence goes on.
-ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "Fig.", "vs.", "Dr.", "approx.", "cf.")
+#: Fixed abbreviations after whose dot a sentence goes on.
+ABBREVIATIONS = r"(?i)\b(?:e\.g|i\.e|et al|vs|Fig|approx|cf|Dr|no)\.$"
 
 
 def sentences(c: Column) -> Column:
     """Sentences of a text: cut after `.`, `!` or `?` before a capital or digit, joined again behind an abbreviation."""
-    parts = F.filter(F.split(F.trim(c), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: s != "")
-    short = lambda s: F.exists(F.array(*[F.lit(a) for a in ABBREVIATIONS]), lambda a: F.endswith(s, a))
-    joined = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when((F.size(acc) > 0) & F.coalesce(short(F.element_at(acc, -1)), F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), s)))).otherwise(F.concat(acc, F.array(s))))
-    return F.when(F.size(parts) > 0, joined).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.trim(s)), lambda s: s != "")
+
+    def joined(parts: Column) -> Column:
+        begins = lambda i: (i == 0) | ~F.coalesce(F.get(parts, i - 1).rlike(ABBREVIATIONS), F.lit(False))
+        starts = F.filter(F.transform(parts, lambda s, i: F.when(begins(i), i)), lambda i: i.isNotNull())
+        return once(starts, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), " ")))
+
+    return once(parts, joined)
 
 
 def triple_key(rel: Column, subject: Column, target: Column, symmetric: tuple[str, ...] = ("INTERACTS_WITH",)) -> Column:

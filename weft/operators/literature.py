@@ -34,7 +34,7 @@ def sentences(documents: DataFrame, id_column: str = "doc_id", text: str = "text
 def _passes(found: Column, surface: Column) -> Column:
     """May a run of words stand for a surface: not a number, not a generic word; short and ambiguous ones in exact case."""
     exact = (F.length(surface) < ANY_CASE_LENGTH) | F.upper(surface).isin(*AMBIGUOUS)
-    return ~found.rlike(r"^[0-9.\-]+$") & ~F.lower(found).isin(*GENERIC) & (~exact | (found == surface))
+    return ~found.rlike(r"^[0-9]+$") & ~F.lower(found).isin(*GENERIC) & (~exact | (found == surface))
 
 
 def grams(sentence_rows: DataFrame, longest: int) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.normalize import query_tokens
+from weft.functions.normalize import OPERATORS, query_tokens
 
 #: Fixed weights of a whole word and of a prefix.
 EXACT, PREFIX = 4.0, 1.0
@@ -23,7 +23,7 @@ def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def _words(text: str) -> list[str]:
-    return [t for t in re.split(r"\s+", re.sub(r'[+\-&|!(){}\[\]^"~*?:\\/]', " ", text).lower()) if t]
+    return [t for t in re.split(r"\s+", re.sub(OPERATORS, " ", text).lower()) if t]
 
 
 def text_search(index: DataFrame, text: str, limit: int = 20, exact_keys: Column | None = None) -> DataFrame:

@@ -27,7 +27,8 @@ def capped(candidates: DataFrame, group: list[str]) -> DataFrame:
 
 def bridges(spec: GraphSpec) -> F.Column:
     """Whether a leaf may pass a walk on: few neighbours, a known number of them, and not one of the names that are everywhere."""
-    return F.coalesce((F.col("degree") <= spec.bridge_degree) & ~F.coalesce(F.col("name").isin(*sorted(spec.never_bridge)), F.lit(False)), F.lit(False)) if spec.never_bridge else F.coalesce(F.col("degree") <= spec.bridge_degree, F.lit(False))
+    named = F.lower(F.trim(F.coalesce("name", F.lit("")))).isin(*sorted(spec.never_bridge)) if spec.never_bridge else F.lit(False)
+    return F.coalesce((F.col("degree") <= spec.bridge_degree) & ~named, F.lit(False))
 
 
 def signal_decay(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, spec: GraphSpec, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:

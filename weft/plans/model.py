@@ -66,7 +66,8 @@ OMICS = GraphSpec(
     leaf_kind="metabolite",
     leaf_relation="CATALYSES",
     leaf_host="protein",
-    never_bridge=frozenset({"ATP", "ADP", "AMP", "NAD+", "NADH", "NADP+", "NADPH", "H2O", "Water", "CO2", "O2", "Phosphate", "Pyrophosphate", "H+", "Coenzyme A"}),
+    # fixed lower-case names of metabolites that are everywhere
+    never_bridge=frozenset({"h2o", "water", "h+", "proton", "atp", "adp", "amp", "gtp", "gdp", "nad+", "nadh", "nadp+", "nadph", "coa", "coenzyme a", "co2", "carbon dioxide", "o2", "oxygen", "pi", "phosphate", "ppi", "diphosphate", "pyrophosphate", "nh3", "nh4+", "ammonia"}),
 )
 
 
