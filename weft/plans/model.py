@@ -93,7 +93,7 @@ def conductance(spec: GraphSpec) -> Column:
             return F.lit(float(rel.constant))
         linear = _scored(rel) * rel.scale if rel.scale != 1 else _scored(rel)
         linear = linear + rel.offset if rel.offset else linear
-        return F.coalesce(F.least(F.lit(1.0), linear), F.lit(float(rel.missing)))
+        return F.when(linear.isNull(), F.lit(float(rel.missing))).otherwise(F.least(F.lit(1.0), linear))
 
     discount = F.when(F.col("tier") == spec.discounted_tier, F.lit(spec.tier_discount)).otherwise(F.lit(1.0))
     return _by_relation(spec, base).cast("double") * discount

@@ -17,13 +17,18 @@ def deduplicated(events: DataFrame, key: str, time: str, late: str) -> DataFrame
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def tumbling(events: DataFrame, time: str, late: str, width: str, by: str, slide: str | None = None) -> DataFrame:
+def _bounded(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark, unless the stream has one already (late is None then)."""
+    return events.withWatermark(time, late) if late else events
+
+
+def tumbling(events: DataFrame, time: str, late: str | None, width: str, by: str, slide: str | None = None) -> DataFrame:
     window = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.withWatermark(time, late).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+    return _bounded(events, time, late).groupBy(window.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def sessions(events: DataFrame, time: str, late: str, gap: str, by: str) -> DataFrame:
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+def sessions(events: DataFrame, time: str, late: str | None, gap: str, by: str) -> DataFrame:
+    return _bounded(events, time, late).groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
 def run_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
