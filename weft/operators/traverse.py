@@ -11,13 +11,12 @@ from weft.scratch import written
 MAX_RINGS, BACKBONE_HOPS = 8, 4
 
 
-def capped(candidates: DataFrame, group: list[str]) -> DataFrame:
+def capped(candidates: DataFrame, group: list[str], caps: set[int]) -> DataFrame:
     """Of each group's edges of one relation the best `cap` (rank down, neighbour up); relations without a cap pass.
 
-    The rank filter is applied for each cap value by itself: with a constant bound Spark limits groups before the shuffle, so a hub's
+    The rank filter is applied for each of the model's cap values by itself: with a constant bound Spark limits groups before the shuffle, so a hub's
     edges don't all travel.
     """
-    caps = [r[0] for r in candidates.select("cap").distinct().filter("cap is not null").collect()]  # a few constants of the model
     order = Window.partitionBy(*group, "rel").orderBy(F.desc("rank"), "to")
     out = candidates.filter("cap is null")
     for c in sorted(caps):
@@ -70,13 +69,14 @@ def signal_decay(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, spec: Gra
         state = merged(leaves.select("seed", F.col("to").alias("key"), (F.col("signal") * decay * F.col("cond")).alias("signal"), F.lit(True).alias("pinned")))
 
     frontier, expanded = written(found), found.limit(0)
+    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if bridge else set())
     locs = known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs"))
     for _ in range(rings):
         open_seeds = state.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < max_nodes).select("seed")
         frontier = written(frontier.join(open_seeds, "seed", "left_semi").join(state, ["seed", "key"]).select("seed", "key", "signal", "pinned"))
         if frontier.isEmpty():
             break
-        step = capped(candidates(frontier, adj), ["seed", "from"])
+        step = capped(written(candidates(frontier, adj)), ["seed", "from"], caps)
         step = step.withColumn("new", F.col("signal") * decay * F.col("cond")).filter(F.col("new") >= min_signal)
         if compartment_filter:
             step = step.join(locs, "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs"))).drop("from_locs")
