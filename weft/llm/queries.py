@@ -103,4 +103,12 @@ k as (select node, min(comp) as comp from r group by node),
 m as (select c.sh, k.comp from c join k on c.rep = k.node)
 select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, coalesce(m.comp, s.doc_id) as component_id, coalesce(m.comp, s.doc_id) = s.doc_id as kept
 from s left join m on s.sh = m.sh""",
+    "op10_embedding_dedup": r"""
+with recursive g as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null),
+f as (select vec_id, v from g where len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+u as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from f),
+p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r as (select vec_id as node, vec_id as comp from embeddings union select p.b, r.comp from r join p on r.node = p.a where r.comp < p.b),
+c as (select node, min(comp) as component_id from r group by node), n as (select a, count(*) as n_links from p group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, component_id = vec_id as kept from embeddings join c on node = vec_id left join n on a = vec_id""",
 }
