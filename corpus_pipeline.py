@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import minhash, mixing, packing, pii, quality
-from weft.llm.common import written
+from weft.llm.common import having, written
 from weft.tables import table
 
 
@@ -15,13 +15,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the quality classifier accepts. Rows that repeat an id stay if one of them is accepted; rows with a null id all stay."""
     scored = quality.score(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     good = scored.filter("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(written(good), "doc_id", "left_semi").select(*docs.columns))
+    return docs.filter("doc_id is null").unionByName(having(docs, written(good), "doc_id").select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; of its repeated rows one of each text. Rows with a null id stay."""
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(written(kept), "doc_id", "left_semi").select(*docs.columns))
+    return docs.filter("doc_id is null").unionByName(having(docs, written(kept), "doc_id").select(*docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
