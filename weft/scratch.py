@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.lru_cache(1)
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="weft-")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; on a local master that setting may be missing and is then made."""
+    """A new folder below spark.checkpoint.dir; on a local master that setting may be missing, a temporary folder then stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own()
     return f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
 
 
