@@ -1,41 +1,23 @@
-"""Helpers that several operators share: scratch tables, vectorised word hashing, grouped streaming, components."""
+"""Helpers that several operators share: vectorised word hashing, grouped streaming, components."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.scratch import written
+
 #: Java pattern of a word: whatever is between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; on a local master it may be unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Cuts lineage: `df` as a Parquet table in the shared folder, so that lost executors cost no recomputation."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Key sets up to this size are broadcast to a semi-join, larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 
