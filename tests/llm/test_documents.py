@@ -98,6 +98,51 @@ def test_repeated_passages(spark, docs):
     assert substring.repeated(empty(spark)).count() == 0
 
 
+def passage_recall(spark, pairs, others=(), **options):
+    """The share of documents of which most of the planted passage, given as (text, start, end), is returned."""
+    flat = [d for pair in pairs for d in pair]
+    rows = [(i, " ".join(d[0])) for i, d in enumerate([*flat, *((o, 0, 0) for o in others)])]
+    got = {}
+    for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert not any(i in got for i in range(len(flat), len(rows)))
+    return np.mean([len(got.get(i, set()) & set(range(a, b))) >= 0.9 * (b - a) for i, (_, a, b) in enumerate(flat)])
+
+
+def test_repeated_passages_with_inserted_word(spark):
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    pairs = []
+    for k in range(40):
+        n = (90, 60)[k % 2]
+        p = say(n)
+        q = p[: n // 2] + say(1) + p[n // 2 :] if k % 4 < 2 else p[: n // 2] + p[n // 2 + 1 :]
+        pairs.append([(say(70) + p + say(50), 70, 70 + n), (say(40) + q + say(90), 40, 40 + len(q))])
+    assert passage_recall(spark, pairs) == 1
+
+
+def test_repeated_passages_with_one_substitution(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    pairs = []
+    for k in range(60):
+        n = (60, 52)[k % 2]
+        p = say(n)
+        pairs.append([(say(70) + p + say(50), 70, 70 + n), (say(40) + p[: n // 2] + say(1) + p[n // 2 + 1 :] + say(90), 40, 40 + n)])
+    assert passage_recall(spark, pairs) >= 0.95
+
+
+def test_repeated_passages_inside_a_mixed_group(spark):
+    rng = random.Random(13)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, pairs = say(30), []
+    for _ in range(40):
+        p = say(15) + phrase + say(15)
+        pairs.append([(say(70) + p + say(50), 70, 130), (say(40) + p[:12] + say(1) + p[13:] + say(90), 40, 100)])
+    others = [say(60) + phrase + say(60) for _ in range(120)]
+    assert passage_recall(spark, pairs, others, members=32) >= 0.95
+
+
 def test_anchors_and_windows():
     rng = np.random.default_rng(1)
     values = rng.integers(1, 1 << 62, 400).astype(np.uint64)

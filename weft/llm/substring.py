@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import having, mix, shingle_hashes, slices, word_hashes, written
 
-#: Words of a shingle and of the shortest passage, hash functions, shingles on one side of an anchor that windows must share to meet.
-WORDS, LEAST, HASHES, SIDE = 5, 50, 2, 16
-#: Rounds of comparing with one member of each group, before the exact way for what is left.
-ROUNDS = 2
-#: Shingles that an edit may take between two runs of one passage.
-GAP = 12
+#: Words of a shingle and of the shortest passage, hash functions. A passage at 0.75 meets under none of four with probability 0.004.
+WORDS, LEAST, HASHES = 5, 50, 4
+#: Rounds of comparing with one member of each group, before what is left is compared in pairs of blocks of so many members.
+ROUNDS, MEMBERS = 2, 512
+#: Shingles by which inserted and deleted words may move the two sides of a passage against each other around an anchor.
+SHIFT = 16
 
 
 def anchors(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -90,8 +91,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(at).astype(np.int64))], ["id", "digest", "words"])
 
 
-def _windows(least: int, count: int, side: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compact windows of each text, twice: keyed by the anchor with the shingles behind it, and with those before it."""
+def _windows(least: int, count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compact windows of each text, keyed by hash function and minimum."""
     length = least - WORDS + 1
     for batch in batches:
         for part in slices(batch, "text"):
@@ -99,23 +100,13 @@ def _windows(least: int, count: int, side: int, batches: Iterator[pa.RecordBatch
             if not len(shingles):
                 continue
             ids = part.column("id").to_numpy()
-            factor = np.uint64(0x9FB21C651E98DF25)
-            run = np.zeros(len(shingles) + 1, np.uint64)  # polynomial hashes of `side` shingles from each place
-            powers = np.multiply.accumulate(np.full(side, factor, np.uint64))
-            sums = np.zeros(len(shingles), np.uint64)
-            for k in range(min(side, len(shingles))):
-                sums[: len(shingles) - k] += shingles[k:] * powers[k]
-            run[:-1] = sums
             for f in range(count):
-                values = mix(shingles ^ np.uint64((f + 1) * 0x632BE59BD9B4E019))
+                values = mix(shingles ^ np.uint64((f + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
                 places = anchors(values, starts, length)
                 left, right = extents(values, places, starts)
                 doc = np.searchsorted(starts, places, "right") - 1
-                for behind in (True, False):
-                    fits = places + side < starts[doc + 1] if behind else places - side >= starts[doc]
-                    p, d, a, b = places[fits], doc[fits], left[fits], right[fits]
-                    key = mix(shingles[p] * np.uint64(3) + mix(run[p + 1 if behind else p - side] + np.uint64(behind)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[d]), *[pa.array((x - starts[d]).astype(np.int32)) for x in (p, a, b)]], ["key", "id", "at", "l", "r"])
+                key = mix(values[places] + np.uint64(f))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), *[pa.array((x - starts[doc]).astype(np.int32)) for x in (places, left, right)]], ["key", "id", "at", "l", "r"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,78 +114,141 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             shingles, starts = _shingles(part)
             short = shingles.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["id", "seq"])
-
-
-def passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int) -> list[tuple[int, int]]:
-    """Segments [start, end) of two aligned sequences that are near-duplicates: runs of equal shingles, joined over gaps of
-    at most GAP where the joined sets still have the similarity, `length` shingles or more."""
-    same = np.concatenate([[0], (a == b).astype(np.int8), [0]])
-    turns = np.flatnonzero(np.diff(same)).reshape(-1, 2)
-    out: list[tuple[int, int]] = []
-
-    def alike(s: int, e: int) -> bool:
-        x, y = np.unique(a[s:e]), np.unique(b[s:e])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return of * both >= top * (len(x) + len(y) - both)
-
-    groups: list[list[list[int]]] = []
-    for s, e in turns.tolist():
-        if groups and s - groups[-1][-1][1] <= GAP:
-            groups[-1].append([s, e])
-        else:
-            groups.append([[s, e]])
-    for g in groups:
-        if len(g) > 1 and g[-1][1] - g[0][0] >= length and alike(g[0][0], g[-1][1]):
-            out.append((g[0][0], g[-1][1]))
+            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array([x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()) for x in (short, shingles.astype(np.uint16))]], ["id", "seq", "short"])
+
+
+def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i of a and j of b with equal shingles, both ascending, near the diagonal j = i + offset: a longest such chain,
+    each i with its nearest j, so that inserted and deleted words move the diagonal instead of ending the passage."""
+    order = np.argsort(b, kind="stable")
+    kept = b[order]
+    low, high = np.searchsorted(kept, a, "left"), np.searchsorted(kept, a, "right")
+    i = np.flatnonzero(high > low)
+    if not len(i):
+        return i, i
+    # of equal shingles in b (ascending places) the one nearest to the diagonal
+    nearest = np.searchsorted(kept.astype(np.uint64) << np.uint64(32) | order.astype(np.uint64), a[i].astype(np.uint64) << np.uint64(32) | np.maximum(0, i + offset).astype(np.uint64))
+    after, before = order[np.clip(nearest, low[i], high[i] - 1)], order[np.clip(nearest - 1, low[i], high[i] - 1)]
+    j = np.where(np.abs(after - i - offset) < np.abs(before - i - offset), after, before)
+    if (np.diff(j) > 0).all():
+        return i, j
+    tails: list[int] = []
+    at: list[int] = []
+    back = np.full(len(j), -1)
+    for k, x in enumerate(j.tolist()):  # longest ascending chain
+        t = bisect.bisect_left(tails, x)
+        back[k] = at[t - 1] if t else -1
+        if t == len(tails):
+            tails.append(x)
+            at.append(k)
         else:
-            out += [(s, e) for s, e in g if e - s >= length]
-            out += [(x[0], y[1]) for x, y in zip(g[:-1], g[1:], strict=True) if y[1] - x[0] >= length and alike(x[0], y[1])]
+            tails[t], at[t] = x, k
+    chain, k = [], at[-1]
+    while k >= 0:
+        chain.append(k)
+        k = back[k]
+    return i[chain[::-1]], j[chain[::-1]]
+
+
+def passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int = 0) -> list[tuple[int, int, int, int]]:
+    """Near-duplicate ranges [s, e) of a and [s, e) of b, `length` shingles or more on both sides, that begin and end with
+    equal shingles: multiset Jaccard of the two ranges, top / of at least, by their aligned shingles."""
+    i, j = aligned(a, b, offset)
+    if not len(i):
+        return []
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
+    out: list[tuple[int, int, int, int]] = []
+    reach = -1
+    for k in range(len(first)):
+        both = last[k:] - first[k] + 1
+        m, n = i[last[k:]] - i[first[k]] + 1, j[last[k:]] - j[first[k]] + 1
+        good = np.flatnonzero((m >= length) & (n >= length) & (of * both >= top * (m + n - both)))
+        if len(good) and k + good[-1] > reach:
+            reach = k + int(good[-1])
+            out.append((int(i[first[k]]), int(i[last[reach]]) + 1, int(j[first[k]]), int(j[last[reach]]) + 1))
     return out
 
 
 def _verify(length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
+        offsets = (batch.column("lo").to_numpy() - batch.column("delta").to_numpy() - batch.column("lo2").to_numpy()).tolist()
         for i, (x, y) in enumerate(zip(batch.column("own"), batch.column("other"), strict=True)):
             a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            out += [(i, s, e) for s, e in passages(a[: len(b)], b[: len(a)], length, top, of)]
-        row, s, e = np.array(out, np.int64).reshape(-1, 3).T
+            out += [(i, *p) for p in passages(a, b, length, top, of, offsets[i])]
+        row, s, e, s2, e2 = np.array(out, np.int64).reshape(-1, 5).T
         take = pa.array(row)
-        lo, delta = batch.column("lo").to_numpy()[row], batch.column("delta").to_numpy()[row]
         ids, hubs = batch.column("id").take(take), batch.column("hub").take(take)
-        for own, other, shift in ((ids, hubs, 0), (hubs, ids, delta)):
-            yield pa.RecordBatch.from_arrays([own, other, pa.array((s + lo - shift).astype(np.int64)), pa.array((e + lo - shift).astype(np.int64))], ["id", "other", "s", "e"])
+        for own, other, begin, x, y in ((ids, hubs, "lo", s, e), (hubs, ids, "lo2", s2, e2)):
+            lo = batch.column(begin).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([own, other, pa.array((x + lo).astype(np.int64)), pa.array((y + lo).astype(np.int64))], ["id", "other", "s", "e"])
+
 
+def _numbered(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the ranges in `near` and the range each is in; a range's k-th occurrence of a shingle differs from its first."""
+    raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in near]
+    value, row = np.concatenate(raw).astype(np.uint64), np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    order = np.lexsort((value, row))
+    v, r = value[order], row[order]
+    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (r[1:] != r[:-1])])
+    at = np.arange(len(v))
+    return v << np.uint64(16) | (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64), r
 
-def _exact(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all runs of `length` shingles over each anchor of what is left."""
+
+def _pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of members of two blocks of a group (without a second, of the first), one of them left over, whose ranges share `least` shingles (as multisets)."""
+    fields = ("id", "at", "l", "r", "open", "near")
     for batch in batches:
-        ids, keys, starts = [], [], []
-        for one, raw, places in zip(batch.column("id").to_pylist(), batch.column("seq"), batch.column("places").to_pylist(), strict=True):
-            x = np.frombuffer(raw.as_buffer(), np.uint32)
-            if len(x) < length:
-                continue
-            first = np.unique((np.array(places)[:, None] - np.arange(length)).ravel())
-            first = first[(first >= 0) & (first + length <= len(x))]
-            view = np.lib.stride_tricks.sliding_window_view(x, length)
-            for s in first.tolist():
-                ids.append(one)
-                starts.append(s)
-                keys.append(int.from_bytes(hashlib.blake2b(view[s].tobytes(), digest_size=8).digest(), "little", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64())], ["id", "run", "s"])
+        same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+        for k, (one, two) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+            x, y = (dict(zip(fields, (c.values.field(f) for f in range(6)), strict=True)) for c in (one, two if two.is_valid else one))
+            (u, ru), (v, rv) = _numbered(x["near"]), _numbered(y["near"])
+            shared = np.intersect1d(u, v)
+            count = np.zeros((len(x["id"]), len(y["id"])), np.float32)
+            for start in range(0, len(shared), 4096):
+                some = shared[start : start + 4096]
+                sides = []
+                for values, rows, n in ((u, ru, len(x["id"])), (v, rv, len(y["id"]))):
+                    place = np.minimum(np.searchsorted(some, values), len(some) - 1)
+                    hit = some[place] == values
+                    side = np.zeros((n, len(some)), np.float32)
+                    side[rows[hit], place[hit]] = 1
+                    sides.append(side)
+                count += sides[0] @ sides[1].T
+            open_x, open_y = (z["open"].to_numpy(zero_copy_only=False) for z in (x, y))
+            id_x, id_y = x["id"].to_numpy(), y["id"].to_numpy()
+            good = (count >= least) & (open_x[:, None] | open_y[None, :]) & ((id_x[:, None] < id_y[None, :]) if same[k] else (id_x[:, None] != id_y[None, :]))
+            p, q = np.nonzero(good)
+            yield pa.RecordBatch.from_arrays([x[c].take(pa.array(p)) for c in ("id", "at", "l", "r")] + [y[c].take(pa.array(q)) for c in ("id", "at", "l", "r")], ["id", "at", "l", "r", "hub", "at2", "l2", "r2"])
+
+
+def _meet(met: DataFrame, length: int) -> DataFrame:
+    """Ranges to verify, (id, hub, delta, lo, hi, lo2, hi2), from anchors that two documents share with their windows.
+
+    Both windows are cut to what the other one reaches, and SHIFT more; those of one pair on neighbouring diagonals are joined.
+    """
+    before, after = F.least(F.col("at") - F.col("l"), F.col("at2") - F.col("l2")), F.least(F.col("r") - F.col("at"), F.col("r2") - F.col("at2"))
+    ends = [F.greatest("l", F.col("at") - before - SHIFT).alias("lo"), F.least("r", F.col("at") + after + SHIFT).alias("hi"), F.greatest("l2", F.col("at2") - before - SHIFT).alias("lo2"), F.least("r2", F.col("at2") + after + SHIFT).alias("hi2")]
+    met = met.filter((F.col("id") != F.col("hub")) & (before + after + 1 + SHIFT >= length)).select("id", "hub", (F.col("at") - F.col("at2")).alias("delta"), *ends)
+    met = met.filter((F.col("hi") - F.col("lo") + 1 >= length) & (F.col("hi2") - F.col("lo2") + 1 >= length)).distinct()
+    w = Window.partitionBy("id", "hub").orderBy("delta", "lo", "hi", "lo2", "hi2")
+    far = F.col("delta") - F.lag("delta").over(w) > SHIFT
+    met = met.withColumn("far", F.coalesce(far.cast("int"), F.lit(0))).withColumn("island", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return met.groupBy("id", "hub", "island").agg(F.min("delta").alias("delta"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo2").alias("lo2"), F.max("hi2").alias("hi2")).drop("island")
 
 
-def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, top: int = 75, of: int = 100, hashes: int = HASHES, side: int = SIDE, rounds: int = ROUNDS) -> DataFrame:
+def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text", least: int = LEAST, top: int = 75, of: int = 100, hashes: int = HASHES, rounds: int = ROUNDS, members: int = MEMBERS) -> DataFrame:
     """(id, start_word, end_word, n_words, other_id): passages of at least `least` words that documents share, overlapping ones joined; end is exclusive, other_id the smallest document found to share a part of it.
 
     Words are A-Z lower-cased. Each text gives the compact windows of `hashes` min-hash functions over its five-word shingles:
-    ranges that share one minimum, from a Cartesian tree, long enough to hold a passage. Windows meet by their
-    minimum together with `side` shingles on one side of it: an exact repeat of `least` words has such a pair for
-    every function. In each group windows are aligned with one member's, intersected, and shingles compared in what both
-    cover; passages are kept with a Jaccard similarity of top / of. What no passage covers tries another member, and after `rounds` of them
-    meets all others exactly, by the runs of shingles over its minima, which takes no pairs. Equal texts go
-    on as one, their copies get its passages and, from `least` words on, the whole text as one.
+    ranges that share one minimum, from a Cartesian tree, long enough to hold a passage. Windows meet by function and minimum:
+    an exact repeat of `least` words does so for every function, one of Jaccard similarity J for each with probability J. In
+    each group windows are cut to what both reach, neighbouring diagonals of a pair joined, and shingles aligned, inserted and
+    deleted words included; passages begin and end with equal shingles and are kept with a similarity of top / of. Members
+    meet one of their group first; what no passage covers tries another one, and after `rounds` of them all others, in pairs
+    of blocks of about `members` inside tasks. Equal texts go on as one, their copies get its passages and, from `least`
+    words on, the whole text as one.
 
     Null, empty and shorter texts, and rows with a null id, return nothing. Rows that repeat an id are one document, whose texts don't repeat
     each other.
@@ -204,31 +258,45 @@ def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     named = written(given.mapInArrow(_digest, "id long, digest binary, words long").filter(F.col("words") >= least))
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max("words").alias("words")))
     copies = written(named.join(classes, "digest").filter("id <> rep").select("rep", "id").distinct())
-    every = given.mapInArrow(functools.partial(_windows, least, hashes, side), "key long, id long, at int, l int, r int")
+    every = given.mapInArrow(functools.partial(_windows, least, hashes), "key long, id long, at int, l int, r int")
     windows = written(every)
     shared = windows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
     hits = having(windows, written(shared), "key")
     hits = written(hits.join(copies.select("id").distinct(), "id", "left_anti").distinct())
     wanted = written(hits.select("id").distinct())
-    sequences = written(having(given, wanted, "id").mapInArrow(_sequences, "id long, seq binary"))
+    sequences = written(having(given, wanted, "id").mapInArrow(_sequences, "id long, seq binary, short binary"))
     found, rest = None, hits
+
+    def verified(met: DataFrame) -> DataFrame:
+        cut = lambda lo, hi: F.substring(F.col("seq"), F.col(lo) * 4 + 1, (F.col(hi) - F.col(lo) + 1) * 4)
+        own = _meet(met, length).join(sequences.select("id", "seq"), "id").select("id", "hub", "delta", "lo", "lo2", "hi2", cut("lo", "hi").alias("own"))
+        both = own.join(sequences.select(F.col("id").alias("hub"), "seq"), "hub").select("id", "hub", "delta", "lo", "lo2", "own", cut("lo2", "hi2").alias("other"))
+        return both.mapInArrow(functools.partial(_verify, length, top, of), "id long, other long, s long, e long").distinct()
+
     for turn in range(rounds):
         hub = hits.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "at", "l", "r")).alias("h"))
-        delta = F.col("at") - F.col("h.at")
-        met = rest.join(hub, "key").filter("id <> h.id").select("id", F.col("h.id").alias("hub"), delta.alias("delta"), F.greatest("l", F.col("h.l") + delta).alias("lo"), F.least("r", F.col("h.r") + delta).alias("hi"))
-        met = met.filter(F.col("hi") - F.col("lo") + 1 >= length).groupBy("id", "hub", "delta").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        cut = lambda seq, lo: F.substring(seq, lo * 4 + 1, (F.col("hi") - F.col("lo") + 1) * 4)
-        own = met.join(sequences, "id").select("id", "hub", "delta", "lo", "hi", cut(F.col("seq"), F.col("lo")).alias("own"))
-        both = own.join(sequences.select(F.col("id").alias("hub"), "seq"), "hub").select("id", "hub", "delta", "lo", "own", cut(F.col("seq"), F.col("lo") - F.col("delta")).alias("other"))
-        new = both.mapInArrow(functools.partial(_verify, length, top, of), "id long, other long, s long, e long").distinct()
+        new = verified(rest.join(hub, "key").select("id", "at", "l", "r", *[F.col(f"h.{c}").alias(n) for c, n in (("id", "hub"), ("at", "at2"), ("l", "l2"), ("r", "r2"))]))
         found = written(found.union(new) if found is not None else new)
         covered = merged(found).select(F.col("id").alias("i"), "s", "e")
         rest = written(hits.join(covered, (F.col("id") == F.col("i")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left_anti"))
-    left = hits.join(rest.select("key").distinct(), "key", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places"))
-    runs = written(left.join(sequences, "id").select("id", "seq", "places").mapInArrow(functools.partial(_exact, length), "id long, run long, s long"))
-    twice = runs.groupBy("run").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
-    exact = runs.join(twice, "run").select("id", F.when(F.col("a") == F.col("id"), F.col("b")).otherwise(F.col("a")).alias("other"), "s", (F.col("s") + length).alias("e"))
-    found = written(found.union(exact))
+    many = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").join(rest.select("key").distinct(), "key", "left_semi")
+    many = written(many.select("key", F.ceil(F.col("n") / members).alias("parts")))
+
+    def blocks(keys: DataFrame) -> DataFrame:
+        left = hits.join(keys, "key").join(rest.select("key", "id", "at", F.lit(True).alias("open")), ["key", "id", "at"], "left").join(sequences.select("id", "short"), "id")
+        lo, hi = F.greatest("l", F.col("at") - length + 1), F.least("r", F.col("at") + length - 1)
+        near = F.substring(F.col("short"), lo * 2 + 1, (hi - lo + 1) * 2).alias("near")
+        left = left.select("key", F.pmod(F.xxhash64("id", "at"), "parts").cast("int").alias("block"), F.struct("id", "at", "l", "r", F.coalesce("open", F.lit(False)).alias("open"), near).alias("m"))
+        return left.groupBy("key", "block").agg(F.collect_list("m").alias("a"), F.bool_or("m.open").alias("open"))
+
+    one = blocks(many.filter("parts = 1"))
+    one = one.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "a", F.lit(None).cast(one.schema["a"].dataType).alias("b"))
+    large = written(blocks(many.filter("parts > 1")))
+    two = large.select("key", F.col("block").alias("i"), "a", "open").join(large.select("key", F.col("block").alias("j"), F.col("a").alias("b"), F.col("open").alias("open2")), "key").filter("i <= j and (open or open2)")
+    two = one.union(two.select("key", "i", "j", "a", "b").repartition("key", "i", "j"))
+    common = 2 * length * top // (top + of) * 9 // 10  # that two such passages share around an anchor, less a tenth for longer ones
+    pairs = two.mapInArrow(functools.partial(_pairs, common), "id long, at int, l int, r int, hub long, at2 int, l2 int, r2 int")
+    found = written(found.union(verified(written(pairs))))
     alike = classes.filter("rep <> last")
     whole = alike.select(F.col("rep").alias("id"), F.col("last").alias("other"), F.lit(0).cast("long").alias("s"), (F.col("words") - WORDS + 1).alias("e"))
     again = copies.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "other", "s", "e")
