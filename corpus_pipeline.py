@@ -33,17 +33,18 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole repeats, and once more with the words that are taken in part.
 
-    A part is the document's first words; documents of which nothing is taken go.
+    A part is the blocks that the mix has drawn, wherever they lie in the document; documents of which nothing is taken go.
     """
-    taken = mixing.mix(docs.select("doc_id", "text", "source"))
-    taken = taken.filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_w_size"), F.max("taken").alias("_w_taken"))
+    taken = mixing.drawn(docs.select("doc_id", "text", "source"))
+    taken = taken.filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_w_size"), F.max("taken").alias("_w_taken"), F.max_by("ranges", "taken").alias("_w_ranges"))
     met = docs.join(taken.withColumnRenamed("doc_id", "_w_id"), F.expr("doc_id <=> _w_id"))
     full, part = F.expr("_w_taken div _w_size"), F.expr("_w_taken % _w_size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     cut = met.withColumn("_w_words", F.explode(copies))
     words = F.split(F.regexp_replace("text", r"\A[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    text = F.when(F.col("_w_words") > 0, F.array_join(F.slice(words, F.lit(1), F.col("_w_words").cast("int")), "")).otherwise(F.col("text"))
-    cut = cut.withColumn("_w_text", text)
+    cut = cut.withColumn("_w_split", F.when(F.col("_w_words") > 0, words))
+    parts = F.flatten(F.transform("_w_ranges", lambda r: F.slice(F.col("_w_split"), (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int"))))
+    cut = cut.withColumn("_w_text", F.when(F.col("_w_words") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
     return cut.select(*[F.col("_w_text").alias("text") if c == "text" else F.length("_w_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -24,3 +24,19 @@ def test_stages(spark, tmp_path):
     pieces = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.collect()} <= kept["source_mix"].keys()
     assert quality.FEATURES
+
+
+def test_mix_takes_the_drawn_blocks(spark):
+    rows = [(i, " ".join(f"{i}_{k}" for k in range(300)), "en", "ab"[i % 2], 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r.doc_id: r for r in p.mixing.drawn(docs).collect()}
+    parts = {}
+    for r in p.mix_sources(spark, docs, "").collect():
+        places = [int(w.split("_")[1]) for w in r.text.split()]
+        if len(places) < 300:
+            assert r.doc_id not in parts and r.n_chars == len(r.text)
+            parts[r.doc_id] = places
+    for i, r in taken.items():
+        assert parts.get(i, []) == [k for x in r.ranges or [] for k in range(x.first, x.end)][: 300 if r.taken % 300 else 0]
+        assert len(parts.get(i, [])) == r.taken % 300
+    assert any(x[-1] == 299 for x in parts.values()) and any(x[0] > 0 for x in parts.values())

@@ -69,6 +69,11 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     max_epochs times its size. Null and empty texts have size 0 and nothing taken; a null source is a source of its own, the
     last; a null id is an id like others; repeated rows count as often as they occur. Reruns give the same.
     """
+    return drawn(documents, id_column, text, source, seed, block_words, shard_words, max_epochs).drop("ranges")
+
+
+def drawn(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """What `mix` returns, and `ranges`: the words (first, end) of each row that are taken once more, in order; null for none."""
     rows = documents.select(F.col(id_column).alias("_w_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0"))).alias("_w_hash"))
     rows = written(rows)
     shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // shard_words))
@@ -95,12 +100,13 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     covered = placed.select("source", "_w_shard", "_w_row", "_w_start", "size", F.explode(F.expr(f"sequence(_w_start div {block_words}, (_w_start + size - 1) div {block_words})")).alias("_w_b"))
     # blocks grow with the words, which their estimated size doesn't show: never broadcast
     met = covered.join(blocks.hint("merge"), F.expr("source <=> _w_s and _w_shard = _w_h and _w_b = _w_block"))
-    overlap = F.least(F.col("_w_start") + F.col("size"), F.col("_w_block") * block_words + F.col("_w_part")) - F.greatest(F.col("_w_start"), F.col("_w_block") * block_words)
-    some = met.groupBy("source", "_w_shard", "_w_row").agg(F.sum(F.greatest(F.lit(0), overlap)).alias("_w_some"))
-    some = some.select(F.col("source").alias("_w_s"), F.col("_w_shard").alias("_w_h"), F.col("_w_row").alias("_w_r"), "_w_some")
+    first, end = F.greatest(F.col("_w_start"), F.col("_w_block") * block_words), F.least(F.col("_w_start") + F.col("size"), F.col("_w_block") * block_words + F.col("_w_part"))
+    span = F.when(end > first, F.struct((first - F.col("_w_start")).alias("first"), (end - F.col("_w_start")).alias("end")))
+    some = met.groupBy("source", "_w_shard", "_w_row").agg(F.sum(F.greatest(F.lit(0), end - first)).alias("_w_some"), F.sort_array(F.collect_list(span)).alias("ranges"))
+    some = some.select(F.col("source").alias("_w_s"), F.col("_w_shard").alias("_w_h"), F.col("_w_row").alias("_w_r"), "_w_some", "ranges")
     epochs = dealt.select(F.col("source").alias("_w_s2"), F.col("_w_shard").alias("_w_h2"), "_w_epochs")
-    empty = rows.filter("size = 0").select("_w_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    empty = rows.filter("size = 0").select("_w_id", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(some.schema["ranges"].dataType).alias("ranges"))
     full = placed.join(some, F.expr("source <=> _w_s and _w_shard = _w_h and _w_row = _w_r"), "left").join(epochs, F.expr("source <=> _w_s2 and _w_shard = _w_h2"), "left")
-    full = full.select("_w_id", "source", "size", (F.coalesce("_w_epochs", F.lit(0)) * F.col("size") + F.coalesce("_w_some", F.lit(0))).cast("long").alias("taken"))
+    full = full.select("_w_id", "source", "size", (F.coalesce("_w_epochs", F.lit(0)) * F.col("size") + F.coalesce("_w_some", F.lit(0))).cast("long").alias("taken"), "ranges")
     sizes = goals.select(F.col("source").alias("_w_s3"), "source_size", "target")
-    return full.union(empty).join(sizes, F.expr("source <=> _w_s3"), "left").select(F.col("_w_id").alias(id_column), "size", "source_size", "target", "taken")
+    return full.union(empty).join(sizes, F.expr("source <=> _w_s3"), "left").select(F.col("_w_id").alias(id_column), "size", "source_size", "target", "taken", "ranges")
