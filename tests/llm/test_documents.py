@@ -244,6 +244,18 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext| >"]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).filter("start = 0").collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*reference.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i].doc_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(ids[: got[i].length].tobytes())
+
+
 def test_packing_plan():
     rng = np.random.default_rng(2)
     histogram = np.bincount(rng.integers(1, 64, 5000), minlength=64)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import slices, written
 
 WINDOW, END_ID = 1024, 0
+#: Added tokens of the tokenizer file, which the ranks file doesn't hold; texts that contain one get its id.
+ADDED = {"<|endoftext|>": 50256}
 #: Largest table of rank offsets that is broadcast; beyond it the offsets are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -27,11 +29,11 @@ def _encoder(vocabulary: str):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(vocabulary), "rb"))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def _tokenize(vocabulary: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, task = _encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId()
+    encode, task = functools.partial(_encoder(vocabulary).encode, allowed_special="all"), TaskContext.get().partitionId()
     chunks, ranks = 0, np.zeros(window, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
