@@ -146,22 +146,22 @@ def test_repeated_passages_inside_a_mixed_group(spark):
 def test_anchors_and_windows():
     rng = np.random.default_rng(1)
     values = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    values[200:300] = np.tile(values[200:210], 10)  # a line that repeats
     starts = np.array([0, 0, 90, 95, 400, 400])
-    for length in (1, 3, 16, 46):
+    for length in (3, 16, 46):
         places = substring.anchors(values, starts, length)
-        left, right = substring.extents(values, places, starts)
-        true = {}
+        true = {a + k + int(o) for a, b in zip(starts[:-1], starts[1:], strict=True) for k in range(b - a - length + 1) for o in np.flatnonzero(values[a + k : a + k + length] == values[a + k : a + k + length].min())}
+        assert set(places.tolist()) == true
+        kept = substring.thinned(places, values, starts, length)
+        assert set(kept.tolist()) <= true
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            for k in range(a, b):
-                x = k
-                while x > a and values[x - 1] > values[k]:
-                    x -= 1
-                y = k
-                while y + 1 < b and values[y + 1] > values[k]:
-                    y += 1
-                if y - x + 1 >= length:
-                    true[k] = (x, y)
-        assert {int(p): (int(x), int(y)) for p, x, y in zip(places, left, right, strict=True)} == true
+            for k in range(a, b - length + 1):  # each window keeps a place of its minimum
+                assert any(k <= p < k + length and values[p] == values[k : k + length].min() for p in kept)
+        before, after = substring.extents(values, kept, starts, 20)
+        for p, x, y in zip(kept.tolist(), before.tolist(), after.tolist(), strict=True):
+            a, b = next((a, b) for a, b in zip(starts[:-1], starts[1:], strict=True) if a <= p < b)
+            assert x == next((k for k in range(20) if p - k - 1 < a or values[p - k - 1] < values[p]), 20)
+            assert y == next((k for k in range(20) if p + k + 1 >= b or values[p + k + 1] < values[p]), 20)
 
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

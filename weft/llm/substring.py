@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import having, mix, shingle_hashes, slices, word_hashes, written
+from weft.llm.common import mix, shingle_hashes, slices, word_hashes, written
 
-#: Words of a shingle and of the shortest passage, hash functions. A passage at 0.75 meets under none of four with probability 0.004.
-WORDS, LEAST, HASHES = 5, 50, 4
+#: Words of a shingle and of the shortest passage, hash functions. A passage at 0.75 meets under none of three with probability 0.016, one at 0.8 with 0.008.
+WORDS, LEAST, HASHES = 5, 50, 3
 #: Rounds of comparing with one member of each group, before what is left is compared in pairs of blocks of so many members.
 ROUNDS, MEMBERS = 2, 512
 #: Shingles by which inserted and deleted words may move the two sides of a passage against each other around an anchor.
@@ -52,69 +52,65 @@ def anchors(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero((running(padded, np.maximum) == values) & (values > 0))
 
 
-def extents(values: np.ndarray, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compact windows of the anchors: the Cartesian tree's ranges, up to the next smaller value on either side.
+def thinned(places: np.ndarray, values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Anchors without most of those that repeat a minimum within less than `length` places, as lines that repeat give them.
 
-    The first smaller value next to an anchor's window is an anchor itself, so the tree is built over anchors alone; pointers to
-    the last candidate jump over larger values until all are settled.
+    Of a run of equal minima the first and last one in each half length stay, so each window still holds one that stays.
     """
-    v, doc, n = values[places], np.searchsorted(starts, places, "right") - 1, len(places)
-    out = []
-    for step, strict in ((-1, False), (1, True)):
-        near = np.arange(n) + step
-        while True:
-            inside = (near >= 0) & (near < n)
-            at = np.clip(near, 0, max(0, n - 1))
-            inside &= doc[at] == doc
-            larger = inside & ((v[at] >= v) if strict else (v[at] > v))
-            if not larger.any():
-                break
-            near[larger] = near[at[larger]]
-        out.append(np.where(inside, places[at], -1))
-    left = np.where(out[0] >= 0, out[0] + 1, starts[doc])
-    right = np.where(out[1] >= 0, out[1] - 1, starts[doc + 1] - 1)
-    return left, right
-
-
-def _shingles(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of all texts of a batch, one after the other, and where each text's begin."""
-    hashes, at = word_hashes(part.column("text"))
-    own = [shingle_hashes(hashes[a:b], WORDS) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return (np.concatenate(own) if own else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc = np.searchsorted(starts, places, "right") - 1
+    order = np.lexsort((places, values[places], doc))
+    p, v, d = places[order], values[places[order]], doc[order]
+    begins = np.ones(len(p), bool)
+    begins[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1]) | (np.diff(p) >= length)
+    origin = p[np.maximum.accumulate(np.where(begins, np.arange(len(p)), 0))] if len(p) else p
+    first = begins.copy()
+    first[1:] |= np.diff((p - origin) // (length // 2)) != 0
+    last = np.ones(len(p), bool)
+    last[:-1] = first[1:]
+    return np.sort(p[first | last])
+
+
+def extents(values: np.ndarray, places: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Compact windows of the anchors, as places before and behind each: its range in the Cartesian tree of its document's values
+    (up to the next smaller value on either side), as far as `reach`."""
+    before, after = np.zeros(len(places), np.uint8), np.zeros(len(places), np.uint8)
+    padded = np.concatenate([np.zeros(reach, values.dtype), values, np.zeros(reach, values.dtype)])
+    step = np.arange(1, reach + 1)
+    doc = np.searchsorted(starts, places, "right") - 1
+    for a in range(0, len(places), 1 << 14):
+        at = places[a : a + (1 << 14)]
+        own, d = values[at][:, None], doc[a : a + (1 << 14)]
+        for out, sign, room in ((before, -1, at - starts[d]), (after, 1, starts[d + 1] - 1 - at)):
+            smaller = padded[at[:, None] + reach + sign * step] < own
+            far = np.where(smaller.any(1), smaller.argmax(1), reach)
+            out[a : a + (1 << 14)] = np.minimum(far, room)
+    return before, after
+
+
+def _scan(least: int, count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts: each one's digest, its shingles as 32-bit numbers, and its compact windows, keyed by hash function and minimum."""
+    length = least - WORDS + 1
     for batch in batches:
         for part in slices(batch, "text"):
             hashes, at = word_hashes(part.column("text"))
+            own = [shingle_hashes(hashes[a:b], WORDS) if b - a >= least else hashes[:0] for a, b in zip(at[:-1], at[1:], strict=True)]
             digests = [hashlib.blake2b(hashes[a:b].data, digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(at).astype(np.int64))], ["id", "digest", "words"])
-
-
-def _windows(least: int, count: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compact windows of each text, keyed by hash function and minimum."""
-    length = least - WORDS + 1
-    for batch in batches:
-        for part in slices(batch, "text"):
-            shingles, starts = _shingles(part)
-            if not len(shingles):
-                continue
-            ids = part.column("id").to_numpy()
-            for f in range(count):
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+            shingles = np.concatenate(own) if own else hashes[:0]
+            found = []
+            for f in range(count if len(shingles) else 0):
                 values = mix(shingles ^ np.uint64((f + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-                places = anchors(values, starts, length)
-                left, right = extents(values, places, starts)
-                doc = np.searchsorted(starts, places, "right") - 1
-                key = mix(values[places] + np.uint64(f))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), *[pa.array((x - starts[doc]).astype(np.int32)) for x in (places, left, right)]], ["key", "id", "at", "l", "r"])
-
-
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            shingles, starts = _shingles(part)
+                places = thinned(anchors(values, starts, length), values, starts, length)
+                found.append((places, mix(values[places] + np.uint64(f)).view(np.int64), *extents(values, places, starts, length - 1 + SHIFT)))
+            places, keys, before, after = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            doc = np.searchsorted(starts, places, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            cut = pa.array(np.searchsorted(doc[order], np.arange(len(own) + 1)).astype(np.int32))
+            fields = [pa.array(keys[order].astype(np.int64)), pa.array((places - starts[doc])[order].astype(np.int32)), pa.array(before[order].astype(np.int16)), pa.array(after[order].astype(np.int16))]
+            windows = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays(fields, ["key", "at", "before", "after"]))
             short = shingles.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array([x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary()) for x in (short, shingles.astype(np.uint16))]], ["id", "seq", "short"])
+            seq = pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(at).astype(np.int64)), seq, windows], ["id", "digest", "words", "seq", "windows"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +149,16 @@ def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.n
 def passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int = 0) -> list[tuple[int, int, int, int]]:
     """Near-duplicate ranges [s, e) of a and [s, e) of b, `length` shingles or more on both sides, that begin and end with
     equal shingles: multiset Jaccard of the two ranges, top / of at least, by their aligned shingles."""
+    found = _aligned_passages(a, b, length, top, of, offset)
+    if not found:
+        there, here = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        if len(there) and len(there) + len(here) > 2 * len(np.unique(a[there])):  # shingles repeat: other diagonals fit as well
+            for k in (0, -1):
+                found = found or _aligned_passages(a, b, length, top, of, int(here[k] - there[k]))
+    return found
+
+
+def _aligned_passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int) -> list[tuple[int, int, int, int]]:
     i, j = aligned(a, b, offset)
     if not len(i):
         return []
@@ -185,42 +191,129 @@ def _verify(length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -
             yield pa.RecordBatch.from_arrays([own, other, pa.array((x + lo).astype(np.int64)), pa.array((y + lo).astype(np.int64))], ["id", "other", "s", "e"])
 
 
-def _numbered(near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of the ranges in `near` and the range each is in; a range's k-th occurrence of a shingle differs from its first."""
-    raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in near]
-    value, row = np.concatenate(raw).astype(np.uint64), np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+def _numbered(near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of some ranges and the range each is in; a range's k-th occurrence of a shingle differs from its first."""
+    value, row = np.concatenate(near).astype(np.uint64), np.repeat(np.arange(len(near)), [len(x) for x in near])
     order = np.lexsort((value, row))
     v, r = value[order], row[order]
-    fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (r[1:] != r[:-1])])
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     at = np.arange(len(v))
     return v << np.uint64(16) | (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64), r
 
 
-def _pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of two blocks of a group (without a second, of the first), one of them left over, whose ranges share `least` shingles (as multisets)."""
-    fields = ("id", "at", "l", "r", "open", "near")
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ranges that share `least` shingles (as multisets), and how many. Ranges that share fewer with all others together are left out first, in linear time."""
+    (u, ru), (v, rv) = _numbered(x), _numbered(y)
+    if x is y:
+        values, many = np.unique(u, return_counts=True)
+        shared = values[many > 1]
+    else:
+        shared = np.intersect1d(u, v)
+    sides = []
+    for values, rows, n in ((u, ru, len(x)), (v, rv, len(y))):
+        place = np.searchsorted(shared, values)
+        hit = place < len(shared)
+        hit[hit] = shared[place[hit]] == values[hit]
+        kept = np.bincount(rows[hit], minlength=n) >= least
+        hit &= kept[rows]
+        sides.append((place[hit], rows[hit], kept))
+    none = np.zeros(0, np.int64)
+    if not all(kept.any() for *_, kept in sides):
+        return none, none, none
+    left = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
+    index = [np.flatnonzero(kept) for *_, kept in sides]
+    count = np.zeros((len(index[0]), len(index[1])), np.float32)
+    for start in range(0, len(left), 4096):
+        some = left[start : start + 4096]
+        parts = []
+        for (place, rows, _), own in zip(sides, index, strict=True):
+            inside = (place >= some[0]) & (place <= some[-1])
+            side = np.zeros((len(own), len(some)), np.float32)
+            side[np.searchsorted(own, rows[inside]), np.searchsorted(some, place[inside])] = 1
+            parts.append(side)
+        count += parts[0] @ parts[1].T
+    p, q = np.nonzero(count >= least)
+    return index[0][p], index[1][q], count[p, q]
+
+
+def _placed(sides: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side the ranges as places among the shingles that are there at all (a row each, padded with the last place), and as a table
+    of weights by place: 1 where a range has a shingle, -6 where it hasn't."""
+    every = np.unique(np.concatenate([v for side in sides for v in side]))
+    out = []
+    for side in sides:
+        lengths = np.array([len(v) for v in side])
+        inside = np.arange(lengths.max()) < lengths[:, None]
+        places = np.full(inside.shape, len(every), np.int64)
+        places[inside] = np.searchsorted(every, np.concatenate(side))
+        weights = np.full((len(side), len(every) + 1), -6, np.int16)
+        weights[np.repeat(np.arange(len(side)), lengths), places[inside]] = 1
+        weights[:, -1] = -6 * (lengths.max() + 1)
+        out.append((places, weights))
+    return out
+
+
+def _long_enough(weights: np.ndarray, length: int) -> np.ndarray:
+    """Rows with a run of at least `length` places that begins and ends with a weight of 1 and sums up to 0 or more."""
+    if weights.shape[1] < length:
+        return np.zeros(len(weights), bool)
+    total = np.cumsum(weights, axis=1, dtype=np.int32)
+    begins = np.where(weights == 1, total - weights, np.int32(1 << 30))
+    least = np.minimum.accumulate(begins[:, : weights.shape[1] - length + 1], axis=1)
+    return ((total[:, length - 1 :] >= least) & (weights[:, length - 1 :] == 1)).any(1)
+
+
+def _pairs(least: int, length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the members of two blocks of a group (without a second, of the first): for each one left over the passages that it shares
+    with the first other member, most shared shingles first, that it shares one with. Pairs don't leave the task.
+
+    Of two ranges with a similarity of 3/4 or more each has 3 of 4 shingles in common with the other, and the shorter one 6 of 7; members that have no such ranges are left out at once.
+    """
+    fields = ("id", "at", "lo", "open", "near")
     for batch in batches:
         same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
         for k, (one, two) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-            x, y = (dict(zip(fields, (c.values.field(f) for f in range(6)), strict=True)) for c in (one, two if two.is_valid else one))
-            (u, ru), (v, rv) = _numbered(x["near"]), _numbered(y["near"])
-            shared = np.intersect1d(u, v)
-            count = np.zeros((len(x["id"]), len(y["id"])), np.float32)
-            for start in range(0, len(shared), 4096):
-                some = shared[start : start + 4096]
-                sides = []
-                for values, rows, n in ((u, ru, len(x["id"])), (v, rv, len(y["id"]))):
-                    place = np.minimum(np.searchsorted(some, values), len(some) - 1)
-                    hit = some[place] == values
-                    side = np.zeros((n, len(some)), np.float32)
-                    side[rows[hit], place[hit]] = 1
-                    sides.append(side)
-                count += sides[0] @ sides[1].T
-            open_x, open_y = (z["open"].to_numpy(zero_copy_only=False) for z in (x, y))
-            id_x, id_y = x["id"].to_numpy(), y["id"].to_numpy()
-            good = (count >= least) & (open_x[:, None] | open_y[None, :]) & ((id_x[:, None] < id_y[None, :]) if same[k] else (id_x[:, None] != id_y[None, :]))
-            p, q = np.nonzero(good)
-            yield pa.RecordBatch.from_arrays([x[c].take(pa.array(p)) for c in ("id", "at", "l", "r")] + [y[c].take(pa.array(q)) for c in ("id", "at", "l", "r")], ["id", "at", "l", "r", "hub", "at2", "l2", "r2"])
+            sides = []
+            for given in (one,) if same[k] else (one, two):
+                m = {c: given.values.field(f) for f, c in enumerate(fields)}
+                ids, at, lo = (m[c].to_numpy() for c in ("id", "at", "lo"))
+                sides.append((ids, at - lo, lo, m["open"].to_numpy(zero_copy_only=False).copy(), [np.frombuffer(n.as_buffer(), np.uint32) for n in m["near"]]))
+            p, q, shared = _overlaps(sides[0][4], sides[-1][4], least)
+            good = sides[0][0][p] != sides[-1][0][q]
+            p, q, shared = p[good], q[good], shared[good]
+            if not len(p):
+                continue
+            places = _placed([side[4] for side in sides])
+            out = []
+            for x, y, own, other, left, right in ((sides[0], sides[-1], places[0], places[-1], p, q), (sides[-1], sides[0], places[-1], places[0], q, p))[: 1 if same[k] else 2]:
+                order = np.lexsort((-shared, left))
+                left, right = left[order], right[order]
+                for a, b in zip(*(np.searchsorted(left, np.arange(len(x[0])), side) for side in ("left", "right")), strict=True):
+                    if a == b or not x[3][left[a]]:
+                        continue
+                    i, near = left[a], right[a:b]
+                    n = len(x[4][i])
+                    if 4 * top >= 3 * of:
+                        here, there = other[1][near][:, own[0][i, :n]], own[1][i][other[0][near]]
+                        near = near[_long_enough(np.maximum(here, -3), length) & _long_enough(np.where(there < -6, there, np.maximum(there, -3)), length) & (_long_enough(here, length) | _long_enough(there, length))]
+                    for j in near.tolist():
+                        found = passages(x[4][i], y[4][j], length, top, of, int(y[1][j] - x[1][i]))
+                        if found:
+                            x[3][i] = y[3][j] = False
+                            out += [(x[0][i], y[0][j], s + x[2][i], e + x[2][i]) for s, e, *_ in found] + [(y[0][j], x[0][i], s + y[2][j], e + y[2][j]) for *_, s, e in found]
+                            break
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(out, np.int64).T], ["id", "other", "s", "e"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of each member's range."""
+    for batch in batches:
+        for part in slices(batch, "near", 1 << 22):
+            own = [np.unique(np.frombuffer(x.as_buffer(), np.uint32)) for x in part.column("near")]
+            take = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("key", "id", "at")], pa.array(np.concatenate(own).astype(np.int64))], ["key", "id", "at", "shingle"])
 
 
 def _meet(met: DataFrame, length: int) -> DataFrame:
@@ -228,10 +321,10 @@ def _meet(met: DataFrame, length: int) -> DataFrame:
 
     Both windows are cut to what the other one reaches, and SHIFT more; those of one pair on neighbouring diagonals are joined.
     """
-    before, after = F.least(F.col("at") - F.col("l"), F.col("at2") - F.col("l2")), F.least(F.col("r") - F.col("at"), F.col("r2") - F.col("at2"))
-    ends = [F.greatest("l", F.col("at") - before - SHIFT).alias("lo"), F.least("r", F.col("at") + after + SHIFT).alias("hi"), F.greatest("l2", F.col("at2") - before - SHIFT).alias("lo2"), F.least("r2", F.col("at2") + after + SHIFT).alias("hi2")]
-    met = met.filter((F.col("id") != F.col("hub")) & (before + after + 1 + SHIFT >= length)).select("id", "hub", (F.col("at") - F.col("at2")).alias("delta"), *ends)
-    met = met.filter((F.col("hi") - F.col("lo") + 1 >= length) & (F.col("hi2") - F.col("lo2") + 1 >= length)).distinct()
+    before, after = F.least("before", "before2") + SHIFT, F.least("after", "after2") + SHIFT
+    ends = [(F.col("at") - F.least("before", before)).alias("lo"), (F.col("at") + F.least("after", after)).alias("hi"), (F.col("at2") - F.least("before2", before)).alias("lo2"), (F.col("at2") + F.least("after2", after)).alias("hi2")]
+    met = met.filter((F.col("id") != F.col("hub")) & (before + after + 1 - SHIFT >= length)).select("id", "hub", (F.col("at") - F.col("at2")).alias("delta"), *ends)
+    met = met.filter((F.col("hi") - F.col("lo") + 1 >= length) & (F.col("hi2") - F.col("lo2") + 1 >= length))
     w = Window.partitionBy("id", "hub").orderBy("delta", "lo", "hi", "lo2", "hi2")
     far = F.col("delta") - F.lag("delta").over(w) > SHIFT
     met = met.withColumn("far", F.coalesce(far.cast("int"), F.lit(0))).withColumn("island", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -247,56 +340,38 @@ def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     each group windows are cut to what both reach, neighbouring diagonals of a pair joined, and shingles aligned, inserted and
     deleted words included; passages begin and end with equal shingles and are kept with a similarity of top / of. Members
     meet one of their group first; what no passage covers tries another one, and after `rounds` of them all others, in pairs
-    of blocks of about `members` inside tasks. Equal texts go on as one, their copies get its passages and, from `least`
-    words on, the whole text as one.
+    of blocks of about `members` inside tasks. Members of larger groups whose surroundings nobody in the group shares go before
+    that, by counting. Equal texts go on as one, their copies get its passages and, from `least` words on, the whole text as one.
 
     Null, empty and shorter texts, and rows with a null id, return nothing. Rows that repeat an id are one document, whose texts don't repeat
-    each other.
+    each other; an empty table gives an empty one.
     """
     kind, length = documents.schema[id_column].dataType.simpleString(), least - WORDS + 1
     given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
-    named = written(given.mapInArrow(_digest, "id long, digest binary, words long").filter(F.col("words") >= least))
+    rows = given.mapInArrow(functools.partial(_scan, least, hashes), "id long, digest binary, words long, seq binary, windows array<struct<key:long,at:int,before:smallint,after:smallint>>")
+    rows = written(rows.filter(F.col("words") >= least))
+    named = rows.select("id", "digest", "words")
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max("words").alias("words")))
-    copies = written(named.join(classes, "digest").filter("id <> rep").select("rep", "id").distinct())
-    every = given.mapInArrow(functools.partial(_windows, least, hashes), "key long, id long, at int, l int, r int")
-    windows = written(every)
-    shared = windows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key")
-    hits = having(windows, written(shared), "key")
-    hits = written(hits.join(copies.select("id").distinct(), "id", "left_anti").distinct())
-    wanted = written(hits.select("id").distinct())
-    sequences = written(having(given, wanted, "id").mapInArrow(_sequences, "id long, seq binary, short binary"))
+    copies = written(named.join(classes.filter("rep <> last").select("digest", "rep"), "digest").filter("id <> rep").select("rep", "id").distinct())
+    windows = rows.select("id", F.explode("windows").alias("w")).select("id", "w.*")
+    shared = written(windows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key"))
+    hits = written(windows.join(shared, "key", "left_semi").join(copies.select("id").distinct(), "id", "left_anti"))
+    at = ("id", "at", "before", "after")
+    hubs = hits.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), *at)).alias(f"h{turn}") for turn in range(rounds)], F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
+    hubs = written(hubs.filter("a <> b").drop("a", "b"))
+    sequences = rows.select(F.col("id").alias("doc"), "seq")
+    cut = lambda lo, hi: F.substring(F.col("seq"), F.col(lo) * 4 + 1, (F.col(hi) - F.col(lo) + 1) * 4)
     found, rest = None, hits
-
-    def verified(met: DataFrame) -> DataFrame:
-        cut = lambda lo, hi: F.substring(F.col("seq"), F.col(lo) * 4 + 1, (F.col(hi) - F.col(lo) + 1) * 4)
-        own = _meet(met, length).join(sequences.select("id", "seq"), "id").select("id", "hub", "delta", "lo", "lo2", "hi2", cut("lo", "hi").alias("own"))
-        both = own.join(sequences.select(F.col("id").alias("hub"), "seq"), "hub").select("id", "hub", "delta", "lo", "lo2", "own", cut("lo2", "hi2").alias("other"))
-        return both.mapInArrow(functools.partial(_verify, length, top, of), "id long, other long, s long, e long").distinct()
-
     for turn in range(rounds):
-        hub = hits.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id", "at", "l", "r")).alias("h"))
-        new = verified(rest.join(hub, "key").select("id", "at", "l", "r", *[F.col(f"h.{c}").alias(n) for c, n in (("id", "hub"), ("at", "at2"), ("l", "l2"), ("r", "r2"))]))
+        hub = hubs.select("key", *[F.col(f"h{turn}.{c}").alias("hub" if c == "id" else f"{c}2") for c in at])
+        met = written(_meet(rest.join(hub, "key"), length))
+        own = met.join(sequences, F.col("id") == F.col("doc")).select(*met.columns, cut("lo", "hi").alias("own"))
+        both = own.join(sequences, F.col("hub") == F.col("doc")).select("id", "hub", "delta", "lo", "lo2", "own", cut("lo2", "hi2").alias("other"))
+        new = both.mapInArrow(functools.partial(_verify, length, top, of), "id long, other long, s long, e long").distinct()
         found = written(found.union(new) if found is not None else new)
         covered = merged(found).select(F.col("id").alias("i"), "s", "e")
-        rest = written(hits.join(covered, (F.col("id") == F.col("i")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left_anti"))
-    many = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").join(rest.select("key").distinct(), "key", "left_semi")
-    many = written(many.select("key", F.ceil(F.col("n") / members).alias("parts")))
-
-    def blocks(keys: DataFrame) -> DataFrame:
-        left = hits.join(keys, "key").join(rest.select("key", "id", "at", F.lit(True).alias("open")), ["key", "id", "at"], "left").join(sequences.select("id", "short"), "id")
-        lo, hi = F.greatest("l", F.col("at") - length + 1), F.least("r", F.col("at") + length - 1)
-        near = F.substring(F.col("short"), lo * 2 + 1, (hi - lo + 1) * 2).alias("near")
-        left = left.select("key", F.pmod(F.xxhash64("id", "at"), "parts").cast("int").alias("block"), F.struct("id", "at", "l", "r", F.coalesce("open", F.lit(False)).alias("open"), near).alias("m"))
-        return left.groupBy("key", "block").agg(F.collect_list("m").alias("a"), F.bool_or("m.open").alias("open"))
-
-    one = blocks(many.filter("parts = 1"))
-    one = one.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "a", F.lit(None).cast(one.schema["a"].dataType).alias("b"))
-    large = written(blocks(many.filter("parts > 1")))
-    two = large.select("key", F.col("block").alias("i"), "a", "open").join(large.select("key", F.col("block").alias("j"), F.col("a").alias("b"), F.col("open").alias("open2")), "key").filter("i <= j and (open or open2)")
-    two = one.union(two.select("key", "i", "j", "a", "b").repartition("key", "i", "j"))
-    common = 2 * length * top // (top + of) * 9 // 10  # that two such passages share around an anchor, less a tenth for longer ones
-    pairs = two.mapInArrow(functools.partial(_pairs, common), "id long, at int, l int, r int, hub long, at2 int, l2 int, r2 int")
-    found = written(found.union(verified(written(pairs))))
+        rest = written(rest.join(covered, (F.col("id") == F.col("i")) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")), "left_anti"))
+    found = written(found.union(_among(hits, rest, hubs.select("key", "n").filter("n > 2"), sequences, length, top, of, members)))
     alike = classes.filter("rep <> last")
     whole = alike.select(F.col("rep").alias("id"), F.col("last").alias("other"), F.lit(0).cast("long").alias("s"), (F.col("words") - WORDS + 1).alias("e"))
     again = copies.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "other", "s", "e")
@@ -305,6 +380,30 @@ def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     return out.select(F.col("id").cast(kind).alias(id_column), F.col("s").alias("start_word"), (F.col("e") + WORDS - 1).alias("end_word"), (F.col("e") + WORDS - 1 - F.col("s")).alias("n_words"), F.col("other").cast(kind).alias("other_id"))
 
 
+def _among(hits: DataFrame, rest: DataFrame, sizes: DataFrame, sequences: DataFrame, length: int, top: int, of: int, members: int) -> DataFrame:
+    """Passages, (id, other, s, e), that what is left of groups (key, n) shares with other members of its group, around their anchors."""
+    least = -(-2 * length * top // (top + of)) - 2  # what two shortest passages share around an anchor, a little less for longer ones
+    many = written(sizes.join(rest.select("key").distinct(), "key", "left_semi").select("key", F.ceil(F.col("n") / members).cast("int").alias("parts")))
+    opened = rest.select("key", "id", "at", F.lit(True).alias("open"))
+    near = hits.join(many, "key").join(sequences, F.col("id") == F.col("doc")).select("key", "parts", "id", "at", (F.col("at") - F.col("before")).alias("lo"), F.substring(F.col("seq"), (F.col("at") - F.col("before")) * 4 + 1, (F.col("before") + F.col("after") + 1) * 4).alias("near"))
+    near = written(near.join(opened, ["key", "id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
+    large = near.filter("parts > 1")
+    alone = large.select("key", "id", "at", "near").mapInArrow(_spread, "key long, id long, at int, shingle long").groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("m"))
+    alone = alone.filter("n = 1").groupBy("key", F.col("m.id").alias("id"), F.col("m.at").alias("at")).agg(F.count(F.lit(1)).alias("alone"))
+    large = written(large.join(alone, ["key", "id", "at"], "left").filter(F.length("near") / 4 - F.coalesce("alone", F.lit(0)) >= least).drop("alone", "parts"))
+    parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
+
+    def blocks(df: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", "at"), "parts").cast("int").alias("block")
+        return df.groupBy("key", block).agg(F.collect_list(F.struct("id", "at", "lo", "open", "near")).alias("a"), F.bool_or("open").alias("open"))
+
+    whole = blocks(near.filter("parts = 1")).filter("open")
+    dealt = written(blocks(large.join(parts, "key")))
+    two = dealt.select("key", F.col("block").alias("i"), "a", "open").join(dealt.select("key", F.col("block").alias("j"), F.col("a").alias("b"), F.col("open").alias("open2")), "key").filter("i <= j and (open or open2)")
+    pairs = whole.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "a", F.lit(None).cast(whole.schema["a"].dataType).alias("b")).union(two.select("key", "i", "j", "a", "b").repartition("key", "i", "j"))
+    return pairs.select("i", "j", "a", "b").mapInArrow(functools.partial(_pairs, least, length, top, of), "id long, other long, s long, e long")
+
+
 def merged(segments: DataFrame) -> DataFrame:
     """Overlapping segments (id, other, s, e) of an id joined into one."""
     w = Window.partitionBy("id").orderBy("s", "e")
