@@ -166,7 +166,10 @@ def _aligned_passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: i
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
     out: list[tuple[int, int, int, int]] = []
     reach = -1
+    needed = -(-2 * length * top // (top + of))  # equal shingles of two shortest passages
     for k in range(len(first)):
+        if reach == len(first) - 1 or len(i) - first[k] < needed:
+            break
         both = last[k:] - first[k] + 1
         m, n = i[last[k:]] - i[first[k]] + 1, j[last[k:]] - j[first[k]] + 1
         good = np.flatnonzero((m >= length) & (n >= length) & (of * both >= top * (m + n - both)))
@@ -202,39 +205,47 @@ def _numbered(near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return v << np.uint64(16) | (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64), r
 
 
-def _overlaps(x: list[np.ndarray], y: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of ranges that share `least` shingles (as multisets), and how many. Ranges that share fewer with all others together are left out first, in linear time."""
-    (u, ru), (v, rv) = _numbered(x), _numbered(y)
-    if x is y:
-        values, many = np.unique(u, return_counts=True)
-        shared = values[many > 1]
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], open_x: np.ndarray, open_y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ranges, one of them open, that share `least` shingles (as multisets), and how many; of one list with itself each open one with all. Ranges that share fewer
+    with all others together are left out first, in linear time."""
+    same = x is y
+    (u, ru) = _numbered(x)
+    if same:
+        v, rv = u, ru
+        ordered = np.sort(u)
+        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     else:
+        v, rv = _numbered(y)
         shared = np.intersect1d(u, v)
-    sides = []
-    for values, rows, n in ((u, ru, len(x)), (v, rv, len(y))):
+    none = np.zeros(0, np.int64)
+    if len(shared) < least:
+        return none, none, none
+
+    def part(values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place = np.searchsorted(shared, values)
         hit = place < len(shared)
         hit[hit] = shared[place[hit]] == values[hit]
-        kept = np.bincount(rows[hit], minlength=n) >= least
-        hit &= kept[rows]
-        sides.append((place[hit], rows[hit], kept))
-    none = np.zeros(0, np.int64)
-    if not all(kept.any() for *_, kept in sides):
+        return place[hit], rows[hit], np.bincount(rows[hit], minlength=n) >= least
+
+    sides = [part(u, ru, len(x))] * 2 if same else [part(u, ru, len(x)), part(v, rv, len(y))]
+    kept = [sides[0][2] & open_x if same or not open_y.any() else sides[0][2], sides[1][2]]
+    index = [np.flatnonzero(k) for k in kept]
+    if not len(index[0]) or not len(index[1]):
         return none, none, none
-    left = np.unique(np.concatenate([sides[0][0], sides[1][0]]))
-    index = [np.flatnonzero(kept) for *_, kept in sides]
     count = np.zeros((len(index[0]), len(index[1])), np.float32)
-    for start in range(0, len(left), 4096):
-        some = left[start : start + 4096]
+    for start in range(0, len(shared), 4096):
         parts = []
-        for (place, rows, _), own in zip(sides, index, strict=True):
-            inside = (place >= some[0]) & (place <= some[-1])
-            side = np.zeros((len(own), len(some)), np.float32)
-            side[np.searchsorted(own, rows[inside]), np.searchsorted(some, place[inside])] = 1
+        for (place, rows, _), own, k in zip(sides, index, kept, strict=True):
+            inside = k[rows] & (place >= start) & (place < start + 4096)
+            side = np.zeros((len(own), min(4096, len(shared) - start)), np.float32)
+            side[np.searchsorted(own, rows[inside]), place[inside] - start] = 1
             parts.append(side)
         count += parts[0] @ parts[1].T
     p, q = np.nonzero(count >= least)
-    return index[0][p], index[1][q], count[p, q]
+    shares = count[p, q]
+    p, q = index[0][p], index[1][q]
+    good = open_x[p] | open_y[q]
+    return p[good], q[good], shares[good]
 
 
 def _placed(sides: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -279,7 +290,9 @@ def _pairs(least: int, length: int, top: int, of: int, batches: Iterator[pa.Reco
                 m = {c: given.values.field(f) for f, c in enumerate(fields)}
                 ids, at, lo = (m[c].to_numpy() for c in ("id", "at", "lo"))
                 sides.append((ids, at - lo, lo, m["open"].to_numpy(zero_copy_only=False).copy(), [np.frombuffer(n.as_buffer(), np.uint32) for n in m["near"]]))
-            p, q, shared = _overlaps(sides[0][4], sides[-1][4], least)
+            if not (sides[0][3].any() or sides[-1][3].any()):
+                continue
+            p, q, shared = _overlaps(sides[0][4], sides[-1][4], sides[0][3], sides[-1][3], least)
             good = sides[0][0][p] != sides[-1][0][q]
             p, q, shared = p[good], q[good], shared[good]
             if not len(p):
