@@ -29,6 +29,17 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0), spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
 
 
+def test_urls_with_many_labels(spark):
+    import time
+
+    rules = spark.createDataFrame([("org", "/", "block"), ("b.example.org", "/x", "allow")], "host string, path string, verdict string")
+    df = spark.createDataFrame([(1, "http://" + "a." * 10_000 + "b.example.org/xyz"), (2, "http://" + "." * 10_000 + "org/")], "page_id long, url string")
+    urlfilter.judge(df.limit(0), rules).count()
+    begun = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(df, rules).collect()}
+    assert got == {1: ("b.example.org/x", "allow"), 2: ("org/", "block")} and time.time() - begun < 15
+
+
 def test_escaping_is_reversible_and_complete():
     for text in ["", "\\", "\\\\<s>", "<|im_end|>\n", "<\\|im_end|>", "<<s>>", "[INST][/INST]<|>", "</s>[INST] ok [/INST]", "a\\", "<|" * 50]:
         hidden = chat.escape(text)
@@ -68,7 +79,7 @@ def vectors(spark):
         x[i] = x[i % 5] + 0.08 * rng.standard_normal(16)
     x[200:240] = x[0]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    bad = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [1.0] * 15 + [None], 1), (1050, [float("nan")] * 16, 1), (1004, [float("inf")] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1), (None, x[0].tolist(), 1), (1006, (x[0] * 1e200).tolist(), 1)]
+    bad = [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [1.0] * 15 + [None], 1), (1050, [float("nan")] * 16, 1), (1004, [float("inf")] + [1.0] * 15, 1), (1005, [1.0, 2.0], 1), (1007, [2.0, 4.0], 1), (None, x[0].tolist(), 1), (1006, (x[0] * 1e200).tolist(), 1)]
     return x, spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, id int")
 
 
@@ -86,11 +97,14 @@ def test_vector_duplicates(spark, vectors):
         new = np.where(linked, label, len(y)).min(1)
         label = np.minimum(label, new)
     got = embedding_dedup.near_duplicates(df).collect()
-    assert len(got) == 608
+    assert len(got) == 609
     for r in got:
         if r.vec_id is None:
             assert (r.n_links, r.component_id, r.kept) == (0, None, True)
             continue
+        if r.vec_id in (1005, 1007):  # of another length than the others
+            assert (r.n_links, r.component_id) == (1, 1005)
+            continue
         i = 600 if r.vec_id == 1006 else r.vec_id
         n, c = (int(linked[i].sum()), int(label[i])) if i <= 600 else (0, r.vec_id)
         assert (r.n_links, r.component_id, r.kept) == (n, c, c == r.vec_id)
@@ -119,3 +133,12 @@ def test_nearest(spark, vectors):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in neighbours.nearest(few, F.col("vec_id") % 50 == 0).filter("query_id = 0").orderBy("rank").collect()] == [50, 2]
     assert neighbours.nearest(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_nearest_of_ties_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0, 0.0]), (7, [1.0, 0.0]), (9, [2.0, 0.0]), (3, [4.0, 0.0]), (8, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (61, [1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [3, 5, 6, 7, 8], 50: [61]}

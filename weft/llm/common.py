@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.scratch import written
@@ -22,24 +22,41 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
 
 
-def having(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of df whose `column` is in keys (one column of longs, written); wide rows aren't shuffled while the keys are few."""
-    few = keys.count() * 32 <= BROADCAST_BYTES
-    return df.join(F.broadcast(keys) if few else keys, column, "left_semi")
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, marked for a broadcast if their counted size allows it."""
+    return F.broadcast(keys) if keys.count() * 32 <= BROADCAST_BYTES else keys
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def having(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of df whose `columns` are in keys (written longs); wide rows aren't shuffled while the keys are few."""
+    return df.join(_few(keys), list(columns), "left_semi")
+
+
+def lacking(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Rows of df whose `columns` aren't in keys; otherwise as `having`."""
+    return df.join(_few(keys), list(columns), "left_anti")
+
+
+def row_key(id_column: Column, text: Column) -> list[Column]:
+    """k1 and k2: 128 bits that tell rows apart by id and text; a null text counts as an empty one."""
+    shown = F.coalesce(id_column.cast("string"), F.lit("\0"))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(shown, text).alias("k1"), F.xxhash64(F.lit(7), text, shown).alias("k2")]
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b): (node, component), component the smallest reachable node.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join, until the edges no longer change.
+    Alternating large-star and small-star steps, each a grouped minimum and a join, until the edges no longer change. Minima
+    of the large step are written before they are joined, so that Spark may split a hub's edges.
     Nodes without an edge (or only with themselves) aren't returned.
     """
     a, b = edges.columns
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -48,8 +65,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
 
 

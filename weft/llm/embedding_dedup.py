@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import by_group, components, written
-from weft.llm.vectors import cosines, matrix, usable
+from weft.llm.vectors import cosines, hashes, lengths, matrix, usable
 
 #: Codes, parts of a code, filters of a code that a vector exceeds on average and at least, rows of a block in a comparison.
 CODES, PARTS, FILTERS, LEAST, BLOCK = 4, 2, 32, 16, 1024
@@ -112,7 +112,7 @@ def _edges(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             a, b = np.array(sorted(found), np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return by_group(batches, ["prefix", "i", "j"], work)
+    return by_group(batches, ["d", "prefix", "i", "j"], work)
 
 
 def _counts(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +130,17 @@ def _counts(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         if i != j:
             out.append((ids[right], linked.T @ copies[left]))
         for own, n in out:
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], ["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group.column("d")[0].as_py(), np.int32)), pa.array(own), pa.array(n.astype(np.int64))], ["d", "id", "n"])
 
-    return by_group(batches, ["component", "i", "j"], work)
+    return by_group(batches, ["component", "d", "i", "j"], work)
 
 
-def in_blocks(rows: DataFrame, key: str, counted: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, key: list[str], counted: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deals the rows of each key (as many as in `counted`) into blocks, and each row to all pairs (i, j) of blocks that its own one is part of."""
-    sizes = counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = written(counted.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     dealt = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o", "blocks")
-    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return dealt.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
 
 
 def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, filters: int = FILTERS, codes: int = CODES) -> DataFrame:
@@ -152,28 +152,33 @@ def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector: str = "
     rows, and edges that connect what is linked are kept. Links are then counted within the components, again in
     pairs of blocks: only sums leave a task, not pairs. Work in a component grows with the square of its size, as does the number of its links.
 
-    Vectors that are null, zero, hold null or non-finite components or have another length than most link with nothing: 0 links and a
-    component of their own. Rows with a null id likewise, with a null component. Rows that repeat an id with
+    Vectors of one length are compared with each other, through filters where there are more than a few thousand, else directly; of different lengths they don't link.
+    Vectors that are null, zero or hold null or non-finite components link with nothing: 0 links and a component of their own. Rows with a null id likewise, with a null component. Rows that repeat an id with
     different vectors are one node of a component, with links counted by each row's vector.
     """
     kind = table.schema[id_column].dataType.simpleString()
     rows = written(usable(table, id_column, vector))
-    classes = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-    size = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    books = [code(size[1] or 1, size[0], filters, seed=5 + k) for k in range(codes)]
-    decoded = written(classes.select("id", "v").mapInArrow(functools.partial(_decode, books), "id long, prefix long, suffixes array<int>"))
-    vectors = classes.select("id", F.col("v").cast("array<float>").alias("v")) if dict(table.dtypes)[vector] == "array<float>" else classes.select("id", "v")
-    met = in_blocks(decoded.join(vectors, "id"), "prefix", decoded).select("prefix", "i", "j", "id", F.col("v").cast("array<double>").alias("v"), "suffixes")
+    classes = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("d").alias("d"), F.first("v").alias("v")))
+    many = lengths(classes)
+    # short of an index: all vectors of a length are one bucket, which blocks deal out
+    decoded = classes.filter(~F.col("d").isin(*many)).select("id", "d", F.lit(-1).cast("long").alias("prefix"), F.array(F.lit(0)).alias("suffixes"))
+    for d, n in many.items():
+        books = [code(d, n, filters, seed=5 + k) for k in range(codes)]
+        found = classes.filter(F.col("d") == d).select("id", "v").mapInArrow(functools.partial(_decode, books), "id long, prefix long, suffixes array<int>")
+        decoded = decoded.unionByName(found.withColumn("d", F.lit(d)))
+    decoded = written(decoded)
+    vectors = classes.select("id", "d", F.col("v").cast("array<float>").alias("v")) if dict(table.dtypes)[vector] == "array<float>" else classes.select("id", "d", "v")
+    met = in_blocks(decoded.join(vectors, ["id", "d"]), ["d", "prefix"], decoded).select("d", "prefix", "i", "j", "id", F.col("v").cast("array<double>").alias("v"), "suffixes")
     edges = written(met.mapInArrow(functools.partial(_edges, threshold), "a long, b long").distinct())
     same = rows.join(classes.select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"]).select("a", F.col("id").alias("b")).filter("a <> b").distinct()
     parts = written(components(edges.union(same)))
     inside = classes.join(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), "id", "left_semi").join(parts, F.col("id") == F.col("node"))
-    blocks = in_blocks(inside.select("component", "id", "copies", "v"), "component", inside).select("component", "i", "j", "block", "id", "copies", "v")
-    counts = written(blocks.mapInArrow(functools.partial(_counts, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
-    linked = rows.join(classes.select("h1", "h2", F.col("id").alias("c"), "copies"), ["h1", "h2"]).join(counts.withColumnRenamed("id", "c"), "c", "left")
+    blocks = in_blocks(inside.select("component", "d", "id", "copies", "v"), ["component", "d"], inside).select("component", "d", "i", "j", "block", "id", "copies", "v")
+    counts = written(blocks.mapInArrow(functools.partial(_counts, threshold), "d int, id long, n long").groupBy("d", "id").agg(F.sum("n").alias("n")))
+    linked = rows.join(written(classes.select("h1", "h2", F.col("id").alias("c"), "copies")), ["h1", "h2"]).join(counts.withColumnRenamed("id", "c"), ["d", "c"], "left")
     linked = linked.select("id", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")).groupBy("id", "h1", "h2").agg(F.first("n_links").alias("n_links"))
     v = F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))
-    every = table.select(F.col(id_column).cast("long").alias("_w_id"), F.xxhash64(v).alias("_w_h1"), F.xxhash64(F.lit(1), v).alias("_w_h2"))
+    every = table.select(F.col(id_column).cast("long").alias("_w_id"), *[h.alias(f"_w_h{i + 1}") for i, h in enumerate(hashes(v))])
     out = every.join(linked, (F.col("_w_id") == F.col("id")) & (F.col("_w_h1") == F.col("h1")) & (F.col("_w_h2") == F.col("h2")), "left").join(parts, F.col("_w_id") == F.col("node"), "left")
     component = F.coalesce("component", "_w_id")
     return out.select(F.col("_w_id").cast(kind).alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(component == F.col("_w_id"), F.lit(True)).alias("kept"))

@@ -16,8 +16,10 @@ from weft.llm.common import by_group, components, having, mix, shingle_hashes, s
 #: A pair at similarity 0.75 meets in none of the 40 bands of 5 coordinates with probability 2e-5, one at 0.8 with 1e-7.
 BANDS, ROWS, WORDS = 40, 5, 5
 UNIVERSE = 1 << 20
-#: Residual groups are compared in blocks of so many documents, after so many rounds of comparing with one member.
-BLOCK, ROUNDS = 1024, 2
+#: Larger sets are thinned by the factor, again and again, so that they leave most of the universe free; sets near a limit are signed on both sides of it.
+LARGE, FACTOR, NEAR = 1 << 18, 64, 0.7
+#: Residual groups are compared in blocks of so many documents and about so many shingles, after so many rounds of comparing with one member.
+BLOCK, BLOCK_SHINGLES, ROUNDS = 1024, 1 << 21, 2
 #: A pair goes on to its full sets unless its signatures agree in so many standard deviations less than the similarity asks for.
 DEVIATIONS = 5.5
 
@@ -39,14 +41,30 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS, seed: int =
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    key = np.arange(1, bands + 1, dtype=np.uint64)
+def band_keys(sig: np.ndarray, bands: int, rows: int, level: int = 0) -> np.ndarray:
+    key = np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(level << 32)
     for column in sig.reshape(bands, rows).T.astype(np.uint64):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key.view(np.int64)
 
 
-def _sign(words: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def levels(n: int, large: int = LARGE) -> list[int]:
+    """How often a set of n shingles is thinned, one or two numbers: similar sets have one in common, whatever their sizes."""
+    out, most, k = [], large, 0
+    while True:
+        if n <= most:
+            out.append(k)
+            if n < NEAR * most:
+                return out
+        most, k = most * FACTOR, k + 1
+
+
+def thinned(shingles: np.ndarray, level: int) -> np.ndarray:
+    """The part of a set that is chosen by a hash of its own, the same shingles in each set."""
+    return shingles[mix(shingles + np.uint64(0x5851F42D4C957F2D)) % np.uint64(FACTOR**level) == 0] if level else shingles
+
+
+def _sign(words: int, bands: int, rows: int, large: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             hashes, at = word_hashes(part.column("text"))
@@ -57,10 +75,10 @@ def _sign(words: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch])
                 if not len(own):
                     digest.append(None), keys.append(None), low.append(None)
                     continue
-                sig = signature(own, bands * rows)
+                signs = [(k, signature(thinned(own, k), bands * rows)) for k in levels(len(own), large)]
                 digest.append(hashlib.blake2b(own.data, digest_size=16).digest())
-                keys.append(band_keys(sig, bands, rows))
-                low.append(sig.astype(np.uint8).tobytes())
+                keys.append(np.concatenate([band_keys(sig, bands, rows, k) for k, sig in signs]))
+                low.append(bytes([signs[0][0]]) + signs[0][1].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "n", "digest", "keys", "low"])
 
 
@@ -87,10 +105,15 @@ def _confirm(top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Rows whose signatures agree in `least` places, or were thinned differently (the first place), so that they can't tell."""
+    return (np.count_nonzero(a[:, 1:] == b[:, 1:], axis=1) >= least) | (a[:, 0] != b[:, 0])
+
+
 def _agreeing(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("low_a", "low_b"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(np.count_nonzero(a == b, axis=1) >= least))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(_alike(a, b, least) if batch.num_rows else [], pa.bool_()))
 
 
 def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, least: int, top: int, of: int) -> DataFrame:
@@ -126,16 +149,20 @@ def _likely(least: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) ->
         if len(ids) < 2 or (part == part[0]).all():
             return
         low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        lists = group.column("keys").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        keys = np.arange(len(ids))[:, None] * np.ones((1, sizes.max()), np.int64)  # beyond its own keys a row has nobody else's
+        keys[np.arange(sizes.max()) < sizes[:, None]] = lists.flatten().to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("short")]
         key, first, second = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
         found = []
         for i in left:
             other = right[(part[right] != part[i]) & ((ids[right] > ids[i]) | (first != second))]
-            other = other[np.count_nonzero(low[other] == low[i], axis=1) >= least]
+            other = other[_alike(low[other], low[i : i + 1], least)]
             met = keys[other] == keys[i]
-            other = other[keys[i][met.argmax(1)] == key] if len(other) else other
+            apart = (sizes[other] != sizes[i]) | (low[other, 0] != low[i, 0])  # thinned differently: their common keys stand in other places
+            other = other[apart | (keys[i][met.argmax(1)] == key)] if len(other) else other
             found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other.tolist() if alike(sets[i], sets[j])]
         if found:
             a, b = np.array(found, np.int64).T
@@ -144,13 +171,14 @@ def _likely(least: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) ->
     return by_group(batches, ["key", "i", "j"], work)
 
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, top: int = 75, of: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, top: int = 75, of: int = 100, bands: int = BANDS, rows: int = ROWS, large: int = LARGE) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of documents.
 
     Linked are documents whose sets of `words`-word shingles (A-Z lower-cased; a shorter text is one shingle) have a Jaccard
     similarity of at least top / of. Texts without words, null ones too, have no shingles and no links. component_id is the
     smallest id reachable, kept marks that id's row. Rows that repeat an id are one document with several texts; a row with
-    a null id stays by itself, with a null component, and is kept.
+    a null id stays by itself, with a null component, and is kept. Sets of more than `large` shingles are signed by a part of
+    them that grows with the set, and compared whole like others.
 
     Equal sets meet by digest first, so only one row of a class of copies goes on. In each band's bucket all members are
     compared with one of them, on full sets, and components formed; buckets that hold several components are compared with other members,
@@ -160,7 +188,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     """
     kind = documents.schema[id_column].dataType.simpleString()
     given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = written(given.mapInArrow(functools.partial(_sign, words, bands, rows), "id long, n long, digest binary, keys array<long>, low binary"))
+    signed = written(given.mapInArrow(functools.partial(_sign, words, bands, rows, large), "id long, n long, digest binary, keys array<long>, low binary"))
     named = signed.filter("id is not null and digest is not null")
     first = written(named.groupBy("digest").agg(F.min("id").alias("id")))
     copies = named.select("digest", F.col("id").alias("b")).distinct().join(first.withColumnRenamed("id", "a"), "digest").filter("a <> b").select("a", "b")
@@ -174,22 +202,24 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     sets = written(having(given, wanted, "id").mapInArrow(functools.partial(_sets, words), "id long, set binary"))
     coordinates, share = bands * rows, top / of
     least = int(coordinates * share - DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5)
-    links, parts = None, hits.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    parts = hits.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     for turn in range(ROUNDS + 1):
         placed = written(hits.join(parts, hits["id"] == parts["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id", "component")).alias("hub")).filter("l <> h")
+        mixed = written(placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id", "component")).alias("hub")).filter("l <> h"))
         if turn < ROUNDS:
             pairs = placed.join(mixed.select("key", "hub"), "key").filter("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         else:
-            rest = placed.join(mixed.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
+            rest = placed.join(mixed.select("key"), "key")
             kept = written(rest.select("id").distinct())
+            blocks = having(single.select("id", "n"), kept, "id").join(rest.select("key", "id"), "id").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+            rest = rest.join(written(blocks), "key")
             short = having(sets, kept, "id").mapInArrow(_shortened, "id long, short binary")
             full = having(single.select("id", "low", "keys"), kept, "id").join(short, "id")
             rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
             rest = rest.select("key", "id", "component", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(full, "id").select("key", "i", "j", "block", "id", "component", "low", "keys", "short")
             pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(functools.partial(_likely, least, top, of), "a long, b long").distinct()
-        more = confirmed(pairs, signs, sets, least, top, of)
-        links = written(links.union(more) if links is not None else more)
+        # the forest of the rounds before stands for their links
+        links = confirmed(pairs, signs, sets, least, top, of).union(parts.select("node", "component").toDF("a", "b"))
         parts = written(components(links.union(copies) if turn == ROUNDS else links))
     out = signed.select("id", "n").join(parts, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")

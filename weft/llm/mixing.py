@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import SPACE, written
+from weft.llm.common import SPACE, row_key, written
 
 #: Whole number of words in a block, of words for which a shard is made, and of times that a document may be taken.
 BLOCK_WORDS, SHARD_WORDS, MAX_EPOCHS = 64, 1 << 22, 3
@@ -64,17 +64,18 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
 
     All words are dealt as blocks of `block_words`: Sainte-Lague apportionment gives each source its number of blocks (votes:
     its target), and again each shard its part of the source's (votes: the source's words in the shard; shards are seeded
-    hashes of the document, about `shard_words` words each, so that no source meets in one task). A shard takes its words as
+    hashes of the document, about `shard_words` words each, so that no source meets in one task). What a source's whole blocks
+    leave over of its target, or exceed it by, is a part block of its largest shard, so a source of any size gets its target. A shard takes its words as
     often as its blocks fill them, and for the rest blocks in a seeded order, the last one in part. No row is taken more than
     max_epochs times its size. Null and empty texts have size 0 and nothing taken; a null source is a source of its own, the
     last; a null id is an id like others; repeated rows count as often as they occur. Reruns give the same.
     """
-    return drawn(documents, id_column, text, source, seed, block_words, shard_words, max_epochs).drop("ranges")
+    return drawn(documents, id_column, text, source, seed, block_words, shard_words, max_epochs).select(id_column, "size", "source_size", "target", "taken")
 
 
 def drawn(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """What `mix` returns, and `ranges`: the words (first, end) of each row that are taken once more, in order; null for none."""
-    rows = documents.select(F.col(id_column).alias("_w_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0"))).alias("_w_hash"))
+    """What `mix` returns, and `ranges`: the words (first, end) of each row that are taken once more, in order, null for none; k1 and k2, a hash of its id and text (`row_key`); its source."""
+    rows = documents.select(F.col(id_column).alias("_w_id"), *row_key(F.col(id_column), F.col(text)), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0"))).alias("_w_hash"))
     rows = written(rows)
     shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // shard_words))
     rows = rows.withColumn("_w_shard", F.pmod(F.col("_w_hash"), F.lit(shards)))
@@ -84,9 +85,11 @@ def drawn(documents: DataFrame, id_column: str = "doc_id", text: str = "text", s
     goals = goals.withColumn("_w_blocks", F.round(F.col("_w_total") / block_words).cast("long"))
     quotas = apportion(goals, [], "target", "_w_blocks", [F.col("source").asc_nulls_last()], "_w_quota")
     goals = written(goals.select(F.col("source").alias("_w_source"), "source_size", "target").join(quotas.select("source", "_w_quota"), F.expr("_w_source <=> source"), "left").select(F.col("_w_source").alias("source"), "source_size", "target", F.coalesce("_w_quota", F.lit(0)).alias("_w_quota")))
-    shares = parts.join(goals.withColumnRenamed("source", "_w_s"), F.expr("source <=> _w_s")).select("source", "_w_shard", "_w_words", "_w_quota")
+    shares = parts.join(goals.withColumnRenamed("source", "_w_s"), F.expr("source <=> _w_s")).select("source", "_w_shard", "_w_words", "_w_quota", (F.round("target").cast("long") - F.col("_w_quota") * block_words).alias("_w_over"))
     dealt = apportion(shares, ["source"], "_w_words", "_w_quota", [F.col("_w_shard").asc()], "_w_taken")
-    dealt = dealt.select("source", "_w_shard", "_w_words", F.least(F.col("_w_taken") * block_words, F.col("_w_words") * max_epochs).alias("_w_goal"))
+    most = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("_w_words"), "_w_shard"))
+    goal = F.col("_w_taken") * block_words + F.when(most == 1, F.col("_w_over")).otherwise(0)
+    dealt = dealt.select("source", "_w_shard", "_w_words", F.least(F.greatest(goal, F.lit(0)), F.col("_w_words") * max_epochs).alias("_w_goal"))
     dealt = written(dealt.withColumn("_w_epochs", F.floor(F.col("_w_goal") / F.col("_w_words"))).withColumn("_w_rest", F.col("_w_goal") - F.col("_w_epochs") * F.col("_w_words")))
     # the rest of a shard: its blocks in seeded order until it is filled
     here = Window.partitionBy("source", "_w_shard")
@@ -105,8 +108,8 @@ def drawn(documents: DataFrame, id_column: str = "doc_id", text: str = "text", s
     some = met.groupBy("source", "_w_shard", "_w_row").agg(F.sum(F.greatest(F.lit(0), end - first)).alias("_w_some"), F.sort_array(F.collect_list(span)).alias("ranges"))
     some = some.select(F.col("source").alias("_w_s"), F.col("_w_shard").alias("_w_h"), F.col("_w_row").alias("_w_r"), "_w_some", "ranges")
     epochs = dealt.select(F.col("source").alias("_w_s2"), F.col("_w_shard").alias("_w_h2"), "_w_epochs")
-    empty = rows.filter("size = 0").select("_w_id", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(some.schema["ranges"].dataType).alias("ranges"))
+    empty = rows.filter("size = 0").select("_w_id", "k1", "k2", "source", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(some.schema["ranges"].dataType).alias("ranges"))
     full = placed.join(some, F.expr("source <=> _w_s and _w_shard = _w_h and _w_row = _w_r"), "left").join(epochs, F.expr("source <=> _w_s2 and _w_shard = _w_h2"), "left")
-    full = full.select("_w_id", "source", "size", (F.coalesce("_w_epochs", F.lit(0)) * F.col("size") + F.coalesce("_w_some", F.lit(0))).cast("long").alias("taken"), "ranges")
+    full = full.select("_w_id", "k1", "k2", "source", "size", (F.coalesce("_w_epochs", F.lit(0)) * F.col("size") + F.coalesce("_w_some", F.lit(0))).cast("long").alias("taken"), "ranges")
     sizes = goals.select(F.col("source").alias("_w_s3"), "source_size", "target")
-    return full.union(empty).join(sizes, F.expr("source <=> _w_s3"), "left").select(F.col("_w_id").alias(id_column), "size", "source_size", "target", "taken", "ranges")
+    return full.union(empty).join(sizes, F.expr("source <=> _w_s3"), "left").select(F.col("_w_id").alias(id_column), "size", "source_size", "target", "taken", "ranges", "k1", "k2", "source")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import by_group, written
-from weft.llm.vectors import cosines, matrix, usable
+from weft.llm.vectors import cosines, lengths, matrix, usable
 
 #: Vectors that the index is fitted on at most, vectors to a list, lists at most, lists that hold a vector at most, rows of a block of a list.
 SAMPLE, LIST, MAX_LISTS, REPLICAS, BLOCK = 16384, 128, 4096, 6, 2048
@@ -140,9 +140,10 @@ def _nearest(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             own = q[a : a + 256]
             score = cosines(x[own], x[c])
             top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], top.shape[1])), pa.array(ids[c][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "c", "score"])
+            n = len(own) * top.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group.column("d")[0].as_py(), np.int32)), pa.array(np.repeat(ids[own], top.shape[1])), pa.array(ids[c][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], ["d", "q", "c", "score"])
 
-    return by_group(batches, ["list", "b", "e"], work)
+    return by_group(batches, ["d", "list", "b", "e"], work)
 
 
 def nearest(table: DataFrame, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
@@ -151,30 +152,35 @@ def nearest(table: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
     Equal vectors form a class with its k + 1 smallest ids. The index is fitted on at most SAMPLE classes, taken by hash;
     every class goes to its nearest list and, near borders, to up to REPLICAS. A query visits the lists within the fitted
     distance ratio of its nearest one. Lists meet queries in blocks of BLOCK rows, each returns k + 1 classes for a query.
-    Rows with a null id, or a vector that is null, zero, of another length than most or holds null or non-finite components,
-    take no part. Repeated ids count as one candidate; a query never finds its own id.
+    Each length of vectors has an index of its own, lengths of a few thousand vectors at most are compared whole; vectors of different lengths aren't near each other.
+    Rows with a null id, or a vector that is null, zero or holds null or non-finite components, take no part. Repeated ids count as one candidate; a query never finds its own id.
     """
     kind = table.schema[id_column].dataType.simpleString()
     rows = written(usable(table.select(id_column, vector), id_column, vector).dropDuplicates(["id", "h1", "h2"]))
     small = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("r") <= k + 1)
-    classes = written(small.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
-    n = classes.count()
-    sample = classes.orderBy("h1", "h2").limit(SAMPLE).select(F.col("v")).toArrow().column("v")
-    if not len(sample):
-        return rows.select(F.col("id").cast(kind).alias("query_id"), F.lit(1).alias("rank"), F.col("id").cast(kind).alias(id_column), F.lit(0.0).alias("score")).limit(0)
-    index = fit(_unit(matrix(sample)).astype(np.float32), n)
-    asked = written(rows.select("h1", "h2", F.col("id").alias(id_column)).filter(is_query).withColumnRenamed(id_column, "query").join(classes.select("h1", "h2", F.col("id").alias("q")), ["h1", "h2"]).select("query", "q"))
-    postings = written(classes.select("id", "v").mapInArrow(functools.partial(_lists, index, False), "id long, v array<double>, list long"))
-    queries = classes.select("id", "v").join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
-    visits = written(queries.mapInArrow(functools.partial(_lists, index, True), "id long, v array<double>, list long"))
-    sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("bs")).join(visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("es")), "list")
+    classes = written(small.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("d").alias("d"), F.first("v").alias("v")))
+    asked = written(rows.select("h1", "h2", F.col("id").alias(id_column)).filter(is_query).withColumnRenamed(id_column, "query").join(classes.select("h1", "h2", "d", F.col("id").alias("q")), ["h1", "h2"]).select("query", "d", "q"))
+    queries = written(classes.select("id", "d", "v").join(asked.select(F.col("q").alias("id"), "d").distinct(), ["id", "d"], "left_semi"))
+    many = lengths(classes)
+    whole = lambda df: df.filter(~F.col("d").isin(*many)).select("d", "id", "v", F.lit(-1).cast("long").alias("list"))
+    postings, visits = whole(classes), whole(queries)
+    for d, n in many.items():
+        own = classes.filter(F.col("d") == d)
+        sample = own.orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow().column("v")
+        index = fit(_unit(matrix(sample)).astype(np.float32), n)
+        for query, df in ((False, own), (True, queries.filter(F.col("d") == d))):
+            listed = df.select("id", "v").mapInArrow(functools.partial(_lists, index, query), "id long, v array<double>, list long").select(F.lit(d).alias("d"), "id", "v", "list")
+            postings, visits = (postings, visits.union(listed)) if query else (postings.union(listed), visits)
+    postings, visits = written(postings), written(visits)
+    blocks = lambda df, out: df.groupBy("d", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(out))
+    sizes = written(blocks(postings, "bs").join(blocks(visits, "es"), ["d", "list"]))
     own, other = F.pmod(F.xxhash64("id"), F.col("bs")).cast("int"), F.pmod(F.xxhash64("id"), F.col("es")).cast("int")
-    left = postings.join(sizes, "list").select("list", "id", "v", F.lit(False).alias("query"), own.alias("b"), F.explode(F.expr("sequence(0, es - 1)")).alias("e"))
-    right = visits.join(sizes, "list").select("list", "id", "v", F.lit(True).alias("query"), F.explode(F.expr("sequence(0, bs - 1)")).alias("b"), other.alias("e"))
-    met = left.unionByName(right).repartition("list", "b", "e").sortWithinPartitions("list", "b", "e").select("list", "b", "e", "id", "query", "v")
-    found = met.mapInArrow(functools.partial(_nearest, k), "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("r") <= k + 1).drop("r")
-    found = written(found.join(classes.select(F.col("id").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec")))
-    every = asked.join(found, "q").filter("query <> vec").groupBy("query", "vec").agg(F.max("score").alias("score"))
+    left = postings.join(sizes, ["d", "list"]).select("d", "list", "id", "v", F.lit(False).alias("query"), own.alias("b"), F.explode(F.expr("sequence(0, es - 1)")).alias("e"))
+    right = visits.join(sizes, ["d", "list"]).select("d", "list", "id", "v", F.lit(True).alias("query"), F.explode(F.expr("sequence(0, bs - 1)")).alias("b"), other.alias("e"))
+    met = left.unionByName(right).repartition("d", "list", "b", "e").sortWithinPartitions("d", "list", "b", "e").select("d", "list", "b", "e", "id", "query", "v")
+    found = met.mapInArrow(functools.partial(_nearest, k), "d int, q long, c long, score double").groupBy("d", "q", "c").agg(F.max("score").alias("score"))
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("d", "q").orderBy(F.desc("score"), "c"))).filter(F.col("r") <= k + 1).drop("r")
+    found = written(found.join(classes.select("d", F.col("id").alias("c"), "ids"), ["d", "c"]).select("d", "q", "score", F.explode("ids").alias("vec")))
+    every = asked.join(found, ["d", "q"]).filter("query <> vec").groupBy("query", "vec").agg(F.max("score").alias("score"))
     every = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))).filter(F.col("rank") <= k)
     return every.select(F.col("query").cast(kind).alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").cast(kind).alias(id_column), "score")

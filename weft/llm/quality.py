@@ -83,15 +83,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             x = statistics(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "x"])
+            kept = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], [*kept, "x"])
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class and task: count, sums and sums of products of the features, as (class, place, value)."""
+def _moments(centre: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class and task: count, sums and sums of products of the features less `centre`, as (class, place, value)."""
     d = len(FEATURES)
     total = np.zeros((2, 1 + d + d * d))
     for batch in batches:
-        x = batch.column("x").flatten().to_numpy().reshape(-1, d)
+        x = batch.column("x").flatten().to_numpy().reshape(-1, d) - centre
         label = batch.column("label").to_numpy()
         for k in (0, 1):
             own = x[label == k]
@@ -135,28 +136,39 @@ def _score(model: dict, temperature: float, batches: Iterator[pa.RecordBatch]) -
         x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
         log = [model["prior"][k] - 0.5 * (((x - model["mean"][k]) @ model["white"][k].T) ** 2).sum(1) - 0.5 * model["logdet"][k] for k in (0, 1)]
         score = 1 / (1 + np.exp(np.clip((log[0] - log[1]) / temperature, -500, 500)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score)], ["id", "score"])
+        kept = [c for c in batch.schema.names if c != "x"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(score)], [*kept, "score"])
 
 
 def held_out(id_column: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, temperature: float = 1.0) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of documents; score is the probability of label 1.
+def score(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, temperature: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, held_out, score, predicted) and the columns in `keep` for each row of documents; score is the probability of label 1.
 
     Learns from all labelled rows whose crc32(id as text) mod 5 isn't 0: two classes' moments are summed in tasks and then
-    by place, so the driver gets 2 * (1 + d + d * d) numbers. Scores are differences of Mahalanobis log-densities with
+    by place, around the means that a first pass finds, so the driver gets twice 2 * (1 + d + d * d) numbers. Scores are differences of Mahalanobis log-densities with
     factors that are computed once. Null and empty texts are scored like any (their statistics are 0); a null id is never labelled nor held out;
     rows that repeat an id are scored each; of several labels for an id the smallest counts, null labels don't.
     """
-    kind = documents.schema[id_column].dataType.simpleString()
-    x = documents.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_features, f"id {kind}, x array<double>")
+    kinds = "".join(f", `{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+    given = f"id {documents.schema[id_column].dataType.simpleString()}{kinds}"
+    x = documents.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"), *keep).mapInArrow(_features, f"{given}, x array<double>")
     x = written(x)
     known = labels.select(F.col(id_column).alias("_l"), F.col(label).cast("long").alias("label")).filter("label in (0, 1)").groupBy("_l").agg(F.min("label").alias("label"))
-    learned = x.filter(~held_out("id")).join(known, F.col("id") == F.col("_l")).select("x", "label").mapInArrow(_moments, "label long, place long, value double")
-    moments = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
-    for r in learned.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():  # as many numbers as the model has
-        moments[r["label"], r["place"]] = r["value"]
-    scored = x.mapInArrow(functools.partial(_score, discriminant(moments), temperature), f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_column), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    learned = written(x.filter(~held_out("id")).join(known, F.col("id") == F.col("_l")).select("x", "label"))
+
+    def moments(centre: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
+        sums = learned.mapInArrow(functools.partial(_moments, centre), "label long, place long, value double").groupBy("label", "place").agg(F.sum("value").alias("value"))
+        for r in sums.collect():  # as many numbers as the model has
+            out[r["label"], r["place"]] = r["value"]
+        return out
+
+    first = moments(np.zeros(len(FEATURES)))
+    centre = first[:, 1 : 1 + len(FEATURES)].sum(0) / max(1.0, first[:, 0].sum())
+    model = discriminant(moments(centre))
+    model["mean"] = model["mean"] + centre
+    scored = x.mapInArrow(functools.partial(_score, model, temperature), f"{given}, score double")
+    return scored.select(F.col("id").alias(id_column), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"), *keep)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rule paths may have so many different lengths: URLs are no longer than this in practice, and the lengths go through the driver.
-MAX_PATH_LENGTHS = 4096
+from weft.llm.common import written
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -22,24 +21,25 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     rules: (host, path, verdict). A rule fits its host and all subdomains where the URL's path starts with the rule's path;
     of those that fit, the longest (host and path together, then host, then smallest text) wins. Each distinct (host, path)
-    is expanded into its host suffixes times the path prefixes of the lengths that rules have; expressions meet rules in an
+    is expanded into its host suffixes times its path prefixes, of the numbers of labels and the lengths that rules have (these numbers, no more than
+    the longest rule has labels and characters, pass through the driver); expressions meet rules in an
     equi-join on the first `digits` hex digits of their SHA-256, and count where the full digests agree. Nothing fits: rule is
     null and the verdict `default`. A null URL, or one without `://`, has an empty host and path, which no rule with a host
     fits. Columns of `pages` named host, path, rule or verdict are replaced.
     """
     rules = rules.filter("host is not null and path is not null and verdict is not null").groupBy("host", "path").agg(F.min("verdict").alias("_w_verdict"))
     rules = rules.select(F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("_w_full"), F.concat("host", "path").alias("_w_rule"), F.length("host").alias("_w_host_length"), "_w_verdict")
-    lengths = [r[0] for r in rules.select(F.length("_w_rule") - F.col("_w_host_length")).distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_PATH_LENGTHS} different lengths")
+    parts = rules.select(F.size(F.split(F.substring(F.col("_w_rule"), F.lit(1), F.col("_w_host_length")), r"\.")).alias("labels"), (F.length("_w_rule") - F.col("_w_host_length")).alias("path"))
+    sizes = parts.agg(F.array_sort(F.collect_set("labels")).alias("labels"), F.array_sort(F.collect_set("path")).alias("path")).first()
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     given = pages.withColumn("_w_url", F.coalesce(F.col(url).cast("string"), F.lit("")))
     host, path = host_and_path(F.col("_w_url"))
     given = given.select(*kept, host.alias("host"), path.alias("path"))
     distinct = given.select("host", "path").distinct().filter("host <> ''")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("path"))
+    known = lambda numbers, most: F.filter(F.array(*[F.lit(n) for n in numbers]).cast("array<int>"), lambda n: n <= most)
+    suffixes = F.transform(known(sizes["labels"], F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    fitting = known(sizes["path"], F.length("path"))
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
         distinct.select("host", "path", F.explode(suffixes).alias("_w_suffix"))
@@ -50,4 +50,5 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     )
     found = expressions.join(rules.withColumn("_w_short", F.substring("_w_full", 1, digits)), "_w_short").filter("_w_digest = _w_full")
     best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("_w_rule").alias("n"), F.col("_w_host_length").alias("h"), F.col("_w_rule").alias("rule"), F.col("_w_verdict").alias("verdict"))).alias("_w_best"))
-    return given.join(best, ["host", "path"], "left").select(*kept, "host", "path", F.col("_w_best.rule").alias("rule"), F.coalesce("_w_best.verdict", F.lit(default)).alias("verdict"))
+    # written, so that Spark may split the pages of one common address in the join
+    return given.join(written(best), ["host", "path"], "left").select(*kept, "host", "path", F.col("_w_best.rule").alias("rule"), F.coalesce("_w_best.verdict", F.lit(default)).alias("verdict"))

@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Lengths with at most so many vectors are compared without an index.
+FEW = 4096
+
+
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, v, h1, h2) of rows that take part: an id, and a vector of doubles without nulls or non-finite numbers, not all zero, as long as most vectors are (ties: the shortest).
+    """(id, d, v, h1, h2) of rows that take part: an id, and a vector of d doubles without nulls or non-finite numbers, not all zero. Vectors of different lengths have no cosine.
 
     h1 and h2 are a 128-bit hash of the vector.
     """
     given = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     given = given.filter("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    sizes = given.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    given = given.filter(F.size("v") == (sizes[0]["d"] if sizes else 0))
     v = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
-    return given.select("id", v.alias("v")).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    return given.select("id", F.size("v").alias("d"), v.alias("v")).select("id", "d", "v", *hashes(F.col("v")))
+
+
+def hashes(v: Column) -> list[Column]:
+    return [F.xxhash64(F.size(v), v).alias("h1"), F.xxhash64(F.lit(1), v, F.size(v)).alias("h2")]
+
+
+def lengths(classes: DataFrame) -> dict[int, int]:
+    """Vectors of each length d of `classes` that has more than FEW: at most their number / FEW lengths go to the driver."""
+    return {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).orderBy("d").collect()}
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
