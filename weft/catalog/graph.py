@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import neighbourhood, paths, traverse
+from weft.operators import neighbourhood, paths, traverse, upsert
 from weft.plans import star
 from weft.plans.model import adjacency, compatible
 
@@ -20,7 +22,7 @@ def _walk(spark: SparkSession, sf_dir: str, keys: list[str], **options) -> tuple
     return traverse.signal_decay(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), _seeds(spark, keys), star.SPEC, **options)
 
 
-def walk_sql(keys: list[str], what: str, rings: int, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False) -> str:
+def walk_sql(keys: list[str], what: str, rings: int = traverse.MAX_RINGS, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False) -> str:
     """The traversal for fixed seeds, its rings unrolled into common table expressions."""
     q = [star.SQL]
     leaf_cap = "cap" if not bridge else "case when rel = 'SUPPLIER_PART' then 25 else cap end"
@@ -51,7 +53,8 @@ def walk_sql(keys: list[str], what: str, rings: int, max_nodes: int = 300, compa
     rec = " union ".join(f"select seed, rel, src, dst from {s}" for s in steps)
     tied = " where rel <> 'ORDER_PART' or coalesce(len(x.locs), 0) = 0 or coalesce(len(y.locs), 0) = 0 or list_has_any(x.locs, y.locs)" if compartment_filter else ""
     q.append(f"within as (select e.* from ({rec}) e join kept a on a.seed = e.seed and a.key = e.src join kept b on b.seed = e.seed and b.key = e.dst join star_nodes x on x.key = e.src join star_nodes y on y.key = e.dst{tied})")
-    return "with " + ",\n".join(q) + "\n" + what
+    # each ring reads the one before several times: without materialization that doubles from ring to ring
+    return "with " + ",\n".join(re.sub(r"\b(\w+) as \(", r"\1 as materialized (", x, count=1) if not x.startswith("\nstar") else x for x in q) + "\n" + what
 
 
 NODES_SQL = "select seed, kept.key, kind, signal, pinned from kept join star_nodes n on n.key = kept.key"
@@ -59,19 +62,19 @@ EDGES_SQL = "select seed, rel, src, dst from within"
 
 
 def signal_decay_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir, SEEDS, rings=3)[0]
+    return _walk(spark, sf_dir, SEEDS)[0]
 
 
 def signal_decay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir, SEEDS[:2], rings=2)[1]
+    return _walk(spark, sf_dir, SEEDS[:2])[1]
 
 
 def signal_decay_compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir, ["O:11", "C:5"], rings=2, compartment_filter=True)[1]
+    return _walk(spark, sf_dir, ["O:11", "C:5"], compartment_filter=True)[1]
 
 
 def signal_decay_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walk(spark, sf_dir, ["O:11"], rings=3, bridge=True, max_nodes=120)[0]
+    return _walk(spark, sf_dir, ["O:11"], bridge=True, max_nodes=120)[0]
 
 
 def star_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +94,7 @@ def capped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = _walk(spark, sf_dir, ["S:1", "S:2", "O:11"], rings=1)
+    n, e = _walk(spark, sf_dir, ["S:1", "S:2", "O:11"])
     n, e = paths.merge_graphs(n, e)
     parts = paths.connected_components(n.select("key"), e.select("src", "dst"))
     return n.select("key", "kind").join(parts, "key")
@@ -148,23 +151,63 @@ def compartment_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hub_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = neighbourhood.degrees(star.edges(spark, sf_dir))
-    return d.withColumn("r", F.row_number().over(Window.orderBy(F.desc("degree"), "key"))).filter("r <= 50").select("key", "degree")
+    return d.orderBy(F.desc("degree"), "key").limit(50)
+
+
+def node_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nodes of each kind show; fields that are null are left out."""
+    fields = {"supplier": ("subtype",), "part": ("subtype", "degree"), "order": ("subtype", "locs")}
+    return neighbourhood.node_payloads(star.nodes(spark, sf_dir), fields)
+
+
+def edge_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = star.edges(spark, sf_dir).filter("rel in ('NATION_SUPPLIER', 'ORDER_PART')").withColumn("score", F.col("score").cast("int"))
+    return neighbourhood.edge_payloads(e)
+
+
+def _compact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = star.nodes(spark, sf_dir).filter("kind in ('region', 'nation', 'supplier')")
+    return neighbourhood.compact(n, star.edges(spark, sf_dir), [F.length("key").asc()])
+
+
+def compact_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compact(spark, sf_dir)[0]
+
+
+def compact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compact(spark, sf_dir)[1]
+
+
+def kind_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's page: its nation and parts."""
+    return neighbourhood.around_kind(star.nodes(spark, sf_dir), star.edges(spark, sf_dir), "S:3", ["nation", "part"], ["NATION_SUPPLIER", "SUPPLIER_PART"])
+
+
+def edges_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = star.edges(spark, sf_dir).filter("rel in ('REGION_NATION', 'NATION_SUPPLIER')").select("rel", "src", "dst")
+    return upsert.export_edges(e, form="json")
+
+
+def path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shortest path with its nodes' names; of equally short ones the one with the smallest keys backwards."""
+    e = star.edges(spark, sf_dir).filter("rel in ('CUSTOMER_ORDER', 'NATION_CUSTOMER', 'NATION_SUPPLIER', 'REGION_NATION')")
+    return paths.shortest_path(e, "C:5", "S:2").join(star.nodes(spark, sf_dir).select("key", "kind", "name"), "key").select("step", "key", "kind", "name")
 
 
-QUERIES = {f.__name__: f for f in (signal_decay_nodes, signal_decay_edges, signal_decay_compartments, signal_decay_bridge, star_graph_counts, edge_conductance, capped_neighbours, multi_seed_merge, component_of_customers, shortest_path_hops, transcript_like_neighbourhood, edge_detail, incident_tabs, reachable_pairs, rollup_edges, degree_gate, compartment_compatibility, hub_degrees)}
+QUERIES = {f.__name__: f for f in (signal_decay_nodes, signal_decay_edges, signal_decay_compartments, signal_decay_bridge, star_graph_counts, edge_conductance, capped_neighbours, multi_seed_merge, component_of_customers, shortest_path_hops, transcript_like_neighbourhood, edge_detail, incident_tabs, reachable_pairs, rollup_edges, degree_gate, compartment_compatibility, hub_degrees, node_payloads, edge_payloads, compact_nodes, compact_edges, kind_neighbours, edges_as_json, path_nodes)}
 
 _W = f"with recursive {star.SQL}"
 ORACLE_SQL = {
-    "signal_decay_nodes": walk_sql(SEEDS, NODES_SQL, 3),
-    "signal_decay_edges": walk_sql(SEEDS[:2], EDGES_SQL, 2),
-    "signal_decay_compartments": walk_sql(["O:11", "C:5"], EDGES_SQL, 2, compartment_filter=True),
-    "signal_decay_bridge": walk_sql(["O:11"], NODES_SQL, 3, max_nodes=120, bridge=True),
+    "signal_decay_nodes": walk_sql(SEEDS, NODES_SQL),
+    "signal_decay_edges": walk_sql(SEEDS[:2], EDGES_SQL),
+    "signal_decay_compartments": walk_sql(["O:11", "C:5"], EDGES_SQL, compartment_filter=True),
+    "signal_decay_bridge": walk_sql(["O:11"], NODES_SQL, max_nodes=120, bridge=True),
     "star_graph_counts": f"{_W} select kind, count(*) as n, count(degree) as with_degree, 'node' as what from star_nodes group by kind union all select rel, count(*), count(score), 'edge' from star_edges group by rel",
     "edge_conductance": f"{_W} select rel, count(*) as n, min(cond) as least, max(cond) as most, max(cap) as cap from star_adj group by rel",
     "capped_neighbours": f"{_W} select f as \"from\", t as \"to\", rnk as rank from (select *, row_number() over (partition by f order by rnk desc, t) as rn from star_adj where rel = 'SUPPLIER_PART') where rn <= 25",
     "multi_seed_merge": walk_sql(["S:1", "S:2", "O:11"], """, e as (select distinct src, dst from within), k as (select distinct key from kept), u as (select src as a, dst as b from e union select dst, src from e),
 l as (select key as node, key as comp from k union select u.b, l.comp from l join u on u.a = l.node where l.comp < u.b)
-select n.key, n.kind, min(comp) as component from l join star_nodes n on n.key = l.node group by n.key, n.kind""", 1).replace("with ", "with recursive ", 1).replace("\n, e as", ", e as"),
+select n.key, n.kind, min(comp) as component from l join star_nodes n on n.key = l.node group by n.key, n.kind""").replace("with ", "with recursive ", 1).replace("\n, e as", ", e as"),
     "component_of_customers": f"""{_W}, e as (select src, dst from star_edges where rel in ('CUSTOMER_ORDER', 'REGION_NATION', 'NATION_SUPPLIER')), u as (select src as a, dst as b from e union select dst, src from e),
 l as (select key as node, key as comp from star_nodes where kind <> 'part' union select u.b, l.comp from l join u on u.a = l.node where l.comp < u.b), m as (select node, min(comp) as component from l group by node)
 select component, count(*) as members, max(node) as last from m group by component""",
@@ -181,4 +224,14 @@ from (select q.source, q.target, min(l.h) as h from q left join l on l.source =
     "degree_gate": f"{_W} select key, degree, coalesce(degree <= 30, false) as bridges from star_nodes where kind = 'part'",
     "compartment_compatibility": f"{_W} select coalesce(len(a.locs) = 0 or len(b.locs) = 0 or list_has_any(a.locs, b.locs), true) as compatible, count(*) as n from star_edges e join star_nodes a on a.key = e.src join star_nodes b on b.key = e.dst where rel = 'ORDER_PART' group by 1",
     "hub_degrees": f"{_W} select key, degree from (select f as key, count(*) as degree from star_adj group by f) order by degree desc, key limit 50",
+    "node_payloads": f"""{_W} select key, kind, coalesce(name, key) as label, case kind when 'supplier' then '{{"subtype":"' || subtype || '"}}' when 'part' then '{{"subtype":"' || subtype || '","degree":' || degree || '}}' when 'order' then '{{"subtype":"' || subtype || '"' || case when locs is null then '' else ',"locs":["' || array_to_string(locs, '","') || '"]' end || '}}' else '{{}}' end as payload from star_nodes""",
+    "edge_payloads": f"""{_W} select src || '__' || rel || '__' || dst as eid, rel, src, dst, coalesce(tier, 'canonical') as tier, case when score is null then '{{}}' else '{{"score":' || cast(trunc(score) as int) || '}}' end as payload from star_edges where rel in ('NATION_SUPPLIER', 'ORDER_PART')""",
+    "compact_nodes": f"{_W} select key, kind, coalesce(name, key) as label from star_nodes where kind in ('region', 'nation', 'supplier') order by length(key), key limit 60",
+    "compact_edges": f"{_W}, k as (select key, coalesce(name, key) as label from star_nodes where kind in ('region', 'nation', 'supplier') order by length(key), key limit 60) select distinct a.label as source, rel as relation, b.label as target from star_edges e join k a on a.key = e.src join k b on b.key = e.dst",
+    "kind_neighbours": f"{_W} select n.key, n.kind, n.name, a.rel, a.src = 'S:3' as outgoing from star_adj a join star_nodes n on n.key = a.t where a.f = 'S:3' and n.kind in ('nation', 'part') and a.rel in ('NATION_SUPPLIER', 'SUPPLIER_PART')",
+    "edges_as_json": f"""{_W} select '{{"rel":"' || rel || '","src":"' || src || '","dst":"' || dst || '"}}' as line from star_edges where rel in ('REGION_NATION', 'NATION_SUPPLIER')""",
+    "path_nodes": f"""{_W}, u as (select distinct f as a, t as b from star_adj where rel in ('CUSTOMER_ORDER', 'NATION_CUSTOMER', 'NATION_SUPPLIER', 'REGION_NATION')),
+l as (select 'C:5' as node, 0 as h union select u.b, l.h + 1 from l join u on u.a = l.node where l.h < 6), d as (select node, min(h) as h from l group by node),
+p as (select 'S:2' as key, h as step from d where node = 'S:2' union all select (select min(u.a) from u join d on d.node = u.a where u.b = p.key and d.h = p.step - 1), p.step - 1 from p where p.step > 0)
+select cast(step as int) as step, p.key, kind, name from p join star_nodes n on n.key = p.key""",
 }

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,40 +34,33 @@ def _passes(found: Column, surface: Column) -> Column:
     return ~found.rlike(r"^[0-9]+$") & ~F.lower(found).isin(*GENERIC) & (~exact | (found == surface))
 
 
-def grams(sentence_rows: DataFrame, longest: int) -> DataFrame:
-    """All runs of 1 to `longest` words of each sentence: (doc_id, sentence_no, start, n, found)."""
+def _matches(sentence_rows: DataFrame, surfaces: DataFrame, longest: int) -> DataFrame:
+    """Runs of words that are surfaces: (doc_id, sentence_no, start, n, found, surface, node_id, kind, canonical). Words that begin no surface go
+    before runs are formed, and a word carries only as many words behind it as the longest surface has."""
     words = N.tokens(F.col("sentence"))
-    rows = sentence_rows.select("doc_id", "sentence_no", words.alias("w")).select("doc_id", "sentence_no", "w", F.posexplode("w").alias("start", "_"))
-    sized = rows.withColumn("n", F.explode(F.expr(f"sequence(1, least({int(longest)}, size(w) - start))")))
-    return sized.select("doc_id", "sentence_no", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("found"))
-
-
-def _greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Left to right, the longest match at each word, none overlapping; rows come sorted by sentence, start and falling length."""
-    last, end = None, -1
-    for f in frames:
-        keep = []
-        for doc, no, start, n in zip(f["doc_id"], f["sentence_no"], f["start"], f["n"], strict=True):
-            if (doc, no) != last:
-                last, end = (doc, no), -1
-            taken = start >= end
-            keep.append(taken)
-            if taken:
-                end = start + n
-        yield f[keep]
+    rows = sentence_rows.select("doc_id", "sentence_no", words.alias("w")).filter("size(w) > 0").select("doc_id", "sentence_no", F.explode(F.expr(f"transform(w, (x, i) -> struct(i as start, slice(w, i + 1, {int(longest)}) as run))")).alias("r")).select("doc_id", "sentence_no", "r.start", "r.run")
+    first = surfaces.select(F.lower(F.get(N.tokens(F.col("surface")), 0)).alias("first")).distinct()
+    rows = rows.withColumn("first", F.lower(F.get("run", 0))).join(first, "first", "left_semi")
+    sized = rows.select("doc_id", "sentence_no", "start", F.explode(F.expr("transform(sequence(1, size(run)), n -> struct(n as n, array_join(slice(run, 1, n), ' ') as found))")).alias("g")).select("doc_id", "sentence_no", "start", "g.n", "g.found")
+    met = sized.withColumn("lower", F.lower("found")).join(surfaces.drop("n_tokens"), "lower")
+    return met.filter(_passes(F.col("found"), F.col("surface")))
 
 
 def link(sentence_rows: DataFrame, surfaces: DataFrame, longest: int | None = None) -> DataFrame:
     """(doc_id, sentence_no, start, n, found, node_id, kind, canonical): longest non-overlapping matches, all entities of each.
 
     Words meet the dictionary in an equi-join on their lower case, so the dictionary may be of any size; a gate that fails
-    lets a shorter run match. Only matches, not sentences, go through the greedy pass, sorted within partitions by sentence.
+    lets a shorter run match. A sentence's matches, not its words, are folded left to right: the longest one at each word, none overlapping.
     """
     longest = longest or (surfaces.agg(F.max("n_tokens")).first()[0] or 1)
-    met = grams(sentence_rows, longest).withColumn("lower", F.lower("found")).join(surfaces, "lower").filter(_passes(F.col("found"), F.col("surface")))
-    places = met.select("doc_id", "sentence_no", "start", "n").distinct().repartition("doc_id", "sentence_no").sortWithinPartitions("doc_id", "sentence_no", "start", F.desc("n"))
-    chosen = places.mapInPandas(_greedy, places.schema)
-    return met.join(chosen, ["doc_id", "sentence_no", "start", "n"]).select("doc_id", "sentence_no", "start", "n", "found", "node_id", "kind", "canonical").distinct()
+    met = _matches(sentence_rows, surfaces, longest)
+    here = F.array_sort(F.collect_set(F.struct("start", (-F.col("n")).alias("less"), "found")))
+    fold = lambda places: F.aggregate(places, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,n:int>>").alias("out")), lambda a, p: F.when(p["start"] >= a["end"], F.struct((p["start"] - p["less"]).alias("end"), F.concat(a["out"], F.array(F.struct(p["start"].alias("start"), (-p["less"]).alias("n")))).alias("out"))).otherwise(a))["out"]
+    every = F.collect_set(F.struct("start", "n", "found", "node_id", "kind", "canonical"))
+    held = met.groupBy("doc_id", "sentence_no").agg(here.alias("places"), every.alias("every"))
+    chosen = held.select("doc_id", "sentence_no", fold(F.col("places")).alias("kept"), "every")
+    kept = chosen.select("doc_id", "sentence_no", F.explode(F.filter("every", lambda m: F.exists("kept", lambda k: (k["start"] == m["start"]) & (k["n"] == m["n"])))).alias("m"))
+    return kept.select("doc_id", "sentence_no", "m.*")
 
 
 def pairs(matches: DataFrame) -> DataFrame:
@@ -128,6 +118,32 @@ def revert(edges: DataFrame, log: DataFrame) -> DataFrame:
     return met.select("triple_key", "rel_type", "subject_id", "object_id", kept.alias("pmids"), "tier")
 
 
+def edge_exists(wanted: DataFrame, edges: DataFrame, symmetric: tuple[str, ...] = ("INTERACTS_WITH",)) -> DataFrame:
+    """`wanted` (rel_type, subject_id, object_id, ...) with `present`: whether an edge (rel_type, subject_id, object_id) of that type leads from subject to object, for symmetric types either way."""
+    both = F.col("rel_type").isin(*symmetric)
+    ends = lambda df: df.withColumn("_s", F.when(both, F.least("subject_id", "object_id")).otherwise(F.col("subject_id"))).withColumn("_o", F.when(both, F.greatest("subject_id", "object_id")).otherwise(F.col("object_id")))
+    known = ends(edges.select("rel_type", "subject_id", "object_id")).select("rel_type", "_s", "_o").distinct().withColumn("_there", F.lit(True))
+    return ends(wanted).join(known, ["rel_type", "_s", "_o"], "left").withColumn("present", F.col("_there").isNotNull()).drop("_s", "_o", "_there")
+
+
+def route(verdicts: DataFrame, edges: DataFrame, allowed: tuple[str, ...] = ("INTERACTS_WITH", "IMPLICATED_IN"), symmetric: tuple[str, ...] = ("INTERACTS_WITH",)) -> DataFrame:
+    """verdicts with `status`: skipped (nothing asserted, or a type that isn't staged), enriched (a trusted edge says so already), else candidate."""
+    known = edge_exists(verdicts, edges.filter(F.coalesce(F.col("tier"), F.lit("canonical")) != "literature") if "tier" in edges.columns else edges, symmetric)
+    used = F.coalesce(F.col("asserted"), F.lit(False)) & F.col("rel_type").isin(*allowed)
+    return known.withColumn("status", F.when(~used, "skipped").when(F.col("present"), "enriched").otherwise("candidate")).drop("present")
+
+
+def stage_routed(candidates: DataFrame, evidence: DataFrame, edges: DataFrame, verdicts: DataFrame, symmetric: tuple[str, ...] = ("INTERACTS_WITH",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New (candidates, evidence, edges): verdicts on trusted edges add their PMID to these, others become or support candidates."""
+    routed = route(verdicts, edges, symmetric=symmetric)
+    ends = lambda df: df.withColumn("_k", N.triple_key(F.col("rel_type"), F.col("subject_id"), F.col("object_id"), symmetric))
+    more = ends(routed.filter("status = 'enriched'")).groupBy("_k").agg(F.array_sort(F.collect_set("pmid")).alias("_new"))
+    old = F.coalesce("pmids", F.array().cast("array<string>"))
+    trusted = F.coalesce(F.col("tier"), F.lit("canonical")) != "literature"
+    out = ends(edges).join(more, "_k", "left").select(*[F.when(trusted, F.concat(old, F.array_except(F.coalesce("_new", F.array().cast("array<string>")), old))).otherwise(F.col("pmids")).alias("pmids") if c == "pmids" else F.col(c) for c in edges.columns])
+    return *stage(candidates, evidence, routed.filter("status = 'candidate'").drop("status")), out
+
+
 def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Review: approve only what is pending, reject anything, revert only what is promoted; decisions are (triple_key, action)."""
     met = candidates.join(decisions, "triple_key", "left")
@@ -135,20 +151,50 @@ def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     return met.withColumn("status", status).drop("action")
 
 
-def review_list(candidates: DataFrame, names: DataFrame, sort: str = "confidence") -> DataFrame:
-    """Candidates with names of both ends (the id where there is none), sorted by an allowed key."""
-    from weft.operators.relational import sorted_by
+def review(candidates: DataFrame, edges: DataFrame, evidence: DataFrame, log: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of review: new (candidates, edges, log). Approved pending candidates are promoted to edges and logged, reverted promoted ones take back what the log says
+    (minted literature edges go, enriched ones lose exactly the added PMIDs) and are pending again, rejected ones are only marked."""
+    met = candidates.join(decisions, "triple_key")
+    approved = met.filter("action = 'approve' and status = 'pending'").drop("action")
+    undone = log.join(met.filter("action = 'revert' and status = 'promoted'").select("triple_key"), "triple_key", "left_semi")
+    back = revert(edges, undone)
+    out, more = promote(back, approved, evidence)
+    return decide(candidates, decisions), out, log.join(undone.select("triple_key"), "triple_key", "left_anti").unionByName(more)
+
 
-    named = candidates
+def candidate_detail(candidates: DataFrame, evidence: DataFrame, edges: DataFrame, nodes: DataFrame, length: int = 280) -> DataFrame:
+    """Each candidate as a reviewer sees it: names, degrees and summaries of both ends, whether approving would MINT or ENRICH (for pending ones), evidence with negations first.
+
+    nodes: (node_id, name, summary); an end that isn't a node has its id as its name.
+    """
+    degree = edges.select(F.col("subject_id").alias("node_id")).unionByName(edges.filter("subject_id <> object_id").select(F.col("object_id").alias("node_id"))).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    known = nodes.select("node_id", "name", "summary").join(degree, "node_id", "left")
+    out = edge_exists(candidates, edges).withColumn("would_be_action", F.when(F.col("status") == "pending", F.when(F.col("present"), "ENRICH").otherwise("MINT"))).drop("present")
     for side in ("subject", "object"):
-        named = named.join(names.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")), f"{side}_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_id"))
+        own = known.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), N.snippet(F.coalesce("summary", F.lit("")), length).alias(f"{side}_summary"), F.coalesce("degree", F.lit(0)).alias(f"{side}_degree"))
+        out = out.join(own, f"{side}_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_id"))
+    lines = evidence.groupBy("triple_key").agg(F.transform(F.array_sort(F.collect_list(F.struct(_polarity_rank().alias("r"), "pmid", "polarity"))), lambda e: F.concat_ws(":", e["polarity"], e["pmid"])).alias("evidence"))
+    return out.join(lines, "triple_key", "left")
+
+
+def _polarity_rank() -> Column:
+    """Negations first, then affirmations, then hedges."""
+    return F.when(F.col("polarity") == "negate", 0).when(F.col("polarity") == "affirm", 1).otherwise(2)
+
+
+def review_list(candidates: DataFrame, names: DataFrame, targets: DataFrame | None = None, sort: str = "confidence", status: str | None = None) -> DataFrame:
+    """Candidates, of one status or all, with names of both ends (the id where there is none; targets names the second end if it has a table of its own), sorted by an allowed key."""
+    from weft.operators.relational import sorted_by
+
+    named = candidates.filter(F.col("status") == status) if status else candidates
+    for side, known in (("subject", names), ("object", names if targets is None else targets)):
+        named = named.join(known.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")), f"{side}_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_id"))
     return sorted_by(named, {"confidence": [F.desc("confidence"), F.col("triple_key").asc()], "affirm": [F.desc("n_affirm"), F.col("triple_key").asc()], "key": [F.col("triple_key").asc()]}, sort)
 
 
 def evidence_order(evidence: DataFrame) -> DataFrame:
     """Negations first, then affirmations, then hedges; by PMID among equals."""
-    rank = F.when(F.col("polarity") == "negate", 0).when(F.col("polarity") == "affirm", 1).otherwise(2)
-    return evidence.orderBy("triple_key", rank, "pmid")
+    return evidence.orderBy("triple_key", _polarity_rank(), "pmid")
 
 
 def uncited(edges: DataFrame) -> DataFrame:
@@ -156,6 +202,48 @@ def uncited(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.coalesce(F.col("citation_attempted"), F.lit(False)) & (F.coalesce(F.size("pmids"), F.lit(0)) <= 0))
 
 
+#: Characters of an abstract that a judgement of relevance reads.
+ABSTRACT = 3000
+
+
+def relevance(abstract: Column, reply: Column) -> Column:
+    """Whether a publication supports an edge, by the reply of a model: an empty abstract, a reply without an object in braces or one that can't be read says no."""
+    said = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "relevant boolean")
+    return N.not_blank(F.coalesce(abstract, F.lit(""))).isNotNull() & F.coalesce(said["relevant"], F.lit(False))
+
+
+def question(abstract: Column) -> Column:
+    """What is shown to the model: the beginning of the abstract."""
+    return F.left(abstract, F.lit(ABSTRACT))
+
+
+def recent(records: DataFrame, date: str, now: Column, days: int = 1) -> DataFrame:
+    """Records of the last `days` days, the day of `now` included."""
+    return records.filter((F.col(date) > F.date_sub(F.to_date(now), days)) & (F.col(date) <= F.to_date(now)))
+
+
+def cite(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """edges after a pass over the uncited ones: found (triple_key, pmid) are added, sorted, and each edge that was tried is marked, also if nothing was found."""
+    tried = uncited(edges).select("triple_key", F.lit(True).alias("_tried"))
+    new = found.groupBy("triple_key").agg(F.array_sort(F.collect_set(F.col("pmid").cast("string"))).alias("_new"))
+    met = edges.join(tried, "triple_key", "left").join(new, "triple_key", "left")
+    pmids = F.when(F.col("_tried"), F.coalesce("_new", F.array().cast("array<string>"))).otherwise(F.col("pmids"))
+    return met.select(*[pmids.alias("pmids") if c == "pmids" else (F.coalesce(F.col(c), F.lit(False)) | F.col("_tried").isNotNull()).alias(c) if c == "citation_attempted" else F.col(c) for c in edges.columns])
+
+
 def unembedded(nodes: DataFrame, dimension: int) -> DataFrame:
     """Nodes with a text and without an embedding of the right length."""
     return nodes.filter(N.not_blank(F.col("text")).isNotNull() & (F.col("embedding").isNull() | (F.size("embedding") != dimension)))
+
+
+def embed(nodes: DataFrame, vectors: DataFrame, dimension: int, kinds: tuple[str, ...], model: str) -> tuple[DataFrame, DataFrame]:
+    """New nodes, with the vectors (key, vector) of the right length for nodes of the allowed kinds and the model that made them, and a row (written, failed) of what was taken and refused."""
+    met = vectors.join(nodes.select("key", "kind"), "key", "left").withColumn("_ok", F.coalesce((F.size("vector") == dimension) & F.col("kind").isin(*kinds), F.lit(False)))
+    good = met.filter("_ok").select("key", F.col("vector").alias("embedding"), F.lit(model).alias("embedding_model"))
+    base = nodes if "embedding_model" in nodes.columns else nodes.withColumn("embedding_model", F.lit(None).cast("string"))
+    return merge(base, good, ["key"], insert=False), met.agg(F.count_if("_ok").alias("written"), F.count_if(~F.col("_ok")).alias("failed"))
+
+
+def endpoints(candidates: DataFrame) -> DataFrame:
+    """Candidates as edges (rel, src, dst) of the graph."""
+    return candidates.select(F.col("rel_type").alias("rel"), F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))

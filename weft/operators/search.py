@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.normalize import OPERATORS, query_tokens
@@ -26,14 +30,15 @@ def _words(text: str) -> list[str]:
     return [t for t in re.split(r"\s+", re.sub(OPERATORS, " ", text).lower()) if t]
 
 
-def text_search(index: DataFrame, text: str, limit: int = 20, exact_keys: Column | None = None) -> DataFrame:
-    """(key, score): for each word of the text the better of a whole-word hit (4) and a prefix hit (1) in any field, summed.
+def text_search(index: DataFrame, text: str, limit: int = 20, exact_keys: DataFrame | None = None) -> DataFrame:
+    """(key, exact, score): for each word of the text the better of a whole-word hit (4) and a prefix hit (1) in any field, summed.
 
-    exact_keys: a condition on key that puts its rows first. An empty text finds nothing.
+    exact_keys (key): rows that go first, as an exact symbol does. An empty text finds nothing.
     """
     words = _words(text)
+    exact = F.col("_exact").isNotNull() if exact_keys is not None else F.lit(False)
     if not words:
-        return index.select("key", F.lit(0.0).alias("score")).limit(0)
+        return index.select("key", F.lit(False).alias("exact"), F.lit(0.0).alias("score")).limit(0)
     hit = F.lit(False)
     for w in words:
         hit = hit | F.col("token").startswith(w)
@@ -43,8 +48,16 @@ def text_search(index: DataFrame, text: str, limit: int = 20, exact_keys: Column
     for p in per[1:]:
         total = total + p
     found = scored.groupBy("key").agg(total.alias("score"))
-    order = ([exact_keys.desc()] if exact_keys is not None else []) + [F.desc("score"), F.col("key").asc()]
-    return found.orderBy(*order).limit(limit)
+    if exact_keys is not None:
+        found = found.join(exact_keys.select("key", F.lit(True).alias("_exact")).distinct(), "key", "left")
+    return found.select("key", exact.alias("exact"), "score").orderBy(F.desc("exact"), F.desc("score"), "key").limit(limit)
+
+
+def node_search(nodes: DataFrame, text: str, fields: list[str], symbol: str, limit: int = 10) -> DataFrame:
+    """Text search over several fields of nodes; one whose symbol is the whole text, case ignored, comes before mere mentions: (key, kind, name, exact, score)."""
+    own = nodes.filter(F.upper(F.coalesce(F.col(symbol), F.lit(""))) == text.strip().upper()).select("key")
+    found = text_search(token_index(nodes, "key", fields), text, limit, own)
+    return found.join(nodes.select("key", "kind", "name"), "key").select("key", "kind", "name", "exact", "score").orderBy(F.desc("exact"), F.desc("score"), "key")
 
 
 def browse(df: DataFrame, prefix: str | None, filters: list[Column], key: str, column: str, limit: int = 100) -> DataFrame:
@@ -57,6 +70,37 @@ def browse(df: DataFrame, prefix: str | None, filters: list[Column], key: str, c
     return out.orderBy(key).limit(limit)
 
 
+#: Fixed caps of browsing: hits of the text search, keys with the prefix.
+BROWSED_TEXT, BROWSED_KEYS = 300, 100
+
+
+def browse_nodes(nodes: DataFrame, text: str | None, fields: list[str], kinds: list[str] | None = None, filters: list[Column] = (), prefix_kind: str | None = None) -> DataFrame:
+    """Entities by words (the best BROWSED_TEXT) and, for one kind, by the beginning of their key (the first BROWSED_KEYS), of the wanted kinds and through all filters: (key, kind, name, score).
+
+    No text finds nothing. A filter that doesn't concern a kind is written so that it passes.
+    """
+    if not text or not text.strip():
+        return nodes.select("key", "kind", "name", F.lit(0.0).alias("score")).limit(0)
+    wanted = nodes.filter(F.col("kind").isin(*kinds)) if kinds else nodes
+    for f in filters:
+        wanted = wanted.filter(f)
+    words = text_search(token_index(nodes, "key", fields), text, BROWSED_TEXT).select("key", "score")
+    keys = nodes.filter((F.col("kind") == prefix_kind) & F.lower("key").startswith(text.strip().lower())).orderBy("key").limit(BROWSED_KEYS).select("key", F.lit(0.0).alias("score")) if prefix_kind else words.limit(0)
+    hits = words.unionByName(keys).groupBy("key").agg(F.max("score").alias("score"))
+    return wanted.join(hits, "key").select("key", "kind", "name", "score").orderBy(F.desc("score"), "key")
+
+
+def resolve_seeds(nodes: DataFrame, asked: DataFrame, alternates: list[str]) -> DataFrame:
+    """Keys of the nodes that `asked` (seed) means, (seed, key): a seed that is a key is that node; else the first alternate column (a symbol, a second id) that has it, case ignored, of several nodes the one with the smallest key. Unknown seeds return no row."""
+    names = nodes.select("key", F.lit(0).alias("way"), F.col("key").alias("name"))
+    for i, column in enumerate(alternates):
+        names = names.unionByName(nodes.filter(F.col(column).isNotNull()).select("key", F.lit(i + 1).alias("way"), F.lower(column).alias("name")))
+    wanted = asked.select("seed").distinct()
+    exact = wanted.join(names.filter("way = 0"), F.col("seed") == F.col("name"))
+    other = wanted.join(names.filter("way > 0"), F.lower("seed") == F.col("name"))
+    return exact.unionByName(other).groupBy("seed").agg(F.min(F.struct("way", "key")).alias("m")).select("seed", F.col("m.key").alias("key"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -71,15 +115,77 @@ def vector_search(df: DataFrame, vector: list[float], key: str, column: str, kin
     return top(scored, [kind], [F.desc("score"), F.col(key).asc()], k).orderBy(F.desc("score"), key).limit(k)
 
 
-#: First words that a read-only statement may have.
-_READS = re.compile(r"^\s*(select|with|values|table)\b", re.I)
+#: What a read-only statement may consist of, as the parser names it; anything else (commands, scripts, files, hints) is refused.
+_PLANS = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "LateralJoin", "SubqueryAlias", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "UnresolvedRelation", "OneRowRelation", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "UnresolvedPivot"}
+#: Functions that reach outside the query.
+_OUTSIDE = {"reflect", "java_method", "try_reflect", "input_file_name", "version", "current_user", "user", "session_user", "current_catalog", "current_database", "current_schema"}
+
+
+def _children(node) -> list:
+    out = []
+    for of in ("children", "innerChildren", "expressions"):
+        try:
+            seq = getattr(node, of)()
+        except Py4JError:  # an expression has no expressions of its own
+            continue
+        out += [seq.apply(i) for i in range(seq.size())]
+    return out
+
+
+def checked(spark: SparkSession, statement: str) -> None:
+    """Raises ValueError unless the statement is one query over temporary views (and its own named subqueries), without functions that reach outside."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except ParseException as e:
+        raise ValueError(f"not a query: {e.getMessage()}") from None
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    named, used, todo = set(), [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if ".plans.logical." in node.getClass().getName() or name in ("UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving") or name.endswith(("Statement", "Command")):
+            if name not in _PLANS:
+                raise ValueError(f"only queries are allowed, not {name}")
+        if name == "UnresolvedWith":
+            named |= {node.cteRelations().apply(i)._1().lower() for i in range(node.cteRelations().size())}
+        elif name == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            used.append([parts.apply(i).lower() for i in range(parts.size())])
+        elif name == "UnresolvedFunction":
+            parts = node.nameParts()
+            if parts.size() > 1 or parts.apply(0).lower() in _OUTSIDE:
+                raise ValueError(f"{parts.apply(parts.size() - 1)} isn't allowed")
+        elif name == "UnresolvedTableValuedFunction":
+            raise ValueError("table functions aren't allowed")
+        todo += _children(node)
+    for parts in used:
+        if len(parts) > 1 or parts[0] not in views | named:
+            raise ValueError(f"unknown view {'.'.join(parts)}")
 
 
 def read_only_sql(spark: SparkSession, statement: str, limit: int = 30) -> DataFrame:
-    """Runs one SELECT on registered views, at most `limit` rows; anything that isn't a query is refused before it runs.
-
-    The statement is taken as a subquery, so a command or a second statement doesn't parse.
-    """
-    if not _READS.match(statement):
-        raise ValueError("only queries are allowed")
+    """One query on temporary views, at most `limit` rows; what isn't one is refused before it runs (`checked`)."""
+    checked(spark, statement)
     return spark.sql(f"select * from (\n{statement}\n) limit {int(limit)}")
+
+
+def read_only_rows(spark: SparkSession, statement: str, limit: int = 30, seconds: float = 10) -> list[Row]:
+    """The rows of `read_only_sql`; a run of more than `seconds` is cancelled and raises TimeoutError."""
+    df, tag, late = read_only_sql(spark, statement, limit), f"weft-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {seconds} seconds") from None
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weft.plans.model import GraphSpec, adjacency, compatible
 from weft.scratch import written
 
 MAX_RINGS, BACKBONE_HOPS = 8, 4
+#: Rows of a frontier that are broadcast to the adjacency; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def capped(candidates: DataFrame, group: list[str], caps: set[int]) -> DataFrame:
     """Of each group's edges of one relation the best `cap` (rank down, neighbour up); relations without a cap pass.
 
-    The rank filter is applied for each of the model's cap values by itself: with a constant bound Spark limits groups before the shuffle, so a hub's
+    Ranks are first held against the largest cap: with a constant bound Spark limits groups before the shuffle, so a hub's
     edges don't all travel.
     """
+    if not caps:
+        return candidates.filter("cap is null")
     order = Window.partitionBy(*group, "rel").orderBy(F.desc("rank"), "to")
-    out = candidates.filter("cap is null")
-    for c in sorted(caps):
-        out = out.unionByName(candidates.filter(F.col("cap") == c).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= int(c)).drop("_rn"))
-    return out
+    ranked = candidates.filter("cap is not null").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(caps))
+    return candidates.filter("cap is null").unionByName(ranked.filter(F.col("_rn") <= F.col("cap")).drop("_rn"))
 
 
 def bridges(spec: GraphSpec) -> F.Column:
@@ -30,70 +34,107 @@ def bridges(spec: GraphSpec) -> F.Column:
     return F.coalesce((F.col("degree") <= spec.bridge_degree) & ~named, F.lit(False))
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A graph as walks read it: both orientations of its edges and its nodes, written once for many walks."""
+
+    adjacency: DataFrame
+    nodes: DataFrame
+    spec: GraphSpec
+    bridge: bool
+
+
+def prepare(nodes: DataFrame, edges: DataFrame, spec: GraphSpec, bridge: bool = False, clustered: bool = False) -> Prepared:
+    """Writes the adjacency; clustered: sorted by the node that an edge leaves from, so that Parquet skips what a frontier doesn't touch, which pays for graphs that are walked often."""
+    adj = adjacency(edges, spec, bridge)
+    adj = adj.repartitionByRange("from").sortWithinPartitions("from", "rel") if clustered else adj
+    return Prepared(written(adj), written(nodes.select("key", "kind", "name", "locs", "degree")), spec, bridge)
+
+
 def signal_decay(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, spec: GraphSpec, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:
+    """`walk` over a graph that is prepared for this one call."""
+    return walk(prepare(nodes, edges, spec, bridge), seeds, decay, min_signal, max_nodes, compartment_filter, rings)
+
+
+def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:
     """Neighbourhoods of all `seeds` (seed, key) at once: nodes (seed, key, kind, signal, pinned) and edges (seed, rel, src, dst).
 
     All seeds expand together, one join a ring. A ring reads the signals that held when it began. The backbone follows structural
     relations, without cap or floor, and attaches leaves to their hosts; what it reaches is pinned. Rings then expand all relations:
     cap, decay, floor, compartments; the next frontier is what was never expanded, without leaves that don't bridge. At the
     end pinned nodes stay and others by signal, up to max_nodes for each seed.
+
+    A ring is two writes: the edges that it follows, and the state (signals, what is expanded and what comes next), whose frontier is counted in the same pass.
     """
-    known = nodes.select("key", "kind", "name", "locs", "degree")
-    adj = written(adjacency(edges, spec, bridge).join(known.select(F.col("key").alias("to"), F.col("kind").alias("to_kind"), F.col("locs").alias("to_locs"), "degree", "name"), "to"))
+    spec, known, adj = graph.spec, graph.nodes, graph.adjacency
+    steps: list[DataFrame] = []
+
+    def put(df: DataFrame) -> tuple[DataFrame, int]:
+        """The state, written, and how many of its rows are the next frontier."""
+        seen = Observation()
+        out = written(df.observe(seen, F.count_if("front").alias("n")))
+        return out, seen.get["n"]
+
+    def merged(state: DataFrame, step: DataFrame, pinned: Column, front: Column) -> tuple[DataFrame, int]:
+        new = step.select("seed", F.col("to").alias("key"), F.col("new").alias("signal"), pinned.alias("pinned"), F.lit(False).alias("done"), front.alias("front"))
+        old = state.select("seed", "key", "signal", "pinned", (F.col("done") | F.col("front")).alias("done"), F.lit(False).alias("front"))
+        both = old.unionByName(new).groupBy("seed", "key").agg(F.max("signal").alias("signal"), F.bool_or("pinned").alias("pinned"), F.bool_or("done").alias("done"), F.bool_or("front").alias("front"))
+        return put(both.withColumn("front", F.col("front") & ~F.col("done")))
+
+    def followed(frontier: DataFrame, n: int, over: DataFrame) -> DataFrame:
+        frontier = frontier.select("seed", F.col("key").alias("from"), "signal", "pinned")
+        met = over.join(F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier, "from")
+        return met.withColumn("new", F.col("signal") * decay * F.col("cond"))
+
+    def record(step: DataFrame) -> DataFrame:
+        steps.append(step.select("seed", "rel", "src", "dst"))
+        return step
+
+    yes = F.lit(True)
     found = seeds.join(known.select("key"), "key", "left_semi").select("seed", "key").distinct()
-    state = written(found.select("seed", "key", F.lit(1.0).alias("signal"), F.lit(True).alias("pinned")))
-    recorded = adj.select(F.lit("").alias("seed"), "rel", "src", "dst").limit(0)
-
-    def merged(new: DataFrame) -> DataFrame:
-        return written(state.unionByName(new).groupBy("seed", "key").agg(F.max("signal").alias("signal"), F.bool_or("pinned").alias("pinned")))
-
-    def candidates(frontier: DataFrame, over: DataFrame) -> DataFrame:
-        return frontier.withColumnRenamed("key", "from").join(over, "from")
-
-    frontier, expanded = state.select("seed", "key", "signal"), state.select("seed", "key").limit(0)
-    structural = adj.filter("structural")
-    for _ in range(BACKBONE_HOPS):
-        step = written(candidates(frontier, structural))
-        if step.isEmpty():
-            break
-        recorded = recorded.unionByName(step.select("seed", "rel", "src", "dst"))
-        expanded = expanded.unionByName(frontier.select("seed", "key"))
-        state = merged(step.select("seed", F.col("to").alias("key"), (F.col("signal") * decay * F.col("cond")).alias("signal"), F.lit(True).alias("pinned")))
-        frontier = written(state.select("seed", "key", "signal").join(step.select("seed", F.col("to").alias("key")).distinct(), ["seed", "key"], "left_semi").join(expanded.distinct(), ["seed", "key"], "left_anti"))
+    state, n = put(found.select("seed", "key", F.lit(1.0).alias("signal"), yes.alias("pinned"), F.lit(False).alias("done"), yes.alias("front")))
+    found = state.select("seed", "key")
+    structural = [name for name, r in spec.relations.items() if r.structural]
+    if structural:
+        bones = adj.filter(F.col("rel").isin(*structural))
+        for _ in range(BACKBONE_HOPS):
+            if not n:
+                break
+            step = record(written(followed(state.filter("front"), n, bones)))
+            state, n = merged(state, step, yes, yes)
     if spec.leaf_relation:
-        hosts = state.join(known.filter(F.col("kind") == spec.leaf_host).select("key"), "key", "left_semi")
-        leaves = candidates(hosts.select("seed", "key", "signal"), adj.filter((F.col("rel") == spec.leaf_relation) & (F.col("to_kind") == spec.leaf_kind)))
+        hosts = state.join(known.filter(F.col("kind") == spec.leaf_host).select("key"), "key", "left_semi").select("seed", F.col("key").alias("from"), "signal")
+        leaves = adj.filter(F.col("rel") == spec.leaf_relation).join(hosts, "from").join(known.filter(F.col("kind") == spec.leaf_kind).select(F.col("key").alias("to")), "to", "left_semi")
         order = Window.partitionBy("seed", "from").orderBy("to")
-        leaves = written(leaves.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= spec.leaf_cap))
-        recorded = recorded.unionByName(leaves.select("seed", "rel", "src", "dst"))
-        state = merged(leaves.select("seed", F.col("to").alias("key"), (F.col("signal") * decay * F.col("cond")).alias("signal"), F.lit(True).alias("pinned")))
+        leaves = leaves.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= spec.leaf_cap).withColumn("new", F.col("signal") * decay * F.col("cond"))
+        state, _ = merged(state, record(written(leaves)), yes, F.lit(False))
 
-    frontier, expanded = written(found), found.limit(0)
-    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if bridge else set())
-    locs = known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs"))
+    state = state.select("seed", "key", "signal", "pinned", F.lit(False).alias("done")).join(F.broadcast(found.withColumn("front", yes)), ["seed", "key"], "left").withColumn("front", F.coalesce("front", F.lit(False)))
+    state, n = put(state)
+    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if graph.bridge else set())
     for _ in range(rings):
-        open_seeds = state.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < max_nodes).select("seed")
-        frontier = written(frontier.join(open_seeds, "seed", "left_semi").join(state, ["seed", "key"]).select("seed", "key", "signal", "pinned"))
-        if frontier.isEmpty():
+        if not n:
             break
-        step = capped(written(candidates(frontier, adj)), ["seed", "from"], caps)
-        step = step.withColumn("new", F.col("signal") * decay * F.col("cond")).filter(F.col("new") >= min_signal)
+        open_seeds = state.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < max_nodes).select("seed")
+        frontier = state.filter("front").join(F.broadcast(open_seeds), "seed", "left_semi")
+        step = capped(followed(frontier, n, adj), ["seed", "from"], caps).filter(F.col("new") >= min_signal)
+        step = step.join(known.select(F.col("key").alias("to"), F.col("kind").alias("to_kind"), F.col("locs").alias("to_locs"), "degree", "name"), "to")
         if compartment_filter:
-            step = step.join(locs, "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs"))).drop("from_locs")
-        step = written(step)
-        recorded = recorded.unionByName(step.select("seed", "rel", "src", "dst"))
-        expanded = written(expanded.unionByName(frontier.select("seed", "key")))
-        state = merged(step.select("seed", F.col("to").alias("key"), F.col("new").alias("signal"), (F.col("structural") & F.col("pinned")).alias("pinned")))
-        passing = step if spec.leaf_kind is None else step.filter((F.col("to_kind") != spec.leaf_kind) | (bridges(spec) if bridge else F.lit(False)))
-        frontier = passing.select("seed", F.col("to").alias("key")).distinct().join(expanded, ["seed", "key"], "left_anti")
+            step = step.join(known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs")), "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs")))
+        step = record(written(step))
+        passes = yes if spec.leaf_kind is None else (F.col("to_kind") != spec.leaf_kind) | (bridges(spec) if graph.bridge else F.lit(False))
+        state, n = merged(state, step, F.col("structural") & F.col("pinned"), passes)
 
     trim = Window.partitionBy("seed", "pinned").orderBy(F.desc("signal"), "key")
     pins = Window.partitionBy("seed")
     kept = state.withColumn("rn", F.row_number().over(trim)).withColumn("np", F.sum(F.col("pinned").cast("int")).over(pins)).filter(F.col("pinned") | (F.col("rn") <= max_nodes - F.col("np")))
     kept = written(kept.select("seed", "key", "signal", "pinned"))
+    recorded = steps[0] if steps else adj.select(F.lit("").alias("seed"), "rel", "src", "dst").limit(0)
+    for step in steps[1:]:
+        recorded = recorded.unionByName(step)
     within = recorded.distinct().join(kept.select("seed", F.col("key").alias("src")), ["seed", "src"], "left_semi").join(kept.select("seed", F.col("key").alias("dst")), ["seed", "dst"], "left_semi")
     if compartment_filter:
-        tied = [n for n, r in spec.relations.items() if r.compartments]
+        tied = [name for name, r in spec.relations.items() if r.compartments]
         ends = within.join(known.select(F.col("key").alias("src"), F.col("locs").alias("a")), "src", "left").join(known.select(F.col("key").alias("dst"), F.col("locs").alias("b")), "dst", "left")
         within = ends.filter(~F.col("rel").isin(*tied) | compatible(F.col("a"), F.col("b")))
     return kept.join(known.select("key", "kind"), "key").select("seed", "key", "kind", "signal", "pinned"), within.select("seed", "rel", "src", "dst")
