@@ -171,15 +171,19 @@ def read_only_sql(spark: SparkSession, statement: str, limit: int = 30) -> DataF
 
 def read_only_rows(spark: SparkSession, statement: str, limit: int = 30, seconds: float = 10) -> list[Row]:
     """The rows of `read_only_sql`; a run of more than `seconds` is cancelled and raises TimeoutError."""
-    df, tag, late = read_only_sql(spark, statement, limit), f"weft-{uuid.uuid4().hex}", threading.Event()
+    df, tag, late, done = read_only_sql(spark, statement, limit), f"weft-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
+        if done.wait(seconds):
+            return
         late.set()
         spark.sparkContext.cancelJobsWithTag(tag)
+        while not done.wait(0.3):  # a query may be between two jobs
+            spark.sparkContext.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
+    watch = threading.Thread(target=stop, daemon=True)
     spark.sparkContext.addJobTag(tag)
-    timer.start()
+    watch.start()
     try:
         return df.collect()
     except Exception:
@@ -187,5 +191,6 @@ def read_only_rows(spark: SparkSession, statement: str, limit: int = 30, seconds
             raise TimeoutError(f"the query took more than {seconds} seconds") from None
         raise
     finally:
-        timer.cancel()
+        done.set()
+        watch.join()
         spark.sparkContext.removeJobTag(tag)

@@ -49,6 +49,29 @@ def tissue_weights(gct: DataFrame, tissues: list[str]) -> DataFrame:
     return rows.select("ensembl_id", *[f"tw_{t}" for t in tissues])
 
 
+def weighted(produces: DataFrame, weights: DataFrame) -> DataFrame:
+    """PRODUCES edges with the tissue weights of their gene; genes without weights keep null ones."""
+    return produces.join(weights.withColumnRenamed("ensembl_id", "src"), "src", "left")
+
+
+def ensp_to_uniprot(cds: DataFrame, swissprot: DataFrame) -> DataFrame:
+    """(ensp, uniprot, idx) for each Ensembl protein of the CDS lines of a GTF (with `idx`), over its transcript; the first line that leads to a protein counts. Taxon prefixes and versions go."""
+    a = F.col("attributes")
+    strip = lambda c: N.strip_version(F.regexp_replace(c, r"^\d+\.(?=[A-Za-z])", ""))
+    lines = cds.select(strip(a["protein_id"]).alias("ensp"), N.strip_version(a["transcript_id"]).alias("enst"), "idx").filter("ensp is not null and enst is not null")
+    known = swissprot.groupBy(N.strip_version(F.col("enst")).alias("enst")).agg(F.min("uniprot").alias("uniprot"))
+    return lines.join(known, "enst").groupBy("ensp").agg(F.min_by("uniprot", "idx").alias("uniprot"), F.min("idx").alias("idx"))
+
+
+def unmapped(string: DataFrame, ensp: DataFrame) -> DataFrame:
+    """How many pairs over the score have no protein on the first, the second or either side."""
+    strip = lambda c: F.substring_index(c, ".", -1)
+    known = ensp.select("ensp").distinct()
+    rows = string.filter(F.col("combined_score").try_cast("int") >= STRING_SCORE).select(strip("protein1").alias("a"), strip("protein2").alias("b"))
+    met = rows.join(known.select(F.col("ensp").alias("a"), F.lit(True).alias("ka")), "a", "left").join(known.select(F.col("ensp").alias("b"), F.lit(True).alias("kb")), "b", "left")
+    return met.agg(F.count_if(F.col("ka").isNull()).alias("first"), F.count_if(F.col("kb").isNull()).alias("second"), F.count_if(F.col("ka").isNull() | F.col("kb").isNull()).alias("either"))
+
+
 def proteins(ids: DataFrame, swissprot: DataFrame, transcript: DataFrame, gene: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Proteins with a symbol, and their edges: from transcripts, or from genes where no transcript leads to the protein."""
     p = ids.filter("uniprot_id is not null").select("uniprot_id", F.col("symbol").alias("hgnc_symbol"), "ensembl_id").dropDuplicates(["uniprot_id", "ensembl_id"])
@@ -197,3 +220,27 @@ def uniprot_fields(raw: DataFrame) -> DataFrame:
 def transcription_factors(edges: DataFrame) -> DataFrame:
     """Proteins that regulate something: what marks a transcription factor."""
     return edges.filter("rel = 'REGULATES'").select(F.col("src").alias("key")).distinct()
+
+
+def gene_summaries(records: DataFrame, gene: DataFrame) -> DataFrame:
+    """(ensembl_id, summary_text) from records (entrez, summary): the last record of a number that has a text, for each gene with that number; blank ones are left out."""
+    said = records.withColumn("text", N.not_blank(F.col("summary"))).filter("text is not null").groupBy(F.substring_index(F.col("entrez").cast("string"), ".", 1).alias("entrez")).agg(F.max_by("text", "idx").alias("summary_text"))
+    return gene.filter("entrez is not null").select("ensembl_id", "entrez").join(said, "entrez").select("ensembl_id", "summary_text")
+
+
+def metabolite_records(hmdb: DataFrame, needed: DataFrame) -> DataFrame:
+    """(hmdb_id, name, formula, inchikey) of the needed ids (hmdb_id), found by a record's accession or one of its secondary ones; the first record's own accession goes before secondary ones.
+
+    hmdb: (accession, secondary array<string>, name, chemical_formula, inchikey, idx).
+    """
+    ids = F.concat(F.array(F.struct(F.lit(0).alias("way"), F.col("accession").alias("id"))), F.transform(F.coalesce("secondary", F.array().cast("array<string>")), lambda x: F.struct(F.lit(1).alias("way"), x.alias("id"))))
+    rows = hmdb.select("name", "chemical_formula", "inchikey", "idx", F.explode(ids).alias("i")).select(N.hmdb(F.col("i.id")).alias("hmdb_id"), "i.way", "idx", "name", "chemical_formula", "inchikey")
+    met = rows.join(needed.select("hmdb_id").distinct(), "hmdb_id", "left_semi")
+    best = met.groupBy("hmdb_id").agg(F.min_by(F.struct("name", F.col("chemical_formula").alias("formula"), "inchikey"), F.struct("way", "idx")).alias("x"))
+    return best.select("hmdb_id", "x.*")
+
+
+def entrez_maps(hgnc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ensembl id to Entrez number, and back (there ids keep their version); the last line wins. A number that several genes share leads to all of them by the first table."""
+    rows = hgnc.filter(N.not_blank(F.col("entrez_id")).isNotNull() & N.not_blank(F.col("ensembl_gene_id")).isNotNull()).select(N.strip_version(F.col("ensembl_gene_id")).alias("ensembl_id"), F.col("ensembl_gene_id").alias("raw"), F.substring_index("entrez_id", ".", 1).alias("entrez"), "idx")
+    return rows.groupBy("ensembl_id").agg(F.max_by("entrez", "idx").alias("entrez")), rows.groupBy("entrez").agg(F.max_by("raw", "idx").alias("ensembl_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -102,3 +103,48 @@ def zipped_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                                     yield chunk[columns].astype(object).where(chunk[columns].notna(), None)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))
+
+
+def publications(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, title, abstract) of publication records in XML; the parts of an abstract joined, missing ones empty."""
+    schema = "MedlineCitation struct<PMID string, Article struct<ArticleTitle string, Abstract struct<AbstractText array<string>>>>"
+    a = xml(spark, path, "PubmedArticle", schema).select("MedlineCitation.PMID", "MedlineCitation.Article.*")
+    return a.select(F.col("PMID").alias("pmid"), F.coalesce("ArticleTitle", F.lit("")).alias("title"), F.array_join(F.coalesce(F.col("Abstract.AbstractText"), F.array().cast("array<string>")), " ").alias("abstract")).filter("pmid is not null")
+
+
+def labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (surface, id, kind, canonical) and gold triples (pmid, text, edge_type, subject_id, object_id, polarity; one row without a triple for a case that has none) of a labelled corpus."""
+    schema = "entities array<struct<surface string, id string, kind string, canonical string>>, cases array<struct<pmid string, text string, gold array<struct<edge_type string, subject_id string, object_id string, polarity string>>>>"
+    whole = json_rows(spark, path, schema, multi_line=True)
+    cases = whole.select(F.explode("cases").alias("c")).select("c.pmid", "c.text", F.explode_outer("c.gold").alias("g"))
+    return whole.select(F.explode("entities").alias("e")).select("e.*"), cases.select("pmid", "text", "g.*")
+
+
+def newest(spark: SparkSession, pattern: str) -> str:
+    """The path that a glob finds with the last name, in any store that Spark can read."""
+    found = spark.read.format("binaryFile").load(pattern).select("path").agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
+    if found is None:
+        raise ValueError(f"no file like {pattern}")
+    return found
+
+
+def delimited(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
+    """The newest file that a glob finds, all strings: a tar archive's delimited members (each archive is one task, rows stream out in chunks), a tab- or comma-separated file, compressed or not. Web pages are refused."""
+    path = newest(spark, pattern)
+    if not path.endswith((".tar", ".tar.gz", ".tgz")):
+        first = spark.read.text(path).limit(1).collect()
+        if first and first[0][0].lstrip().lower().startswith(("<!doctype", "<html")):
+            raise ValueError("a web page instead of a table")
+        return tsv(spark, path, columns, sep="," if path.removesuffix(".gz").endswith(".csv") else "\t")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for member in archive:
+                        if member.name.endswith((".tsv", ".txt", ".csv", ".tsv.gz", ".csv.gz")):
+                            sep, packed = "," if ".csv" in member.name else "\t", "gzip" if member.name.endswith(".gz") else None
+                            for chunk in pd.read_csv(archive.extractfile(member), sep=sep, dtype=str, usecols=columns, compression=packed, chunksize=100_000):
+                                yield chunk[columns].astype(object).where(chunk[columns].notna(), None)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))
