@@ -122,11 +122,19 @@ def digests(formatted: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def events_of(turns: DataFrame) -> DataFrame:
-    """Stored conversations (conv_id, turn, role, text) as a log: one `message` event for each row.
+#: Code points of a text that one event of a log carries.
+PIECE = 512
+
+
+def events_of(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Stored conversations (conv_id, turn, role, text) as a log: a `message` event with the beginning of each row's text, and a `delta` for each further piece.
 
     Rows that repeat a turn are messages of their own, by role and text; null turns come first.
     """
     place = F.struct(F.col("turn").isNotNull().alias("k"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("t"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy(place)).cast("long")
-    return turns.select("conv_id", number.alias("seq"), F.lit("message").alias("kind"), number.alias("message"), "role", "text")
+    numbered = turns.select("conv_id", "role", "text", number.alias("message"))
+    rows = numbered.select("conv_id", "message", "role", F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{int(piece)}}}"), F.lit(0))).alias("piece", "text"))
+    first = F.coalesce(F.col("piece"), F.lit(0)) == 0
+    seq = F.col("message") * (1 << 24) + F.coalesce("piece", F.lit(0))
+    return rows.select("conv_id", seq.alias("seq"), F.when(first, "message").otherwise("delta").alias("kind"), "message", F.when(first, F.col("role")).alias("role"), "text")
