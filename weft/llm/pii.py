@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.normalize import once
 from weft.llm.common import having, lacking, row_key, written
 
 #: Fixed kinds in the order of the results, with Java patterns. They find the same spans as the plain patterns, but in one pass:
@@ -30,11 +29,6 @@ ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 4, 0.7, 0.75
 STEP = 64
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running(sizes: Column) -> Column:
     """Sums of the elements before each element of an array of integers: first over steps of elements, then within each, which keeps the copies short."""
 
