@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions.normalize import once
 from weft.llm import minhash, mixing, packing, pii, quality
 from weft.llm.common import having, lacking, row_key, written
 from weft.tables import table
@@ -58,9 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     cut = met.withColumn("_w_words", F.explode(copies))
     words = F.split(F.regexp_replace("text", r"\A[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    cut = cut.withColumn("_w_split", F.when(F.col("_w_words") > 0, words))
-    parts = F.flatten(F.transform("_w_ranges", lambda r: F.slice(F.col("_w_split"), (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int"))))
-    cut = cut.withColumn("_w_text", F.when(F.col("_w_words") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    slices = once(words, lambda split: F.flatten(F.transform("_w_ranges", lambda r: F.slice(split, (r["first"] + 1).cast("int"), (r["end"] - r["first"]).cast("int")))))
+    cut = cut.withColumn("_w_text", F.when(F.col("_w_words") > 0, F.array_join(slices, "")).otherwise(F.col("text")))
     return cut.select(*[F.col("_w_text").alias("text") if c == "text" else F.length("_w_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
