@@ -73,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multipliers of the five words of a shingle.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     return random, space
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x5851F42D4C957F2D
     inverse = pow(base, -1, 1 << 64)
@@ -130,7 +130,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[cuts] = solid[cuts]
     last[cuts - 1] = solid[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(16, int(len(data) - 1).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data) - 1).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(random[data] * up[: len(data)], out=total[1:])
     hashes = (total[ends] - total[starts]) * down[starts]
