@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import mix, shingle_hashes, slices, word_hashes, written
+from weft.llm.common import by_group, mix, shingle_hashes, slices, word_hashes, written
 
 #: Words of a shingle and of the shortest passage, hash functions. A passage at 0.75 meets under none of three with probability 0.016, one at 0.8 with 0.008.
 WORDS, LEAST, HASHES = 5, 50, 3
@@ -149,6 +149,14 @@ def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.n
 def passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int = 0) -> list[tuple[int, int, int, int]]:
     """Near-duplicate ranges [s, e) of a and [s, e) of b, `length` shingles or more on both sides, that begin and end with
     equal shingles: multiset Jaccard of the two ranges, top / of at least, by their aligned shingles."""
+    lo = max(0, -offset)
+    n = min(len(a) - lo, len(b) - lo - offset)
+    if n >= length:  # most copies: replaced words only, so that one diagonal holds all of the shorter range
+        same = np.flatnonzero(a[lo : lo + n] == b[lo + offset : lo + offset + n])
+        if len(same):
+            s, e = int(same[0]), int(same[-1]) + 1
+            if e - s >= length and e - s + SHIFT >= min(len(a), len(b)) and of * len(same) >= top * (2 * (e - s) - len(same)):
+                return [(lo + s, lo + e, lo + offset + s, lo + offset + e)]
     found = _aligned_passages(a, b, length, top, of, offset)
     if not found:
         there, here = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
@@ -321,12 +329,33 @@ def _pairs(least: int, length: int, top: int, of: int, batches: Iterator[pa.Reco
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different shingles of each member's range."""
+    """The different shingles of each member's range, packed by group and bucket of shingles: a row for each of these in a batch."""
     for batch in batches:
         for part in slices(batch, "near", 1 << 22):
             own = [np.unique(np.frombuffer(x.as_buffer(), np.uint32)) for x in part.column("near")]
-            take = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
-            yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("key", "id", "at")], pa.array(np.concatenate(own).astype(np.int64))], ["key", "id", "at", "shingle"])
+            row, shingle = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+            key, many, ids, at = (part.column(c).to_numpy() for c in ("key", "buckets", "id", "at"))
+            bucket = (shingle % many[row].astype(np.uint32)).astype(np.int32)
+            order = np.lexsort((bucket, key[row]))
+            row, shingle, bucket = row[order], shingle[order], bucket[order]
+            cuts = np.flatnonzero((np.diff(key[row]) != 0) | (np.diff(bucket) != 0)) + 1
+            edges = np.concatenate([[0], cuts, [len(row)]])
+            packed = [pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for values in (shingle, ids[row], at[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(key[row][edges[:-1]]), pa.array(bucket[edges[:-1]]), *packed], ["key", "bucket", "shingles", "ids", "ats"])
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a bucket each member has that no other member of its group has."""
+
+    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        shingle, ids, at = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint32), ("ids", np.int64), ("ats", np.int32)))
+        _, first, many = np.unique(shingle, return_index=True, return_counts=True)
+        first = first[many == 1]
+        if len(first):
+            members, n = np.unique(np.stack([ids[first], at[first].astype(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), group.column("key")[0].as_py(), np.int64)), pa.array(members[0]), pa.array(members[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "id", "at", "n"])
+
+    return by_group(batches, ["key", "bucket"], work)
 
 
 def _meet(met: DataFrame, length: int) -> DataFrame:
@@ -401,8 +430,9 @@ def _among(hits: DataFrame, rest: DataFrame, sizes: DataFrame, sequences: DataFr
     near = hits.join(many, "key").join(sequences, F.col("id") == F.col("doc")).select("key", "parts", "id", "at", (F.col("at") - F.col("before")).alias("lo"), F.substring(F.col("seq"), (F.col("at") - F.col("before")) * 4 + 1, (F.col("before") + F.col("after") + 1) * 4).alias("near"))
     near = written(near.join(opened, ["key", "id", "at"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
     large = near.filter("parts > 1")
-    alone = large.select("key", "id", "at", "near").mapInArrow(_spread, "key long, id long, at int, shingle long").groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("m"))
-    alone = alone.filter("n = 1").groupBy("key", F.col("m.id").alias("id"), F.col("m.at").alias("at")).agg(F.count(F.lit(1)).alias("alone"))
+    spread = large.select("key", "id", "at", F.ceil(F.col("parts") / 8).cast("int").alias("buckets"), "near").mapInArrow(_spread, "key long, bucket int, shingles binary, ids binary, ats binary")
+    alone = spread.repartition("key", "bucket").sortWithinPartitions("key", "bucket").mapInArrow(_alone, "key long, id long, at int, n long")
+    alone = alone.groupBy("key", "id", "at").agg(F.sum("n").alias("alone"))
     large = written(large.join(alone, ["key", "id", "at"], "left").filter(F.length("near") / 4 - F.coalesce("alone", F.lit(0)) >= least).drop("alone", "parts"))
     parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
 
