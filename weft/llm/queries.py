@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter
+from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter, whitening
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -56,6 +56,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_nearest": op9_nearest,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL = {
