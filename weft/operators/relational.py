@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.scratch import written
+
 
 def where(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     """Equality filters; a None leaves its column free."""
@@ -25,6 +27,20 @@ def top_list(df: DataFrame, keys: list[str], order: list[Column], value: str, k:
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value))), lambda x: x[value]).alias(out))
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with each row's place in `order`, from 1 on. Rows are dealt out by ranges and sorted there; only the ranges' sizes meet on the driver,
+    so no task sees all rows. `df` should be written, and `order` end with something that tells rows apart: equal ones share a range."""
+    ordered = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_w_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_w_at", 33), F.col("_w_at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_w_part long, _w_start long"))
+    return ordered.join(offsets, part == F.col("_w_part"), "left").withColumn(out, F.col("_w_start") + within + 1).drop("_w_at", "_w_part", "_w_start")
+
+
 def percentile(df: DataFrame, column: str, share: float) -> float | None:
     """The exact percentile (linear between two order statistics), null without values. Values are counted by range first, so that no task meets more than one range's worth."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
