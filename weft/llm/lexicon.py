@@ -100,4 +100,4 @@ def unpacked(data: bytes) -> np.ndarray:
 def vocabulary(table: DataFrame, *columns: str) -> DataFrame:
     """(chunk, at, word, ...) of a table of chunks with arrays `word` and `columns` of equal length."""
     each = F.arrays_zip("word", *columns)
-    return table.select("chunk", F.posexplode(each).alias("at", "_w")).select("chunk", "at", *[F.col(f"_w.{c}").alias(c) for c in ("word", *columns)])
+    return table.select(F.col("chunk").alias("_c"), F.posexplode(each).alias("at", "_w")).select(F.col("_c").alias("chunk"), "at", *[F.col(f"_w.{c}").alias(c) for c in ("word", *columns)])

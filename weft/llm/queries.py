@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, embedding_dedup, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter, whitening
+from weft.llm import chat, embedding_dedup, importance, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter, whitening
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_whitening": op11_whitening,
+    "op12_importance": op12_importance,
 }
 
 ORACLE_SQL = {
@@ -116,4 +121,21 @@ p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec
 r as (select vec_id as node, vec_id as comp from embeddings union select p.b, r.comp from r join p on r.node = p.a where r.comp < p.b),
 c as (select node, min(comp) as component_id from r group by node), n as (select a, count(*) as n_links from p group by a)
 select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, component_id = vec_id as kept from embeddings join c on node = vec_id left join n on a = vec_id""",
+    "op12_importance": r"""
+with c0 as (select i::ubigint as c, i from range(256) t(i)),
+tbl as (select list(list_reduce([c] || list_transform(range(8), lambda k: 0::ubigint), lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end) order by i) as v from c0),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+e as (select doc_id, unnest(ws) as f from w),
+sf as (select f, count(*) as n from e group by f), tf as (select f, count(*) as n from (select unnest(ws) as f from b) group by f),
+d as (select f, coalesce(sf.n, 0) as s, coalesce(tf.n, 0) as t, hex(encode(f)) as h from sf full join tf using (f)),
+k as (select f, s, t, cast(xor(list_reduce([4294967295::ubigint] || list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::ubigint),
+             lambda c, y: xor(c // 256, v[(xor(c, y) % 256 + 1)::bigint])), 4294967295::ubigint) as bigint) % 10000 as bucket from d, tbl),
+g as (select bucket, sum(s) as s, sum(t) as t from k group by bucket), a as (select sum(s) as s, sum(t) as t from k),
+r as (select bucket, cast(floor(1000 * ln(((g.t + 1)::double * (a.s + 10000)::double) / ((g.s + 1)::double * (a.t + 10000)::double))) as bigint) as gain from g, a),
+m as (select doc_id, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from e join k using (f) join r using (bucket) group by doc_id),
+x as (select w.doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight,
+      coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || w.doc_id)[1:8])::ubigint::double + 0.5) / 4294967296))) as bigint) as score from w left join m on w.doc_id = m.doc_id),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from x where n_features >= 20)
+select x.doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank from x left join o on x.doc_id = o.doc_id""",
 }
