@@ -29,3 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, n: int, column: str, dealt: bool = False) -> DataFrame:
+    """`df` as a table of `n` buckets by `column`, in the same folder: groupings and joins of such tables by that column need no shuffle.
+    dealt: rows of a key lie in one task already, so they are written where they are."""
+    name = f"weft_{uuid.uuid4().hex}"
+    given = df if dealt else df.repartition(n, column)
+    given.write.format("parquet").option("path", folder(df.sparkSession)).bucketBy(n, column).saveAsTable(name)
+    return df.sparkSession.table(name)
