@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, embedding_dedup, importance, minhash, mixing, neighbours, packing, pii, quality, substring, urlfilter, whitening
+from weft.llm import chat, embedding_dedup, importance, minhash, mixing, neighbours, packing, pii, pitman_yor, quality, substring, urlfilter, whitening
 from weft.tables import table
 
 #: Fixed rules of op2: host, path, verdict.
@@ -64,6 +64,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_whitening": op11_whitening,
     "op12_importance": op12_importance,
+    "op13_lm_score": op13_lm_score,
 }
 
 ORACLE_SQL = {
