@@ -36,5 +36,5 @@ def bucketed(df: DataFrame, n: int, column: str, dealt: bool = False) -> DataFra
     dealt: rows of a key lie in one task already, so they are written where they are."""
     name = f"weft_{uuid.uuid4().hex}"
     given = df if dealt else df.repartition(n, column)
-    given.write.format("parquet").option("path", folder(df.sparkSession)).bucketBy(n, column).saveAsTable(name)
+    given.write.format("parquet").option("compression", "zstd").option("path", folder(df.sparkSession)).bucketBy(n, column).saveAsTable(name)
     return df.sparkSession.table(name)
