@@ -250,6 +250,20 @@ def test_personal_data_discovered(spark):
     assert all("secret:" in got[i].spans for i in range(2, 90, 3))
 
 
+def test_repeated_passages_of_great_length(spark):
+    """Windows reach further than 255 places."""
+    rng = random.Random(300)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: [word() for _ in range(n)]
+    shared, short = line(330), line(280)
+    rows = [(k, " ".join(line(40) + shared + line(60))) for k in range(3)] + [(10 + k, " ".join(line(40) + short + line(60))) for k in range(3)]
+    got = {r.doc_id: r for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string"), least=300).collect()}
+    assert {i: (r.start_word, r.end_word) for i, r in got.items()} == dict.fromkeys(range(3), (40, 370))
+    values = np.concatenate([np.arange(1, 400)[::-1], np.arange(400)]).astype(np.uint64)
+    before, after = substring.extents(values, np.array([399]), np.array([0, len(values)]), 311)
+    assert before.tolist() == [311] and after.tolist() == [311]
+
+
 def test_personal_data_of_dense_texts(spark):
     import time
 
@@ -354,6 +368,22 @@ def test_packing_added_token(spark):
         assert got[i].doc_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(ids[: got[i].length].tobytes())
 
 
+def test_packing_of_very_long_runs(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 2_000_000, 4: "word <|endoftext|>" + " " * 1_100_000 + "x"}
+    pieces = {}
+    for r in packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, own in pieces.items():
+        ids = np.array([*reference.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    assert pieces.keys() == texts.keys()
+
+
 def test_packing_plan():
     rng = np.random.default_rng(2)
     histogram = np.bincount(rng.integers(1, 64, 5000), minlength=64)

@@ -32,12 +32,29 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+@functools.lru_cache(2)
+def _whole_encoder(vocabulary: str):
+    """The tokenizer file of the same vocabulary: slower, but it takes runs of any length."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(str(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json"))))
+
+
+def encode(vocabulary: str, text: str) -> list[int]:
+    """Ids of a whole text. The ranks' pattern gives up on runs of about a million spaces or line ends; such texts are encoded by the tokenizer file."""
+    try:
+        return _encoder(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return _whole_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def _tokenize(vocabulary: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, task = functools.partial(_encoder(vocabulary).encode, allowed_special="all"), TaskContext.get().partitionId()
+    task = TaskContext.get().partitionId()
     chunks, ranks = 0, np.zeros(window, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = [np.array([*encode(t or ""), END_ID], "<u2") for t in part.column("text").to_pylist()]
+            ids = [np.array([*encode(vocabulary, t or ""), END_ID], "<u2") for t in part.column("text").to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)
             full, rest = n // window, n % window
             start = chunks + np.cumsum(full) - full
@@ -189,7 +206,8 @@ def pack(documents: DataFrame, id_column: str = "doc_id", text: str = "text", vo
     of at most `depth` lengths whose repeat counts solve a non-negative least squares problem on the histogram of lengths
     (window - 1 numbers on the driver), what rounding leaves by greedy filling, where pieces are cut so that no sequence
     is padded: the last ones have powers of two as lengths. A row's rank among rests of its length is its rank within the
-    task that tokenized it plus that task's offset, so neither ids nor texts are shuffled.
+    task that tokenized it plus that task's offset; while the offsets are few enough for a broadcast (up to 4,096 tasks) neither
+    ids nor texts are shuffled, beyond that the ids once, by task.
     """
     rows = tokens(documents, id_column, text, vocabulary, window)
     counts = rows.groupBy("task", "rest").agg(F.count(F.lit(1)).alias("c"))

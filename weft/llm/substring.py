@@ -73,7 +73,7 @@ def thinned(places: np.ndarray, values: np.ndarray, starts: np.ndarray, length:
 def extents(values: np.ndarray, places: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Compact windows of the anchors, as places before and behind each: its range in the Cartesian tree of its document's values
     (up to the next smaller value on either side), as far as `reach`."""
-    before, after = np.zeros(len(places), np.uint8), np.zeros(len(places), np.uint8)
+    before, after = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
     padded = np.concatenate([np.zeros(reach, values.dtype), values, np.zeros(reach, values.dtype)])
     step = np.arange(1, reach + 1)
     doc = np.searchsorted(starts, places, "right") - 1
@@ -106,7 +106,7 @@ def _scan(least: int, count: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             doc = np.searchsorted(starts, places, "right") - 1
             order = np.argsort(doc, kind="stable")
             cut = pa.array(np.searchsorted(doc[order], np.arange(len(own) + 1)).astype(np.int32))
-            fields = [pa.array(keys[order].astype(np.int64)), pa.array((places - starts[doc])[order].astype(np.int32)), pa.array(before[order].astype(np.int16)), pa.array(after[order].astype(np.int16))]
+            fields = [pa.array(keys[order].astype(np.int64)), pa.array((places - starts[doc])[order].astype(np.int32)), pa.array(before[order]), pa.array(after[order])]
             windows = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays(fields, ["key", "at", "before", "after"]))
             short = shingles.astype(np.uint32)
             seq = pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
@@ -390,7 +390,7 @@ def repeated(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     kind, length = documents.schema[id_column].dataType.simpleString(), least - WORDS + 1
     given = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
-    rows = given.mapInArrow(functools.partial(_scan, least, hashes), "id long, digest binary, words long, seq binary, windows array<struct<key:long,at:int,before:smallint,after:smallint>>")
+    rows = given.mapInArrow(functools.partial(_scan, least, hashes), "id long, digest binary, words long, seq binary, windows array<struct<key:long,at:int,before:int,after:int>>")
     rows = written(rows.filter(F.col("words") >= least))
     named = rows.select("id", "digest", "words")
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max("words").alias("words")))
