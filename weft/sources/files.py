@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.normalize import gtf_attributes, not_blank
+from weft.sources import archives
+from weft.sources.lines import numbered
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,27 +25,32 @@ def first_present(df: DataFrame, candidates: list[str]) -> Column:
     return F.lit(None).cast("string")
 
 
-def tsv(spark: SparkSession, path: str, columns: list[str] | None = None, names: list[str] | None = None, sep: str = "\t", comment: str | None = None) -> DataFrame:
-    """A delimited file, all strings; `names` for one without a header, `columns` are required and the only ones read."""
+def tsv(spark: SparkSession, path: str, columns: list[str] | None = None, names: list[str] | None = None, sep: str = "\t", comment: str | None = None, idx: bool = False) -> DataFrame:
+    """A delimited file, all strings; `names` for one without a header, `columns` are required and the only ones read; `idx`: also each row's place in the file."""
     reader = spark.read.option("sep", sep).option("inferSchema", False).option("quote", "\u0000" if sep == "\t" else '"')
     if comment:
         reader = reader.option("comment", comment)
     df = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(path) if names else reader.option("header", True).csv(path)
-    return require_columns(df, columns).select(*[f"`{c}`" for c in columns]) if columns else df
+    wanted = [f"`{c}`" for c in columns or df.columns]
+    df = require_columns(df, columns or [])
+    return numbered(df, wanted) if idx else df.select(*wanted)
 
 
-def gtf(spark: SparkSession, path: str, feature: str = "transcript") -> DataFrame:
-    """Rows of one feature: (seqname, start, end, strand, attributes as a map). A gzip file is one split, so rows are dealt out after it."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
+def gtf(spark: SparkSession, path: str, feature: str = "transcript", idx: bool = False) -> DataFrame:
+    """Rows of one feature: (seqname, start, end, strand, attributes as a map), with `idx` also the line's place in the file. Lines without nine
+    fields or with unreadable places are left out. A gzip file is one split."""
+    read = spark.read.text(path)
+    lines = numbered(read) if idx else read
     f = F.split("value", "\t")
-    rows = lines.select(f[0].alias("seqname"), f[2].alias("feature"), f[3].cast("int").alias("start"), f[4].cast("int").alias("end"), f[6].alias("strand"), f[8].alias("raw")).filter(F.col("feature") == feature)
-    return rows.select("seqname", "start", "end", "strand", gtf_attributes(F.col("raw")).alias("attributes"))
+    lines = lines.filter(~F.col("value").startswith("#") & (F.size(f) == 9) & (F.get(f, 2) == feature))
+    rows = lines.select(F.get(f, 0).alias("seqname"), F.get(f, 3).try_cast("int").alias("start"), F.get(f, 4).try_cast("int").alias("end"), F.get(f, 6).alias("strand"), gtf_attributes(F.get(f, 8)).alias("attributes"), *(["idx"] if idx else []))
+    return rows.filter("start is not null and end is not null")
 
 
-def gct(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A GCT matrix: two lines before the header are skipped; the named columns as numbers, the first column as it is."""
-    lines = spark.read.text(path)
-    header = lines.filter(F.col("value").startswith("Name\t")).first()
+def gct(spark: SparkSession, path: str, columns: list[str], idx: bool = False) -> DataFrame:
+    """A GCT matrix: two lines before the header are skipped; the named columns as numbers, the first column as it is; `idx`: also the line's place in the file."""
+    read = spark.read.text(path)
+    header = read.filter(F.col("value").startswith("Name\t")).first()
     if header is None:
         raise ValueError("no header line")
     names = header[0].split("\t")
@@ -57,14 +58,14 @@ def gct(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; found {names}")
     f = F.split("value", "\t")
-    rows = lines.filter((F.size(f) == len(names)) & ~F.col("value").startswith("Name\t"))
-    return rows.select(f[0].alias("Name"), *[f[names.index(c)].try_cast("double").alias(c) for c in columns])
+    rows = (numbered(read) if idx else read).filter((F.size(f) == len(names)) & ~F.col("value").startswith("Name\t"))
+    return rows.select(f[0].alias("Name"), *[f[names.index(c)].try_cast("double").alias(c) for c in columns], *(["idx"] if idx else []))
 
 
 def gmt(spark: SparkSession, path: str) -> DataFrame:
     """Gene sets with any number of members as (line order, set_name, gene)."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), f[0].alias("set_name"), F.slice(f, F.lit(3), F.greatest(F.lit(0), F.size(f) - 2)).alias("genes"))
+    rows = numbered(spark.read.text(path), out="line").select("line", f[0].alias("set_name"), F.slice(f, F.lit(3), F.greatest(F.lit(0), F.size(f) - 2)).alias("genes"))
     return rows.select("line", "set_name", F.explode("genes").alias("gene")).filter(not_blank(F.col("gene")).isNotNull())
 
 
@@ -88,21 +89,8 @@ def projected(spark: SparkSession, paths: list[str], columns: list[str]) -> Data
 
 
 def zipped_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """TSV members of ZIP archives, all strings; each archive is one task, its rows stream out in chunks. Archives that are web pages are refused."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                if content[:200].lstrip().lower().startswith((b"<!doctype", b"<html")):
-                    raise ValueError("a web page instead of an archive")
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith((".tsv", ".txt")):
-                            with z.open(name) as member:
-                                for chunk in pd.read_csv(member, sep="\t", dtype=str, usecols=columns, chunksize=100_000):
-                                    yield chunk[columns].astype(object).where(chunk[columns].notna(), None)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))
+    """TSV members of ZIP archives, all strings; each member is a task, its rows stream out in chunks. Archives that are web pages are refused."""
+    return archives.table(spark, path, columns)
 
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +117,7 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 
 def delimited(spark: SparkSession, pattern: str, columns: list[str]) -> DataFrame:
-    """The newest file that a glob finds, all strings: a tar archive's delimited members (each archive is one task, rows stream out in chunks), a tab- or comma-separated file, compressed or not. Web pages are refused."""
+    """The newest file that a glob finds, all strings: a tar archive's delimited members (each a task, rows stream out in chunks), a tab- or comma-separated file, compressed or not. Web pages are refused."""
     path = newest(spark, pattern)
     if not path.endswith((".tar", ".tar.gz", ".tgz")):
         first = spark.read.text(path).limit(1).collect()
@@ -137,14 +125,4 @@ def delimited(spark: SparkSession, pattern: str, columns: list[str]) -> DataFram
             raise ValueError("a web page instead of a table")
         return tsv(spark, path, columns, sep="," if path.removesuffix(".gz").endswith(".csv") else "\t")
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                    for member in archive:
-                        if member.name.endswith((".tsv", ".txt", ".csv", ".tsv.gz", ".csv.gz")):
-                            sep, packed = "," if ".csv" in member.name else "\t", "gzip" if member.name.endswith(".gz") else None
-                            for chunk in pd.read_csv(archive.extractfile(member), sep=sep, dtype=str, usecols=columns, compression=packed, chunksize=100_000):
-                                yield chunk[columns].astype(object).where(chunk[columns].notna(), None)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))
+    return archives.table(spark, path, columns)
