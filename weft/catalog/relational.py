@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.operators import conversations
 from weft.operators import relational as R
 from weft.operators import upsert
 from weft.tables import table
@@ -141,14 +142,26 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id, max(turn) + 1 as next_seq, count(*) filter (role = 'user') as user_turns from conversations group by conv_id")
 def next_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.coalesce(F.max("turn"), F.lit(-1)) + 1).alias("next_seq"), F.count_if(F.col("role") == "user").alias("user_turns"))
+    turns = table(spark, sf_dir, "conversations")
+    users = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_turns"))
+    return conversations.next_numbers(turns, "conv_id", "turn").join(users, "conv_id")
+
+
+@query("""with o as (select conv_id, max(turn) as last from conversations where turn % 3 = 0 group by conv_id),
+n as (select conv_id, role, text, row_number() over (partition by conv_id order by turn) - 1 as place from conversations where turn % 3 <> 0 and coalesce(text, '') <> '')
+select conv_id, cast(coalesce(last + 1, 0) + place as bigint) as seq, role, length(text) as chars from n left join o using (conv_id)""")
+def saved_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third turn is there already, the others are saved behind them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("seq"), "role", "text")
+    old, new = rows.filter("seq % 3 = 0"), rows.filter("seq % 3 <> 0")
+    return conversations.save(old, new, ["seq"], "conv_id", "text").select("conv_id", "seq", "role", F.length("text").alias("chars"))
 
 
 @query("select conv_id, turn, role, length(text) as chars from (select *, row_number() over (partition by conv_id order by turn) as rn from conversations where trim(text) <> '') where rn <= 4")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The oldest turns of each session, blank ones ignored."""
     rows = table(spark, sf_dir, "conversations").filter(F.trim("text") != "")
-    return R.top(rows, ["conv_id"], [F.col("turn").asc()], 4).select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    return conversations.load(rows, 4, "conv_id", "turn").select("conv_id", "turn", "role", F.length("text").alias("chars"))
 
 
 @query("select count(*) as total, count(*) filter (l_partkey in (select p_partkey from part where p_size > 40)) as matched, count(*) filter (l_tax = 0) as skipped, count(l_discount) as with_discount from lineitem")
