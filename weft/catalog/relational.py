@@ -100,11 +100,11 @@ def top_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_list(best, ["k"], [F.desc("s"), F.col("loc").asc()], "loc", 3, "locs")
 
 
-@query("select l_partkey, list(l_shipdate order by first_row) as dates from (select l_partkey, l_returnflag as l_shipdate, min(l_orderkey) as first_row from lineitem group by 1, 2) group by 1")
+@query("select l_partkey, list(flag order by first_row, flag) as flags from (select l_partkey, l_returnflag as flag, min(l_orderkey) as first_row from lineitem group by 1, 2) group by 1")
 def inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A multi-map turned around: each key's values, once each, in order of their first row."""
+    """A multi-map turned around: each key's values, once each, in order of their first row, equal ones by themselves."""
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("v"), F.col("l_orderkey").alias("i"))
-    return R.ordered_distinct(rows, "l_partkey", "v", "i", "dates")
+    return R.ordered_distinct(rows, "l_partkey", "v", "i", "flags")
 
 
 @query("""select o_custkey, coalesce(arg_max(o_totalprice, o_orderkey) filter (o_orderstatus = 'F'), arg_min(o_totalprice, o_orderkey)) as preferred, min(coalesce(nullif(trim(o_orderpriority), ''), '1')) as tier, arg_min(o_orderstatus, o_orderkey) as first_status from orders group by o_custkey""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.percentiles import clipped, percentiles
 from weft.scratch import written
 
 
@@ -42,40 +43,13 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 
 def percentile(df: DataFrame, column: str, share: float) -> float | None:
-    """The exact percentile (linear between two order statistics), null without values. Values are counted by range first, so that no task meets more than one range's worth."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    place = (n - 1) * share
-    first, part = int(place), place - int(place)
-    while True:  # each turn a range of values holds the wanted places, a thousandth as wide as before
-        width = (high - low) / 1024
-        inside = values.filter(F.col("v").between(low, high))
-        below = values.filter(F.col("v") < low).count()
-        if width <= 0 or low + width == low or inside.count() <= 1 << 20:
-            break
-        step = F.least(F.lit(1023), F.floor((F.col("v") - low) / width))
-        counts = {r["k"]: (r["n"], r["a"], r["b"]) for r in inside.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()}
-        at, held = below, []
-        for k in sorted(counts):
-            if at + counts[k][0] > first and at <= first + 1:
-                held.append(k)
-            at += counts[k][0]
-        new = counts[held[0]][1], counts[held[-1]][2]
-        if new == (low, high):
-            break
-        low, high = new
-    ranked = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").withColumn("end", F.sum("n").over(Window.orderBy("v")) + below)
-    a = ranked.filter(F.col("end") > first).agg(F.min("v")).first()[0]
-    b = ranked.filter(F.col("end") > first + 1).agg(F.min("v")).first()[0]
-    return a if b is None or part == 0 else a + (b - a) * part
-
-
-def clipped_by_percentile(df: DataFrame, column: str, share: float, out: str) -> DataFrame:
-    """column divided by its exact percentile, between 0 and 1."""
-    bound = percentile(df, column, share)
-    return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) / F.lit(bound).cast("double"))))
+    """The exact percentile of one column, see `percentiles`."""
+    return percentiles(df, [column], share)[column]
+
+
+def clipped_by_percentile(df: DataFrame, column: str, share: float, out: str, missing: float | None = None) -> DataFrame:
+    """column divided by its exact percentile, between 0 and 1; 0 for a missing value, and everywhere if the percentile isn't above 0."""
+    return clipped(df, {column: out}, share, missing)
 
 
 def median_difference(df: DataFrame, key: str, value: str, group: str, case: str, control: str, least: int, threshold: float) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import normalize as N
-from weft.operators.relational import clipped_by_percentile, ordered_distinct, top_list
+from weft.operators.matrix import median_differences, sample_groups
+from weft.operators.percentiles import clipped
+from weft.operators.relational import ordered_distinct, top_list
 from weft.operators.upsert import anchored, first_of
 from weft.sources.files import first_present
 
@@ -42,10 +44,9 @@ def transcripts(gtf: DataFrame, gene: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tissue_weights(gct: DataFrame, tissues: list[str]) -> DataFrame:
-    """Expression over the tissue's 99th percentile, at most 1; the first line of a gene counts."""
+    """Expression over the tissue's 99th percentile, at most 1; a missing value counts as 0; the first line of a gene counts. All tissues take four jobs together."""
     rows = first_of(gct.withColumn("ensembl_id", N.strip_version(F.col("Name"))), ["ensembl_id"], [F.col("idx").asc()])
-    for t in tissues:
-        rows = clipped_by_percentile(rows, t, 0.99, f"tw_{t}")
+    rows = clipped(rows, {t: f"tw_{t}" for t in tissues}, 0.99, missing=0.0)
     return rows.select("ensembl_id", *[f"tw_{t}" for t in tissues])
 
 
@@ -137,15 +138,27 @@ def cancer_genes(cosmic: DataFrame) -> DataFrame:
     return cosmic.select(symbol.alias("hgnc_symbol"), F.coalesce(N.not_blank(tier), F.lit("1")).alias("t")).filter("hgnc_symbol is not null").groupBy("hgnc_symbol").agg(F.min("t").alias("cosmic_tier")).withColumn("cancer_gene", F.lit(True))
 
 
+def differential_expression_wide(matrix: DataFrame, samples: DataFrame, crosswalk: DataFrame, gene: str = "gene") -> DataFrame:
+    """As `differential_expression`, of a matrix with a column for each sample, whose rows stay where they are."""
+    info = samples.select("sample", F.lower(F.trim("disease")).alias("d"), N.sample_type(F.col("sample_type_id"), F.col("sample")).alias("st"))
+    cross = crosswalk.select(F.lower(F.trim("primary_disease")).alias("d"), F.to_json(F.struct("ontology_id", "tcga_code")).alias("cohort"))
+    columns = [c for c in matrix.columns if c != gene]
+    groups = sample_groups(info.join(cross, "d"), "sample", "cohort", "st between 1 and 9", "st between 10 and 19", columns)
+    met = median_differences(matrix, gene, groups, COHORT_SIZE, FOLD_CHANGE)
+    cohort = F.from_json("group", "ontology_id string, tcga_code string")
+    return met.select(F.lit("DIFFERENTIALLY_EXPRESSED").alias("rel"), N.strip_version(F.col(gene)).alias("src"), cohort["ontology_id"].alias("dst"), cohort["tcga_code"].alias("tumor_type"), F.round("diff", 4).alias("score"), F.when(F.col("diff") > 0, "up").otherwise("down").alias("direction"), F.col("n_case").alias("n_tumor"), F.col("n_control").alias("n_normal"))
+
+
 def differential_expression(matrix: DataFrame, samples: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """matrix (gene, sample, value), samples (sample, disease, sample_type_id), crosswalk (primary_disease, tcga_code, ontology_id).
 
-    Tumour median minus normal median in each cohort with enough samples of both.
+    Tumour median (types 1 to 9) minus normal median (10 to 19) in each cohort with enough samples of both.
     """
+    tumour = F.col("st") < 10
     info = samples.select("sample", F.lower(F.trim("disease")).alias("d"), N.sample_type(F.col("sample_type_id"), F.col("sample")).alias("st"))
     cross = crosswalk.select(F.lower(F.trim("primary_disease")).alias("d"), "tcga_code", "ontology_id")
-    met = matrix.join(info.join(F.broadcast(cross), "d").filter("st in (1, 11)"), "sample")
-    g = met.groupBy(N.strip_version(F.col("gene")).alias("src"), F.col("ontology_id").alias("dst"), F.col("tcga_code").alias("tumor_type")).agg(F.median(F.when(F.col("st") == 1, F.col("value"))).alias("t"), F.median(F.when(F.col("st") == 11, F.col("value"))).alias("n"), F.count_if(F.col("st") == 1).alias("n_tumor"), F.count_if(F.col("st") == 11).alias("n_normal"))
+    met = matrix.join(info.join(F.broadcast(cross), "d").filter("st between 1 and 19"), "sample")
+    g = met.groupBy(N.strip_version(F.col("gene")).alias("src"), F.col("ontology_id").alias("dst"), F.col("tcga_code").alias("tumor_type")).agg(F.median(F.when(tumour, F.col("value"))).alias("t"), F.median(F.when(~tumour, F.col("value"))).alias("n"), F.count_if(tumour).alias("n_tumor"), F.count_if(~tumour).alias("n_normal"))
     change = F.col("t") - F.col("n")
     kept = g.filter((F.col("n_tumor") >= COHORT_SIZE) & (F.col("n_normal") >= COHORT_SIZE) & (F.abs(change) >= FOLD_CHANGE))
     return kept.select(F.lit("DIFFERENTIALLY_EXPRESSED").alias("rel"), "src", "dst", "tumor_type", F.round(change, 4).alias("score"), F.when(change > 0, "up").otherwise("down").alias("direction"), "n_tumor", "n_normal")
