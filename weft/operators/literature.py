@@ -6,14 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import normalize as N
+from weft.operators.dictionary import link  # noqa: F401  part of this module's interface
 from weft.operators.upsert import merge
 
-#: Fixed surfaces that are common words as well, matched only in exact case.
-AMBIGUOUS = ("MET", "SET", "CA2", "PCA", "REST", "MAX", "AGO", "IMPACT", "CAD", "GC", "T", "APP", "ARC", "CAT", "COPE", "MICE", "SDS", "PIGS", "SHE", "CS")
-#: Fixed generic words that never match alone.
-GENERIC = ("cancer", "carcinoma", "tumor", "tumour", "obesity", "pain", "death", "response", "disease", "syndrome", "disorder", "infection", "inflammation", "deficiency", "failure", "injury", "aging", "ageing")
-#: Shorter surfaces match in exact case only.
-ANY_CASE_LENGTH = 5
 #: Fixed bounds of automatic promotion.
 AUTO_CONFIDENCE, AUTO_AFFIRM = 0.75, 2
 
@@ -28,41 +23,6 @@ def sentences(documents: DataFrame, id_column: str = "doc_id", text: str = "text
     return documents.select(F.col(id_column).alias("doc_id"), F.posexplode(N.sentences(F.coalesce(F.col(text), F.lit("")))).alias("sentence_no", "sentence"))
 
 
-def _passes(found: Column, surface: Column) -> Column:
-    """May a run of words stand for a surface: not a number, not a generic word; short and ambiguous ones in exact case."""
-    exact = (F.length(surface) < ANY_CASE_LENGTH) | F.upper(surface).isin(*AMBIGUOUS)
-    return ~found.rlike(r"^[0-9]+$") & ~F.lower(found).isin(*GENERIC) & (~exact | (found == surface))
-
-
-def _matches(sentence_rows: DataFrame, surfaces: DataFrame, longest: int) -> DataFrame:
-    """Runs of words that are surfaces: (doc_id, sentence_no, start, n, found, surface, node_id, kind, canonical). Words that begin no surface go
-    before runs are formed, and a word carries only as many words behind it as the longest surface has."""
-    words = N.tokens(F.col("sentence"))
-    rows = sentence_rows.select("doc_id", "sentence_no", words.alias("w")).filter("size(w) > 0").select("doc_id", "sentence_no", F.explode(F.expr(f"transform(w, (x, i) -> struct(i as start, slice(w, i + 1, {int(longest)}) as run))")).alias("r")).select("doc_id", "sentence_no", "r.start", "r.run")
-    first = surfaces.select(F.lower(F.get(N.tokens(F.col("surface")), 0)).alias("first")).distinct()
-    rows = rows.withColumn("first", F.lower(F.get("run", 0))).join(first, "first", "left_semi")
-    sized = rows.select("doc_id", "sentence_no", "start", F.explode(F.expr("transform(sequence(1, size(run)), n -> struct(n as n, array_join(slice(run, 1, n), ' ') as found))")).alias("g")).select("doc_id", "sentence_no", "start", "g.n", "g.found")
-    met = sized.withColumn("lower", F.lower("found")).join(surfaces.drop("n_tokens"), "lower")
-    return met.filter(_passes(F.col("found"), F.col("surface")))
-
-
-def link(sentence_rows: DataFrame, surfaces: DataFrame, longest: int | None = None) -> DataFrame:
-    """(doc_id, sentence_no, start, n, found, node_id, kind, canonical): longest non-overlapping matches, all entities of each.
-
-    Words meet the dictionary in an equi-join on their lower case, so the dictionary may be of any size; a gate that fails
-    lets a shorter run match. A sentence's matches, not its words, are folded left to right: the longest one at each word, none overlapping.
-    """
-    longest = longest or (surfaces.agg(F.max("n_tokens")).first()[0] or 1)
-    met = _matches(sentence_rows, surfaces, longest)
-    here = F.array_sort(F.collect_set(F.struct("start", (-F.col("n")).alias("less"), "found")))
-    fold = lambda places: F.aggregate(places, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,n:int>>").alias("out")), lambda a, p: F.when(p["start"] >= a["end"], F.struct((p["start"] - p["less"]).alias("end"), F.concat(a["out"], F.array(F.struct(p["start"].alias("start"), (-p["less"]).alias("n")))).alias("out"))).otherwise(a))["out"]
-    every = F.collect_set(F.struct("start", "n", "found", "node_id", "kind", "canonical"))
-    held = met.groupBy("doc_id", "sentence_no").agg(here.alias("places"), every.alias("every"))
-    chosen = held.select("doc_id", "sentence_no", fold(F.col("places")).alias("kept"), "every")
-    kept = chosen.select("doc_id", "sentence_no", F.explode(F.filter("every", lambda m: F.exists("kept", lambda k: (k["start"] == m["start"]) & (k["n"] == m["n"])))).alias("m"))
-    return kept.select("doc_id", "sentence_no", "m.*")
-
-
 def pairs(matches: DataFrame) -> DataFrame:
     """Pairs of different entities of a sentence, in order of place, that a relation exists for: (doc_id, sentence_no, rel, subject_id, object_id, triple_key)."""
     firsts = matches.groupBy("doc_id", "sentence_no", "node_id", "kind").agg(F.min("start").alias("at"))
