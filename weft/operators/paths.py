@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weft.scratch import written
@@ -16,22 +16,41 @@ def merge_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return one(nodes, ["key"]), one(edges, ["src", "rel", "dst"])
 
 
-def connected_components(keys: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, component): component is the smallest key reachable over undirected edges (src, dst) between `keys`.
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, component) of the ends of undirected edges between whole numbers; component is the smallest number reachable.
 
-    Each round takes the least label of a node and its neighbours, then the label of that label, so long chains halve; a round ends in one aggregate, until nothing changed.
+    Large-star and small-star steps in turn, each a grouped minimum and a join, until the edges stay as they are. Minima are written before
+    they meet the edges, so that Spark may split a hub's. Edges of a node with itself don't count.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = written(keys.select("key", F.col("key").alias("component")).distinct())
+    a, b = edges.columns
+    edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    seen = None
     while True:
-        seen = both.join(labels.select(F.col("key").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("c"))
-        new = labels.join(seen, labels["key"] == seen["a"], "left").select("key", F.least("component", F.coalesce("c", "component")).alias("near"), F.col("component").alias("old"))
-        jump = labels.select(F.col("key").alias("near"), F.col("component").alias("far"))
-        new = written(new.join(jump, "near", "left").select("key", F.least("near", F.coalesce("far", "near")).alias("component"), "old"))
-        labels = new.select("key", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        mark = Observation()
+        edges = written(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct().observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = mark.get["n"], mark.get["h"]
+        if now == seen or not now[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        seen = now
+
+
+def connected_components(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, component): component is the smallest key reachable over undirected edges (src, dst) between `keys`; ends that are no key count for nothing.
+
+    Keys get numbers, so rounds move numbers only; the smallest key of a component is looked up at the end.
+    """
+    numbers = written(keys.select("key").filter("key is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    known = lambda side: numbers.select(F.col("key").alias(side), F.col("id").alias(f"{side}_id"))
+    linked = edges.select("src", "dst").join(known("src"), "src").join(known("dst"), "dst").select("src_id", "dst_id")
+    parts = stars(linked)
+    of = numbers.join(parts, numbers["id"] == parts["node"], "left").select("key", F.coalesce("component", "id").alias("c"))
+    least = of.groupBy("c").agg(F.min("key").alias("component"))
+    return of.join(least, "c").select("key", "component")
 
 
 def path_quality(hops: F.Column) -> F.Column:
