@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.normalize import OPERATORS, query_tokens
+from weft.scratch import written
 
 #: Fixed weights of a whole word and of a prefix.
 EXACT, PREFIX = 4.0, 1.0
@@ -101,22 +102,43 @@ def resolve_seeds(nodes: DataFrame, asked: DataFrame, alternates: list[str]) ->
     return exact.unionByName(other).groupBy("seed").agg(F.min(F.struct("way", "key")).alias("m")).select("seed", F.col("m.key").alias("key"))
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector is null or zero, holds a null, or the lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+
+
+def vector_table(df: DataFrame, key: str, column: str, kind: str) -> DataFrame:
+    """(key, kind, vector, norm) of the vectors that a search can find: not null, without null or non-finite components, not zero. Written once, so that searches don't compute norms."""
+    v = F.col(column).cast("array<double>")
+    usable = df.select(key, kind, v.alias("vector")).filter("vector is not null and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    return written(usable.withColumn("norm", norm(F.col("vector"))).filter("norm > 0"))
 
 
 def vector_search(df: DataFrame, vector: list[float], key: str, column: str, kind: str, k: int) -> DataFrame:
-    """The k nearest of all kinds together, score (1 + cosine) / 2; k best of each kind are merged, which bounds what is sorted."""
+    """The k nearest of all kinds together, score (1 + cosine) / 2; k best of each kind are merged, which bounds what is sorted.
+
+    df: a table with vectors in `column`, or one of `vector_table`, whose norms are used then. Zero vectors, vectors of other lengths and ones with nulls are
+    never found; a zero vector finds nothing.
+    """
     from weft.operators.relational import top
 
     q = F.array(*[F.lit(float(x)) for x in vector])
-    scored = df.select(key, kind, ((1 + cosine(F.col(column), q)) / 2).alias("score"))
+    length = sum(float(x) * float(x) for x in vector) ** 0.5
+    near = F.when(F.size(column) == len(vector), F.try_divide(dot(F.col(column), q), F.col("norm") * F.lit(length))) if "norm" in df.columns else cosine(F.col(column), q)
+    scored = df.select(key, kind, ((1 + near) / 2).alias("score")).filter("score is not null and not isnan(score)")
     return top(scored, [kind], [F.desc("score"), F.col(key).asc()], k).orderBy(F.desc("score"), key).limit(k)
 
 
 #: What a read-only statement may consist of, as the parser names it; anything else (commands, scripts, files, hints) is refused.
-_PLANS = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "LateralJoin", "SubqueryAlias", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "UnresolvedRelation", "OneRowRelation", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "UnresolvedPivot"}
+_PLANS = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "LateralJoin", "SubqueryAlias", "Distinct", "Union", "Except", "Intersect", "UnresolvedWith", "UnresolvedRelation", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "Generate", "Pivot", "Unpivot", "UnresolvedPivot"}
 #: Functions that reach outside the query.
 _OUTSIDE = {"reflect", "java_method", "try_reflect", "input_file_name", "version", "current_user", "user", "session_user", "current_catalog", "current_database", "current_schema"}
 
@@ -163,10 +185,39 @@ def checked(spark: SparkSession, statement: str) -> None:
             raise ValueError(f"unknown view {'.'.join(parts)}")
 
 
+#: Leaves of an analyzed plan that read nothing.
+_EMPTY = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
+
+
+def _resolved(spark: SparkSession, df: DataFrame) -> None:
+    """Raises ValueError if the analyzed query reads anything but temporary views. Names are resolved by then, so a name that a subquery
+    defines for itself hides nothing elsewhere."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass()
+        if ".plans.logical." in kind.getName() or ".execution." in kind.getName() or ".catalog." in kind.getName():
+            name = kind.getSimpleName()
+            if name == "View":
+                if not node.isTempView():
+                    raise ValueError("only temporary views may be read")
+                continue
+            if node.children().size() == 0 and name not in _EMPTY:
+                raise ValueError(f"only temporary views may be read, not a {name}")
+        todo += _children(node)
+        if "Subquery" in kind.getSimpleName() or kind.getSimpleName() in ("Exists", "ListQuery"):
+            try:
+                todo.append(node.plan())
+            except Py4JError:  # an alias of a subquery has a child instead
+                pass
+
+
 def read_only_sql(spark: SparkSession, statement: str, limit: int = 30) -> DataFrame:
-    """One query on temporary views, at most `limit` rows; what isn't one is refused before it runs (`checked`)."""
+    """One query on temporary views, at most `limit` rows; what isn't one is refused before it runs (`checked`), and what reads anything else once its names are resolved."""
     checked(spark, statement)
-    return spark.sql(f"select * from (\n{statement}\n) limit {int(limit)}")
+    df = spark.sql(f"select * from (\n{statement}\n) limit {int(limit)}")
+    _resolved(spark, df)
+    return df
 
 
 def read_only_rows(spark: SparkSession, statement: str, limit: int = 30, seconds: float = 10) -> list[Row]:
