@@ -121,3 +121,23 @@ def test_components_and_paths(spark):
         assert path.count() == (hops + 1 if hops else 0)
         assert path.agg(paths.path_quality(F.max("step")).alias("q")).first().q == quality
     assert paths.shortest_path(e, "x", "x").count() == 1
+
+
+def test_rings_move_the_frontier_only(spark):
+    """The stored adjacency of a prepared graph isn't shuffled, whatever way a ring joins it; it holds what the caps let through."""
+    spec = GraphSpec(relations={"S": Relation(constant=0.9, structural=True), "A": Relation(cap=2), "B": Relation(cap=3)})
+    nodes = [(f"n{i:02}", "x", "n", None, None, None) for i in range(40)]
+    edges = [("A", "n00", f"n{i:02}", i / 40) for i in range(1, 30)] + [("S", "n00", f"n{i:02}", None) for i in range(30, 40)]
+    prepared = traverse.prepare(*graph(spark, nodes, edges), spec)
+    assert sorted((r.rel, r.to) for r in prepared.rings.filter("`from` = 'n00'").collect()) == [("A", "n28"), ("A", "n29"), *[("S", f"n{i}") for i in range(30, 40)]]
+    frontier = spark.createDataFrame([("s", "n00", 1.0)], "seed string, from string, signal double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan(prepared.rings.join(F.broadcast(frontier), "from"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(prepared.rings.join(frontier.union(frontier), "from")).count("Exchange hash") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    again = traverse.walk(prepared, seeds(spark, "n00", "n29"))
+    assert {(r.seed, r.key) for r in again[0].collect()} >= {("n00", "n28"), ("n00", "n29"), ("n29", "n00")}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weft.plans.model import GraphSpec, adjacency, compatible
-from weft.scratch import written
+from weft.scratch import bucketed, written
 
 MAX_RINGS, BACKBONE_HOPS = 8, 4
 #: Rows of a frontier that are broadcast to the adjacency; a larger one is joined by a shuffle.
@@ -36,19 +36,30 @@ def bridges(spec: GraphSpec) -> F.Column:
 
 @dataclass(frozen=True)
 class Prepared:
-    """A graph as walks read it: both orientations of its edges and its nodes, written once for many walks."""
+    """A graph as walks read it, written once for many walks. bones: edges of structural relations, leaves: edges of the leaf relation, both in both
+    orientations; rings: of each node's edges those that its caps let through, with what a walk asks of the neighbour."""
 
-    adjacency: DataFrame
+    bones: DataFrame
+    leaves: DataFrame
+    rings: DataFrame
     nodes: DataFrame
     spec: GraphSpec
     bridge: bool
 
 
-def prepare(nodes: DataFrame, edges: DataFrame, spec: GraphSpec, bridge: bool = False, clustered: bool = False) -> Prepared:
-    """Writes the adjacency; clustered: sorted by the node that an edge leaves from, so that Parquet skips what a frontier doesn't touch, which pays for graphs that are walked often."""
+def prepare(nodes: DataFrame, edges: DataFrame, spec: GraphSpec, bridge: bool = False, buckets: int | None = None) -> Prepared:
+    """Writes what walks read. A cap keeps the best edges of a node whatever the walk, so it is applied here, once; a hub's capped edges are cut before they
+    are shuffled. `rings` lies in buckets by the node that an edge leaves from, so a ring's join moves the frontier only."""
     adj = adjacency(edges, spec, bridge)
-    adj = adj.repartitionByRange("from").sortWithinPartitions("from", "rel") if clustered else adj
-    return Prepared(written(adj), written(nodes.select("key", "kind", "name", "locs", "degree")), spec, bridge)
+    structural = [name for name, r in spec.relations.items() if r.structural]
+    side = adj.filter(F.col("rel").isin(*structural, spec.leaf_relation or ""))
+    side = written(side.select("from", "to", "rel", "src", "dst", "cond"))
+    known = written(nodes.select("key", "kind", "name", "locs", "degree"))
+    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if bridge else set())
+    to = known.select(F.col("key").alias("to"), F.col("kind").alias("to_kind"), F.col("locs").alias("to_locs"), "degree", "name")
+    n = buckets or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rings = bucketed(capped(adj, ["from"], caps).drop("rank", "cap").join(to, "to"), n, "from")
+    return Prepared(side.filter(F.col("rel").isin(*structural)), side.filter(F.col("rel") == (spec.leaf_relation or "")), rings, known, spec, bridge)
 
 
 def signal_decay(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, spec: GraphSpec, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +77,7 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
 
     A ring is two writes: the edges that it follows, and the state (signals, what is expanded and what comes next), whose frontier is counted in the same pass.
     """
-    spec, known, adj = graph.spec, graph.nodes, graph.adjacency
+    spec, known = graph.spec, graph.nodes
     steps: list[DataFrame] = []
 
     def put(df: DataFrame) -> tuple[DataFrame, int]:
@@ -96,32 +107,29 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
     found = state.select("seed", "key")
     structural = [name for name, r in spec.relations.items() if r.structural]
     if structural:
-        bones = adj.filter(F.col("rel").isin(*structural))
         for _ in range(BACKBONE_HOPS):
             if not n:
                 break
-            step = record(written(followed(state.filter("front"), n, bones)))
+            step = record(written(followed(state.filter("front"), n, graph.bones)))
             state, n = merged(state, step, yes, yes)
     if spec.leaf_relation:
         hosts = state.join(known.filter(F.col("kind") == spec.leaf_host).select("key"), "key", "left_semi").select("seed", F.col("key").alias("from"), "signal")
-        leaves = adj.filter(F.col("rel") == spec.leaf_relation).join(hosts, "from").join(known.filter(F.col("kind") == spec.leaf_kind).select(F.col("key").alias("to")), "to", "left_semi")
+        leaves = graph.leaves.join(hosts, "from").join(known.filter(F.col("kind") == spec.leaf_kind).select(F.col("key").alias("to")), "to", "left_semi")
         order = Window.partitionBy("seed", "from").orderBy("to")
         leaves = leaves.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= spec.leaf_cap).withColumn("new", F.col("signal") * decay * F.col("cond"))
         state, _ = merged(state, record(written(leaves)), yes, F.lit(False))
 
     state = state.select("seed", "key", "signal", "pinned", F.lit(False).alias("done")).join(F.broadcast(found.withColumn("front", yes)), ["seed", "key"], "left").withColumn("front", F.coalesce("front", F.lit(False)))
     state, n = put(state)
-    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if graph.bridge else set())
     for _ in range(rings):
         if not n:
             break
         open_seeds = state.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < max_nodes).select("seed")
         frontier = state.filter("front").join(F.broadcast(open_seeds), "seed", "left_semi")
-        step = capped(followed(frontier, n, adj), ["seed", "from"], caps).filter(F.col("new") >= min_signal)
-        step = step.join(known.select(F.col("key").alias("to"), F.col("kind").alias("to_kind"), F.col("locs").alias("to_locs"), "degree", "name"), "to")
+        step = followed(frontier, n, graph.rings).filter(F.col("new") >= min_signal)
         if compartment_filter:
             step = step.join(known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs")), "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs")))
-        step = record(written(step))
+        step = record(written(step.drop("to_locs")))
         passes = yes if spec.leaf_kind is None else (F.col("to_kind") != spec.leaf_kind) | (bridges(spec) if graph.bridge else F.lit(False))
         state, n = merged(state, step, F.col("structural") & F.col("pinned"), passes)
 
@@ -129,7 +137,7 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
     pins = Window.partitionBy("seed")
     kept = state.withColumn("rn", F.row_number().over(trim)).withColumn("np", F.sum(F.col("pinned").cast("int")).over(pins)).filter(F.col("pinned") | (F.col("rn") <= max_nodes - F.col("np")))
     kept = written(kept.select("seed", "key", "signal", "pinned"))
-    recorded = steps[0] if steps else adj.select(F.lit("").alias("seed"), "rel", "src", "dst").limit(0)
+    recorded = steps[0] if steps else graph.rings.select(F.lit("").alias("seed"), "rel", "src", "dst").limit(0)
     for step in steps[1:]:
         recorded = recorded.unionByName(step)
     within = recorded.distinct().join(kept.select("seed", F.col("key").alias("src")), ["seed", "src"], "left_semi").join(kept.select("seed", F.col("key").alias("dst")), ["seed", "dst"], "left_semi")
