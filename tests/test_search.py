@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weft.operators import search
+from weft.operators import index, search
 
 
 def test_names_are_resolved_by_scope(spark):
@@ -45,3 +45,27 @@ def test_vectors_without_a_cosine(spark):
         got = search.vector_search(table, q, "k", column, "kind", 7).collect()
         assert [r.k for r in got] == [k for _, k in expected] and np.allclose([r.score for r in got], [-s for s, _ in expected])
         assert search.vector_search(table, [0.0] * 4, "k", column, "kind", 7).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    schema = "key string, kind string, name string, summary string"
+    nodes = spark.createDataFrame([("g1", "gene", "TP53", "tumor protein"), ("g2", "gene", "tp53bp1", "binds TP53"), ("d1", "disease", "Li-Fraumeni", None), ("g3", "gene", None, "a protein")], schema)
+    path, fields = f"{tmp_path}/i", ["name", "summary"]
+    with pytest.raises(ValueError):
+        index.load(spark, path)
+    index.build(nodes, path, "key", fields, "name")
+    find = lambda text, n=nodes: [(r.key, r.exact, r.score) for r in search.node_search(n, index.load(spark, path), text).collect()]
+    assert find("tp53") == [("g1", True, 4.0), ("g2", False, 4.0)] and find("prot") == [("g1", False, 1.0), ("g3", False, 1.0)] and find("") == []
+    changed = spark.createDataFrame([("g3", "gene", "MDM2", "binds TP53"), ("g4", "gene", "NEW1", "new protein")], schema)
+    now = nodes.filter("key <> 'g3'").unionByName(changed)
+    index.merge(changed, path, "key", fields, "name", deleted=spark.createDataFrame([("d1",)], "key string"))
+    assert find("mdm2", now) == [("g3", True, 4.0)] and find("protein", now) == [("g1", False, 4.0), ("g4", False, 4.0)] and find("fraumeni", now) == []
+    index.merge(spark.createDataFrame([("g3", "gene", "MDM2", "nothing more")], schema), path, "key", fields, "name")
+    assert find("tp53", now) == [("g1", True, 4.0), ("g2", False, 4.0)]
+    before = sorted(map(tuple, index.load(spark, path).collect()))
+    index.compact(spark, path)
+    assert sorted(map(tuple, index.load(spark, path).collect())) == before and len(index.segments(spark, path)) == 1
+    everything = nodes.filter("key in ('g1', 'g2')").unionByName(spark.createDataFrame([("g3", "gene", "MDM2", "nothing more"), ("g4", "gene", "NEW1", "new protein")], schema))
+    assert before == sorted(map(tuple, index.postings(everything, "key", fields, "name").collect()))
+    plan = search.text_search(index.words(index.load(spark, path)), "prot")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(token,prot)" in plan and plan.count("Scan parquet") == 1

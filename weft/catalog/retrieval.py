@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import normalize as N
+from weft.operators import index
 from weft.operators import literature as L
 from weft.operators import search as S
 from weft.plans import star
+from weft.scratch import folder
 from weft.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -50,16 +52,23 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.text_search(S.token_index(star.nodes(spark, sf_dir), "key", ["name"]), "Small ri*").select("key", "score")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes' stored index: written, then read back."""
+    path = folder(spark)
+    index.build(_nodes(spark, sf_dir), path, "key", FIELDS, "name")
+    return index.load(spark, path)
+
+
 @query(f"with {_SHOWN}, {_search_sql(['asia'], FIELDS)}, f as (select hits.key, kind, name, upper(coalesce(name, '')) = 'ASIA' as exact, score from hits join star_nodes using (key)) select * from f order by exact desc, score desc, key limit 15")
 def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in five fields of all nodes, an exact name first."""
-    return S.node_search(_nodes(spark, sf_dir), "asia", FIELDS, "name", 15)
+    return S.node_search(_nodes(spark, sf_dir), _index(spark, sf_dir), "asia", 15)
 
 
 @query(f"with {_SHOWN}, {_search_sql(['p', '12'], FIELDS)}, best as (select key, score from hits order by score desc, key limit 300), pre as (select key, 0.0::double as score from star_nodes where kind = 'part' and starts_with(lower(key), 'p:12') order by key limit 100), h as (select key, max(score) as score from (select * from best union all select * from pre) group by key) select h.key, kind, name, score from h join star_nodes n on n.key = h.key where kind in ('part', 'supplier') and (kind <> 'part' or degree >= 5)")
 def entity_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers by words or the beginning of a part's key, parts only with enough orders."""
-    return S.browse_nodes(_nodes(spark, sf_dir), "P:12", FIELDS, ["part", "supplier"], [(F.col("kind") != "part") | (F.col("degree") >= 5)], "part")
+    return S.browse_nodes(_nodes(spark, sf_dir), _index(spark, sf_dir), "P:12", ["part", "supplier"], [(F.col("kind") != "part") | (F.col("degree") >= 5)], "part")
 
 
 _ASKED = ["C:5", "asia", "NATION_7", "supplier#000000001", "no such thing", "MACHINERY", "p:3"]

@@ -54,10 +54,11 @@ def text_search(index: DataFrame, text: str, limit: int = 20, exact_keys: DataFr
     return found.select("key", exact.alias("exact"), "score").orderBy(F.desc("exact"), F.desc("score"), "key").limit(limit)
 
 
-def node_search(nodes: DataFrame, text: str, fields: list[str], symbol: str, limit: int = 10) -> DataFrame:
-    """Text search over several fields of nodes; one whose symbol is the whole text, case ignored, comes before mere mentions: (key, kind, name, exact, score)."""
-    own = nodes.filter(F.upper(F.coalesce(F.col(symbol), F.lit(""))) == text.strip().upper()).select("key")
-    found = text_search(token_index(nodes, "key", fields), text, limit, own)
+def node_search(nodes: DataFrame, index: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """Text search over the stored index of nodes (see `index`); one whose symbol is the whole text, case ignored, comes before mere mentions: (key, kind, name, exact, score)."""
+    from weft.operators.index import exact, words
+
+    found = text_search(words(index), text, limit, exact(index, text))
     return found.join(nodes.select("key", "kind", "name"), "key").select("key", "kind", "name", "exact", "score").orderBy(F.desc("exact"), F.desc("score"), "key")
 
 
@@ -75,7 +76,7 @@ def browse(df: DataFrame, prefix: str | None, filters: list[Column], key: str, c
 BROWSED_TEXT, BROWSED_KEYS = 300, 100
 
 
-def browse_nodes(nodes: DataFrame, text: str | None, fields: list[str], kinds: list[str] | None = None, filters: list[Column] = (), prefix_kind: str | None = None) -> DataFrame:
+def browse_nodes(nodes: DataFrame, index: DataFrame, text: str | None, kinds: list[str] | None = None, filters: list[Column] = (), prefix_kind: str | None = None) -> DataFrame:
     """Entities by words (the best BROWSED_TEXT) and, for one kind, by the beginning of their key (the first BROWSED_KEYS), of the wanted kinds and through all filters: (key, kind, name, score).
 
     No text finds nothing. A filter that doesn't concern a kind is written so that it passes.
@@ -85,7 +86,9 @@ def browse_nodes(nodes: DataFrame, text: str | None, fields: list[str], kinds: l
     wanted = nodes.filter(F.col("kind").isin(*kinds)) if kinds else nodes
     for f in filters:
         wanted = wanted.filter(f)
-    words = text_search(token_index(nodes, "key", fields), text, BROWSED_TEXT).select("key", "score")
+    from weft.operators.index import words as of_words
+
+    words = text_search(of_words(index), text, BROWSED_TEXT).select("key", "score")
     keys = nodes.filter((F.col("kind") == prefix_kind) & F.lower("key").startswith(text.strip().lower())).orderBy("key").limit(BROWSED_KEYS).select("key", F.lit(0.0).alias("score")) if prefix_kind else words.limit(0)
     hits = words.unionByName(keys).groupBy("key").agg(F.max("score").alias("score"))
     return wanted.join(hits, "key").select("key", "kind", "name", "score").orderBy(F.desc("score"), "key")
