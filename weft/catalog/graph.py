@@ -109,12 +109,10 @@ def component_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = star.edges(spark, sf_dir).filter("rel in ('CUSTOMER_ORDER', 'NATION_CUSTOMER', 'NATION_SUPPLIER', 'REGION_NATION')")
-    out = None
-    for source, target in (("C:5", "S:7"), ("O:11", "C:9"), ("O:11", "R:2"), ("R:0", "R:1")):
-        found = paths.shortest_path(e, source, target).agg(F.max("step").alias("hops"))
-        one = found.select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.col("hops").cast("int").alias("hops"), paths.path_quality(F.col("hops")).alias("quality"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    asked = [("C:5", "S:7"), ("O:11", "C:9"), ("O:11", "R:2"), ("R:0", "R:1")]
+    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "pair long, source string, target string")
+    hops = paths.shortest_paths(pairs, e).groupBy("pair").agg(F.max("step").cast("int").alias("hops"))
+    return pairs.join(hops, "pair", "left").select("source", "target", "hops", paths.path_quality(F.col("hops")).alias("quality"))
 
 
 def transcript_like_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:

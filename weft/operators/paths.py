@@ -57,28 +57,64 @@ def path_quality(hops: F.Column) -> F.Column:
     return F.when(hops.isNull(), "no_path").when(hops <= 2, "direct").when(hops <= 4, "moderate").otherwise("weak")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = MAX_HOPS) -> DataFrame:
-    """One shortest undirected path as (step, key, rel), of equally short ones the one with the smallest keys backwards; empty if there is none in max_hops (1 to 6).
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """One shortest undirected path for each of `pairs` (pair, source, target) as (pair, step, key, rel), rel leading to the key; no rows if there is none in max_hops (1 to 6).
 
-    Breadth first: each level keeps a node once, with its smallest parent; visited nodes leave by an anti-join.
+    Breadth first from both ends of all pairs at once: a level is one join with the edges, so six hops are three. Of equally short paths
+    the one with the smallest keys (then relations) backwards from the target. Steps keep all parents in tables; the ways from where both
+    sides meet are found by joins with these. A pair that is found, or has a null end, isn't followed further.
     """
     hops = max(1, min(max_hops, MAX_HOPS))
-    both = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")))
-    spark = edges.sparkSession
-    reached = spark.createDataFrame([(source, None, None, 0)], "key string, parent string, rel string, level int")
-    frontier = reached
-    for level in range(1, hops + 1):
-        step = frontier.select(F.col("key").alias("a")).join(both, "a").groupBy(F.col("b").alias("key")).agg(F.min(F.struct("a", "rel")).alias("p"))
-        frontier = written(step.join(reached.select("key"), "key", "left_anti").select("key", F.col("p.a").alias("parent"), F.col("p.rel").alias("rel"), F.lit(level).alias("level")))
-        reached = reached.unionByName(frontier)
-        if frontier.isEmpty() or not frontier.filter(F.col("key") == target).isEmpty():
+    both = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")).distinct())
+    given = written(pairs.select("pair", "source", "target").filter("source is not null and target is not null").distinct())
+    end = lambda side, column: given.select("pair", F.lit(side).alias("side"), F.col(column).alias("key"), F.lit(0).alias("level"))
+    visited = written(end("f", "source").unionByName(end("b", "target")))
+    steps, meets = [], None
+    for level in range((hops + 1) // 2 + 1):
+        at = lambda side, name: visited.filter(F.col("side") == side).select("pair", "key", F.col("level").alias(name))
+        meets = written(at("f", "lf").join(at("b", "lb"), ["pair", "key"]).groupBy("pair").agg(F.min(F.col("lf") + F.col("lb")).alias("d")).filter(F.col("d") <= hops))
+        frontier = visited.filter(F.col("level") == level).join(meets.select("pair"), "pair", "left_anti")
+        if level == (hops + 1) // 2 or frontier.isEmpty():
             break
-    path, at = [], target
-    hit = reached.filter(F.col("key") == at).first()
-    while hit is not None:  # at most max_hops + 1 point lookups
-        path.append((hit["level"], hit["key"], hit["rel"]))
-        hit = reached.filter(F.col("key") == hit["parent"]).first() if hit["parent"] is not None else None
-    return spark.createDataFrame(sorted(path), "step int, key string, rel string")
+        step = frontier.select("pair", "side", F.col("key").alias("a")).join(both, "a").join(visited.select("pair", "side", F.col("key").alias("b")), ["pair", "side", "b"], "left_anti")
+        steps.append(written(step.select("pair", "side", F.col("b").alias("key"), F.col("a").alias("parent"), "rel", F.lit(level + 1).alias("level"))))
+        visited = written(visited.unionByName(steps[-1].select("pair", "side", "key", "level").distinct()))
+    return _traced(given, visited, steps, meets)
+
+
+def _traced(given: DataFrame, visited: DataFrame, steps: list[DataFrame], meets: DataFrame) -> DataFrame:
+    """The path of each pair in `meets`: from the target to where the sides meet over nodes that lead there, then by the forward side's smallest parents."""
+    half = F.floor(F.col("d") / 2).cast("int")
+    at = lambda side, name: visited.filter(F.col("side") == side).select("pair", "key", F.col("level").alias(name))
+    middle = written(at("f", "lf").join(at("b", "lb"), ["pair", "key"]).join(meets, "pair").filter((F.col("lb") == half) & (F.col("lf") == F.col("d") - half)).select("pair", "key", F.col("lb").alias("level")))
+    leads, reached = [], middle.limit(0)
+    for level in range(len(steps), 0, -1):
+        here = middle.filter(F.col("level") == level).select("pair", "key").unionByName(reached.select("pair", "key")).distinct()
+        edges = steps[level - 1].filter("side = 'b'").join(here, ["pair", "key"])
+        leads.insert(0, written(edges.select("pair", "key", "parent", "rel")))
+        reached = leads[0].select("pair", F.col("parent").alias("key")).distinct()
+    now = written(given.join(meets, "pair").select("pair", F.col("target").alias("key"), F.col("d").alias("step"), half.alias("left")))
+    out = None
+    for edges in leads:  # one step towards the source while the backward side lasts
+        own = now.filter("left > 0").join(edges.select("pair", F.col("parent").alias("key"), F.struct(F.col("key").alias("to"), "rel").alias("way")), ["pair", "key"])
+        own = written(own.groupBy("pair", "key", "step", "left").agg(F.min("way").alias("way")))
+        one = own.select("pair", "step", "key", F.col("way.rel").alias("rel"))
+        out = one if out is None else out.unionByName(one)
+        now = written(now.filter("left = 0").unionByName(own.select("pair", F.col("way.to").alias("key"), (F.col("step") - 1).alias("step"), (F.col("left") - 1).alias("left"))))
+    for level in range(len(steps), 0, -1):
+        edges = steps[level - 1].filter("side = 'f'").groupBy("pair", "key").agg(F.min(F.struct(F.col("parent").alias("to"), "rel")).alias("way"))
+        own = written(now.filter(F.col("step") == level).join(edges, ["pair", "key"]))
+        one = own.select("pair", "step", "key", F.col("way.rel").alias("rel"))
+        out = one if out is None else out.unionByName(one)
+        now = written(now.filter(F.col("step") != level).unionByName(own.select("pair", F.col("way.to").alias("key"), (F.col("step") - 1).alias("step"), "left")))
+    first = now.filter("step = 0").select("pair", "step", "key", F.lit(None).cast("string").alias("rel"))
+    return first if out is None else out.unionByName(first)
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = MAX_HOPS) -> DataFrame:
+    """The path of one pair as (step, key, rel), see `shortest_paths`."""
+    one = edges.sparkSession.createDataFrame([(0, source, target)], "pair long, source string, target string")
+    return shortest_paths(one, edges, max_hops).drop("pair").orderBy("step")
 
 
 def seed_clusters(components: DataFrame, seeds: DataFrame) -> DataFrame:
