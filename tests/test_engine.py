@@ -58,6 +58,17 @@ def test_promotion_and_exact_revert(spark):
     assert [tuple(r) for r in L.revert(out, log).collect()] == [("a__R__b", "R", "a", "b", ["A", "B"], None)]
 
 
+def test_repeated_and_null_keys(spark):
+    table = lambda rows: spark.createDataFrame(rows, "k string, v int, l array<string>")
+    old, new = table([("a", 1, None), (None, 2, ["x"])]), table([("b", 9, ["y"]), ("b", 3, None), ("b", 9, ["y"]), (None, 7, None), ("a", 8, None), ("c", 1, None)])
+    got = upsert.insert_only(old, new, ["k"])
+    assert sorted((r.k or "", r.v) for r in got.collect()) == [("", 2), ("a", 1), ("b", 3), ("c", 1)]
+    assert {r.k: r.v for r in upsert.insert_only(old, new, ["k"], [F.col("v").desc()]).collect()} == {"a": 1, None: 2, "b": 9, "c": 1}
+    assert sorted(map(tuple, upsert.insert_only(got, new, ["k"]).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    updated, unmet = upsert.enrich(old, table([(None, 5, None), ("z", 6, None)]), ["k"])
+    assert {r.k: r.v for r in updated.collect()} == {"a": 1, None: 5} and [r.k for r in unmet.collect()] == ["z"]
+
+
 def test_read_only_sql(spark):
     spark.range(100).createOrReplaceTempView("weft_hundred")
     assert search.read_only_sql(spark, "select * from weft_hundred").count() == 30
