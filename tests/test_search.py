@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weft.operators import index, search
+from weft.operators import index, literature, search
 
 
 def test_names_are_resolved_by_scope(spark):
@@ -69,3 +69,23 @@ def test_stored_index(spark, tmp_path):
     assert before == sorted(map(tuple, index.postings(everything, "key", fields, "name").collect()))
     plan = search.text_search(index.words(index.load(spark, path)), "prot")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(token,prot)" in plan and plan.count("Scan parquet") == 1
+
+
+def test_shapes_of_the_tools(spark):
+    found = spark.createDataFrame([(f"k{i:02d}", "gene", f"n{i}", i == 30, float(i % 7)) for i in range(40)], "key string, kind string, name string, exact boolean, score double")
+    got = search.word_results(found).collect()
+    assert got[0].asDict() == {"kind": "gene", "id": "k30", "name": "n30"} and len(got) == 20 and [r.id for r in got[1:4]] == ["k06", "k13", "k20"]
+    near = spark.createDataFrame([("a", "gene", 0.98765), ("b", "disease", 0.98799), ("c", "gene", 0.5)], "key string, kind string, score double")
+    nodes = spark.createDataFrame([("a", "A", "word " * 200), ("b", None, None)], "key string, name string, summary string")
+    rows = search.meaning_results(near, nodes).collect()
+    assert [(r.kind, r.id, r.name, r.score) for r in rows] == [("disease", "b", "b", 0.988), ("gene", "a", "A", 0.988), ("gene", "c", "c", 0.5)]
+    assert rows[0].snippet == "" and 0 < len(rows[1].snippet) <= 281
+
+
+def test_evidence_in_order_of_polarity_and_time(spark):
+    c = spark.createDataFrame([("t", "R", "s", "o", "pending")], "triple_key string, rel_type string, subject_id string, object_id string, status string")
+    e = spark.createDataFrame([("t", "1", "affirm", "2024-02-01"), ("t", "2", "hedge", "2023-01-01"), ("t", "3", "affirm", "2024-01-01"), ("t", "9", "negate", "2025-01-01")], "triple_key string, pmid string, polarity string, extracted_at string")
+    edges = spark.createDataFrame([], "rel_type string, subject_id string, object_id string, triple_key string")
+    nodes = spark.createDataFrame([("s", "S", "x")], "node_id string, name string, summary string")
+    detail = lambda evidence: literature.candidate_detail(c, evidence, edges, nodes).first().evidence
+    assert detail(e) == ["negate:9", "affirm:3", "affirm:1", "hedge:2"] and detail(e.drop("extracted_at")) == ["negate:9", "affirm:1", "affirm:3", "hedge:2"]

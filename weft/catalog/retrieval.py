@@ -65,6 +65,12 @@ def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.node_search(_nodes(spark, sf_dir), _index(spark, sf_dir), "asia", 15)
 
 
+@query(f"with {_SHOWN}, {_search_sql(['machinery'], FIELDS)}, f as (select hits.key, kind, name, upper(coalesce(name, '')) = 'MACHINERY' as exact, score from hits join star_nodes using (key)) select kind, key as id, name from f order by exact desc, score desc, key limit 20")
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty hits in all nodes, as the search tool answers."""
+    return S.word_results(S.node_search(_nodes(spark, sf_dir), _index(spark, sf_dir), "machinery", S.BROWSED_TEXT))
+
+
 @query(f"with {_SHOWN}, {_search_sql(['p', '12'], FIELDS)}, best as (select key, score from hits order by score desc, key limit 300), pre as (select key, 0.0::double as score from star_nodes where kind = 'part' and starts_with(lower(key), 'p:12') order by key limit 100), h as (select key, max(score) as score from (select * from best union all select * from pre) group by key) select h.key, kind, name, score from h join star_nodes n on n.key = h.key where kind in ('part', 'supplier') and (kind <> 'part' or degree >= 5)")
 def entity_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers by words or the beginning of a part's key, parts only with enough orders."""

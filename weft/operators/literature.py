@@ -123,7 +123,7 @@ def review(candidates: DataFrame, edges: DataFrame, evidence: DataFrame, log: Da
 
 
 def candidate_detail(candidates: DataFrame, evidence: DataFrame, edges: DataFrame, nodes: DataFrame, length: int = 280) -> DataFrame:
-    """Each candidate as a reviewer sees it: names, degrees and summaries of both ends, whether approving would MINT or ENRICH (for pending ones), evidence with negations first.
+    """Each candidate as a reviewer sees it: names, degrees and summaries of both ends, whether approving would MINT or ENRICH (for pending ones), evidence with negations first, then support, then hedges, by `extracted_at` within each if evidence has it, else by PMID.
 
     nodes: (node_id, name, summary); an end that isn't a node has its id as its name.
     """
@@ -133,7 +133,8 @@ def candidate_detail(candidates: DataFrame, evidence: DataFrame, edges: DataFram
     for side in ("subject", "object"):
         own = known.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), N.snippet(F.coalesce("summary", F.lit("")), length).alias(f"{side}_summary"), F.coalesce("degree", F.lit(0)).alias(f"{side}_degree"))
         out = out.join(own, f"{side}_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_id"))
-    lines = evidence.groupBy("triple_key").agg(F.transform(F.array_sort(F.collect_list(F.struct(_polarity_rank().alias("r"), "pmid", "polarity"))), lambda e: F.concat_ws(":", e["polarity"], e["pmid"])).alias("evidence"))
+    time = F.coalesce(F.col("extracted_at").cast("string"), F.lit("")) if "extracted_at" in evidence.columns else F.lit("")
+    lines = evidence.groupBy("triple_key").agg(F.transform(F.array_sort(F.collect_list(F.struct(_polarity_rank().alias("r"), time.alias("t"), "pmid", "polarity"))), lambda e: F.concat_ws(":", e["polarity"], e["pmid"])).alias("evidence"))
     return out.join(lines, "triple_key", "left")
 
 

@@ -11,7 +11,7 @@ from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.normalize import OPERATORS, query_tokens
+from weft.functions.normalize import OPERATORS, query_tokens, snippet
 from weft.scratch import written
 
 #: Fixed weights of a whole word and of a prefix.
@@ -62,6 +62,24 @@ def node_search(nodes: DataFrame, index: DataFrame, text: str, limit: int = 10)
     return found.join(nodes.select("key", "kind", "name"), "key").select("key", "kind", "name", "exact", "score").orderBy(F.desc("exact"), F.desc("score"), "key")
 
 
+#: Fixed shape of what a search tool answers: rows, decimals of a score.
+TOOL_ROWS, TOOL_DECIMALS = 20, 3
+
+
+def word_results(found: DataFrame) -> DataFrame:
+    """What the word-search tool answers of `node_search`: (kind, id, name) of the first TOOL_ROWS."""
+    return found.orderBy(F.desc("exact"), F.desc("score"), "key").limit(TOOL_ROWS).select("kind", F.col("key").alias("id"), "name")
+
+
+def meaning_results(found: DataFrame, nodes: DataFrame, length: int = 280) -> DataFrame:
+    """What the vector-search tool answers of `vector_search`: (kind, id, name, score, snippet), scores rounded, the nearest first.
+    nodes: (key, name, summary); one without a name is called by its id."""
+    named = found.join(nodes.select("key", "name", "summary"), "key", "left")
+    text = snippet(F.coalesce("summary", F.lit("")), length)
+    shaped = named.select("kind", F.col("key").alias("id"), F.coalesce("name", "key").alias("name"), F.round("score", TOOL_DECIMALS).alias("score"), text.alias("snippet"), F.col("score").alias("_s"))
+    return shaped.orderBy(F.desc("_s"), "id").drop("_s")
+
+
 def browse(df: DataFrame, prefix: str | None, filters: list[Column], key: str, column: str, limit: int = 100) -> DataFrame:
     """Rows whose column starts with the prefix (case ignored) and that pass all filters, by key; no prefix, no rows."""
     if not prefix:
