@@ -118,3 +118,14 @@ def test_regulations_associations_and_records(spark):
     assert rows(there) == [("G1", "7"), ("G3", "7")] and rows(back) == [("7", "G3.1")]
     loc = spark.createDataFrame([("U1", "nucleus:0.8|cytosol:0.9", "U2", "N/A:1.0|membrane:0.5"), ("U2", "nucleus:0.1", "U1", "nucleus:0.85")], "`Interactor A` string, `Major Loc A With Loc Score` string, `Interactor B` string, `Major Loc B With Loc Score` string")
     assert {r.uniprot_id: r.subcellular_locs for r in omics.locations(loc).collect()} == {"U1": ["cytosol", "nucleus"], "U2": ["membrane", "nucleus"]}
+
+
+def test_moved_edges_take_few_bytes(spark, tmp_path):
+    """Many new nodes of one old node: rows of the result are many, what they take where they are stored isn't."""
+    cross = spark.range(4000).selectExpr("-(id % 10) - 1 as old", "id * 37 as new")
+    e = spark.range(4000).selectExpr("'R' as rel", "-(xxhash64(id) % 10 + 10) % 10 - 1 as src", "id as dst").unionByName(spark.createDataFrame([("T", -1, 5), ("R", None, 6)], "rel string, src long, dst long"))
+    got = upsert.reroot(e, cross, "R")
+    got.write.parquet(f"{tmp_path}/moved")
+    back = spark.read.parquet(f"{tmp_path}/moved")
+    assert back.count() == 4000 * 400 + 1 and back.filter("rel = 'T'").count() == 1 and back.distinct().count() == back.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "moved").glob("*.parquet")) < 0.4 * 4000 * 400
