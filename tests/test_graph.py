@@ -141,3 +141,22 @@ def test_rings_move_the_frontier_only(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     again = traverse.walk(prepared, seeds(spark, "n00", "n29"))
     assert {(r.seed, r.key) for r in again[0].collect()} >= {("n00", "n28"), ("n00", "n29"), ("n29", "n00")}
+
+
+def test_one_walk_prepares_nothing(spark, monkeypatch):
+    """A walk that reads a graph once writes its edges once; what else it writes is near its seeds, however large the rest is."""
+    nodes = [*[(f"n{i}", "x", "n") for i in range(400)], ("z", "x", "n")]
+    edges = [("A", f"n{i}", f"n{i + 1}", 0.9) for i in range(399)] + [("A", "z", "n0", 0.9), ("S", "z", "n1")]
+    spec, sizes, plain_write = GraphSpec(relations={"S": Relation(constant=0.9, structural=True), "A": Relation(cap=2)}), [], traverse.written
+    n, e = graph(spark, nodes, edges)
+
+    def counting(df, *rest):
+        out = plain_write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "written", counting)
+    monkeypatch.setattr(traverse, "bucketed", counting)
+    kept, _ = traverse.signal_decay(n, e, seeds(spark, "z"), spec, rings=2)
+    assert {r.key for r in kept.collect()} == {"z", "n0", "n1", "n2"}
+    assert sorted(sizes)[-1] == 401 and sorted(sizes)[-2] < 20

@@ -11,7 +11,7 @@ from weft.plans.model import GraphSpec, adjacency, compatible
 from weft.scratch import bucketed, written
 
 MAX_RINGS, BACKBONE_HOPS = 8, 4
-#: Rows of a frontier that are broadcast to the adjacency; a larger one is joined by a shuffle.
+#: Rows of a frontier, and of the edges that it meets, that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -37,7 +37,8 @@ def bridges(spec: GraphSpec) -> F.Column:
 @dataclass(frozen=True)
 class Prepared:
     """A graph as walks read it, written once for many walks. bones: edges of structural relations, leaves: edges of the leaf relation, both in both
-    orientations; rings: of each node's edges those that its caps let through, with what a walk asks of the neighbour."""
+    orientations; rings: of each node's edges those that its caps let through, with what a walk asks of the neighbour. If `stored` is false,
+    rings are all edges, and a walk applies caps and looks up neighbours for the nodes that it comes to."""
 
     bones: DataFrame
     leaves: DataFrame
@@ -45,6 +46,23 @@ class Prepared:
     nodes: DataFrame
     spec: GraphSpec
     bridge: bool
+    stored: bool = True
+
+
+def _caps(spec: GraphSpec, bridge: bool) -> set[int]:
+    return {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if bridge else set())
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df`, written, and its number of rows."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def _of(df: DataFrame, column: str, keys: DataFrame, n: int) -> DataFrame:
+    """Rows whose `column` is among the n rows of `keys`: where these are broadcast, no other row of `df` is shuffled."""
+    return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, column, "left_semi")
 
 
 def prepare(nodes: DataFrame, edges: DataFrame, spec: GraphSpec, bridge: bool = False, buckets: int | None = None) -> Prepared:
@@ -55,16 +73,29 @@ def prepare(nodes: DataFrame, edges: DataFrame, spec: GraphSpec, bridge: bool =
     side = adj.filter(F.col("rel").isin(*structural, spec.leaf_relation or ""))
     side = written(side.select("from", "to", "rel", "src", "dst", "cond"))
     known = written(nodes.select("key", "kind", "name", "locs", "degree"))
-    caps = {r.cap for r in spec.relations.values() if r.cap} | ({spec.bridge_cap} if bridge else set())
     to = known.select(F.col("key").alias("to"), F.col("kind").alias("to_kind"), F.col("locs").alias("to_locs"), "degree", "name")
     n = buckets or int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rings = bucketed(capped(adj, ["from"], caps).drop("rank", "cap").join(to, "to"), n, "from")
+    rings = bucketed(capped(adj, ["from"], _caps(spec, bridge)).drop("rank", "cap").join(to, "to"), n, "from")
     return Prepared(side.filter(F.col("rel").isin(*structural)), side.filter(F.col("rel") == (spec.leaf_relation or "")), rings, known, spec, bridge)
 
 
 def signal_decay(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, spec: GraphSpec, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, bridge: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:
-    """`walk` over a graph that is prepared for this one call."""
-    return walk(prepare(nodes, edges, spec, bridge), seeds, decay, min_signal, max_nodes, compartment_filter, rings)
+    """`walk` for one call: edges are written once as they are, and every step takes from them what its frontier meets, so neither both orientations nor
+    neighbours are shuffled for the whole graph. Nodes are written if the walk asks for more than their kinds."""
+    asked = ["key", "kind", *(["locs"] if compartment_filter else []), *(["degree", "name"] if bridge else [])]
+    known = written(nodes.select(*asked)) if len(asked) > 2 else nodes.select(*asked)
+    adj = adjacency(written(edges.select("rel", "src", "dst", "score", "tier")), spec, bridge)
+    structural = [name for name, r in spec.relations.items() if r.structural]
+    graph = Prepared(adj.filter(F.col("rel").isin(*structural)), adj.filter(F.col("rel") == (spec.leaf_relation or "")), adj, known, spec, bridge, stored=False)
+    return walk(graph, seeds, decay, min_signal, max_nodes, compartment_filter, rings)
+
+
+def _ring(graph: Prepared, frontier: DataFrame, n: int) -> DataFrame:
+    """What `prepare` writes as rings, for the nodes of the frontier only."""
+    near, m = _counted(capped(_of(graph.rings, "from", frontier.select("from"), n), ["from"], _caps(graph.spec, graph.bridge)).drop("rank", "cap"))
+    names = {"key": "to", "kind": "to_kind", "locs": "to_locs"}
+    to = graph.nodes.select(*[F.col(c).alias(names.get(c, c)) for c in graph.nodes.columns])
+    return (F.broadcast(near) if m <= BROADCAST_ROWS else near).join(to, "to")
 
 
 def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: float = 0.05, max_nodes: int = 300, compartment_filter: bool = False, rings: int = MAX_RINGS) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +106,7 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
     cap, decay, floor, compartments; the next frontier is what was never expanded, without leaves that don't bridge. At the
     end pinned nodes stay and others by signal, up to max_nodes for each seed.
 
-    A ring is two writes: the edges that it follows, and the state (signals, what is expanded and what comes next), whose frontier is counted in the same pass.
+    A ring writes the open frontier, the edges that it follows, and the state (signals, what is expanded and what comes next), and counts rows as it writes them.
     """
     spec, known = graph.spec, graph.nodes
     steps: list[DataFrame] = []
@@ -93,7 +124,6 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
         return put(both.withColumn("front", F.col("front") & ~F.col("done")))
 
     def followed(frontier: DataFrame, n: int, over: DataFrame) -> DataFrame:
-        frontier = frontier.select("seed", F.col("key").alias("from"), "signal", "pinned")
         met = over.join(F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier, "from")
         return met.withColumn("new", F.col("signal") * decay * F.col("cond"))
 
@@ -102,7 +132,8 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
         return step
 
     yes = F.lit(True)
-    found = seeds.join(known.select("key"), "key", "left_semi").select("seed", "key").distinct()
+    asked, n = _counted(seeds.select("seed", "key").distinct())
+    found = asked.join(_of(known.select("key"), "key", asked.select("key"), n).distinct(), "key", "left_semi")
     state, n = put(found.select("seed", "key", F.lit(1.0).alias("signal"), yes.alias("pinned"), F.lit(False).alias("done"), yes.alias("front")))
     found = state.select("seed", "key")
     structural = [name for name, r in spec.relations.items() if r.structural]
@@ -110,13 +141,14 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
         for _ in range(BACKBONE_HOPS):
             if not n:
                 break
-            step = record(written(followed(state.filter("front"), n, graph.bones)))
+            frontier = state.filter("front").select("seed", F.col("key").alias("from"), "signal")
+            step = record(written(followed(frontier, n, _of(graph.bones, "from", frontier.select("from"), n))))
             state, n = merged(state, step, yes, yes)
     if spec.leaf_relation:
-        hosts = state.join(known.filter(F.col("kind") == spec.leaf_host).select("key"), "key", "left_semi").select("seed", F.col("key").alias("from"), "signal")
-        leaves = graph.leaves.join(hosts, "from").join(known.filter(F.col("kind") == spec.leaf_kind).select(F.col("key").alias("to")), "to", "left_semi")
-        order = Window.partitionBy("seed", "from").orderBy("to")
-        leaves = leaves.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= spec.leaf_cap).withColumn("new", F.col("signal") * decay * F.col("cond"))
+        hosts, n = _counted(state.join(known.filter(F.col("kind") == spec.leaf_host).select("key"), "key", "left_semi").select("seed", F.col("key").alias("from"), "signal"))
+        leaves = _of(graph.leaves, "from", hosts.select("from"), n).join(known.filter(F.col("kind") == spec.leaf_kind).select(F.col("key").alias("to")), "to", "left_semi")
+        order = Window.partitionBy("from").orderBy("to")
+        leaves = followed(hosts, n, leaves.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= spec.leaf_cap))
         state, _ = merged(state, record(written(leaves)), yes, F.lit(False))
 
     state = state.select("seed", "key", "signal", "pinned", F.lit(False).alias("done")).join(F.broadcast(found.withColumn("front", yes)), ["seed", "key"], "left").withColumn("front", F.coalesce("front", F.lit(False)))
@@ -125,10 +157,13 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
         if not n:
             break
         open_seeds = state.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < max_nodes).select("seed")
-        frontier = state.filter("front").join(F.broadcast(open_seeds), "seed", "left_semi")
-        step = followed(frontier, n, graph.rings).filter(F.col("new") >= min_signal)
+        frontier, n = _counted(state.filter("front").join(F.broadcast(open_seeds), "seed", "left_semi").select("seed", F.col("key").alias("from"), "signal", "pinned"))
+        if not n:
+            break
+        step = followed(frontier, n, graph.rings if graph.stored else _ring(graph, frontier, n)).filter(F.col("new") >= min_signal)
         if compartment_filter:
-            step = step.join(known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs")), "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs")))
+            own = _of(known.select(F.col("key").alias("from"), F.col("locs").alias("from_locs")), "from", frontier.select("from"), n)
+            step = step.join(own, "from", "left").filter(~F.col("compartments") | compatible(F.col("from_locs"), F.col("to_locs")))
         step = record(written(step.drop("to_locs")))
         passes = yes if spec.leaf_kind is None else (F.col("to_kind") != spec.leaf_kind) | (bridges(spec) if graph.bridge else F.lit(False))
         state, n = merged(state, step, F.col("structural") & F.col("pinned"), passes)
@@ -136,13 +171,15 @@ def walk(graph: Prepared, seeds: DataFrame, decay: float = 0.7, min_signal: floa
     trim = Window.partitionBy("seed", "pinned").orderBy(F.desc("signal"), "key")
     pins = Window.partitionBy("seed")
     kept = state.withColumn("rn", F.row_number().over(trim)).withColumn("np", F.sum(F.col("pinned").cast("int")).over(pins)).filter(F.col("pinned") | (F.col("rn") <= max_nodes - F.col("np")))
-    kept = written(kept.select("seed", "key", "signal", "pinned"))
+    kept, n = _counted(kept.select("seed", "key", "signal", "pinned"))
     recorded = steps[0] if steps else graph.rings.select(F.lit("").alias("seed"), "rel", "src", "dst").limit(0)
     for step in steps[1:]:
         recorded = recorded.unionByName(step)
     within = recorded.distinct().join(kept.select("seed", F.col("key").alias("src")), ["seed", "src"], "left_semi").join(kept.select("seed", F.col("key").alias("dst")), ["seed", "dst"], "left_semi")
     if compartment_filter:
         tied = [name for name, r in spec.relations.items() if r.compartments]
-        ends = within.join(known.select(F.col("key").alias("src"), F.col("locs").alias("a")), "src", "left").join(known.select(F.col("key").alias("dst"), F.col("locs").alias("b")), "dst", "left")
+        own = _of(known.select("key", "locs"), "key", kept.select("key"), n)
+        ends = within.join(own.select(F.col("key").alias("src"), F.col("locs").alias("a")), "src", "left").join(own.select(F.col("key").alias("dst"), F.col("locs").alias("b")), "dst", "left")
         within = ends.filter(~F.col("rel").isin(*tied) | compatible(F.col("a"), F.col("b")))
+    kept = F.broadcast(kept) if n <= BROADCAST_ROWS else kept
     return kept.join(known.select("key", "kind"), "key").select("seed", "key", "kind", "signal", "pinned"), within.select("seed", "rel", "src", "dst")
