@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import index, literature, search
 
@@ -89,3 +90,13 @@ def test_evidence_in_order_of_polarity_and_time(spark):
     nodes = spark.createDataFrame([("s", "S", "x")], "node_id string, name string, summary string")
     detail = lambda evidence: literature.candidate_detail(c, evidence, edges, nodes).first().evidence
     assert detail(e) == ["negate:9", "affirm:3", "affirm:1", "hedge:2"] and detail(e.drop("extracted_at")) == ["negate:9", "affirm:1", "affirm:3", "hedge:2"]
+
+
+def test_a_word_of_all_nodes_is_split(spark, tmp_path, monkeypatch):
+    """Postings of a word that every node has lie in several files, each posting in one row."""
+    monkeypatch.setattr(index, "PART", 4000, raising=False)
+    nodes = spark.range(20000).selectExpr("concat('k', id) as key", "'common common' as name")
+    index.build(nodes.unionByName(nodes.filter("key = 'k7'")), f"{tmp_path}/i", "key", ["name"])
+    got = index.load(spark, f"{tmp_path}/i")
+    assert got.count() == 20000 and {(r.tf, r["count"]) for r in got.groupBy("tf").count().collect()} == {(2, 19999), (4, 1)}
+    assert max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect()) < 10000

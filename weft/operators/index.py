@@ -7,18 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.search import token_index
+from weft.operators.search import tokens
 
 #: The field of whole symbols, whose tokens are upper-cased behind a mark that no word begins with.
 SYMBOL, MARK = "=symbol", "="
 MANIFEST = "generation long, base boolean, path string"
 #: Replaced keys up to this number go to every task.
 BROADCAST_ROWS = 1 << 20
+#: Fields of nodes, or postings, whose words a task sorts: the more there are, the more tasks, so none grows with the index.
+PART = 1 << 17
 
 
 def postings(nodes: DataFrame, key: str, fields: list[str], symbol: str | None) -> DataFrame:
-    """(token, key, field, tf) of the words of all fields, and each node's whole symbol as one token."""
-    words = token_index(nodes, key, fields)
+    """(token, key, field, tf) of the words of all fields, one by one, and each node's whole symbol as one token."""
+    words = tokens(nodes, key, fields).select("token", "key", "field", F.lit(1).cast("long").alias("tf"))
     if symbol is None:
         return words
     whole = nodes.filter(F.col(symbol).isNotNull()).select(F.concat(F.lit(MARK), F.upper(symbol)).alias("token"), F.col(key).alias("key"), F.lit(SYMBOL).alias("field"), F.lit(1).cast("long").alias("tf"))
@@ -39,9 +41,12 @@ def segments(spark: SparkSession, path: str) -> list[tuple[int, bool, str]]:
     return rows[last:]
 
 
-def _add(spark: SparkSession, path: str, rows: DataFrame, replaced: DataFrame | None, generation: int, base: bool) -> None:
+def _add(spark: SparkSession, path: str, rows: DataFrame, replaced: DataFrame | None, generation: int, base: bool, size: int) -> None:
+    """Writes a segment. Ranges are of tokens and keys, since a word that all nodes have doesn't fit one task; they also are what a posting's rows are
+    summed in, so nothing is grouped where nodes are read."""
     own = f"{path}/{generation:06d}-{uuid.uuid4().hex}"
-    rows.repartitionByRange("token").sortWithinPartitions("token", "key").write.parquet(f"{own}/postings")
+    summed = rows.repartitionByRange(size // PART + 1, "token", "key").groupBy("token", "key", "field").agg(F.sum("tf").alias("tf"))
+    summed.sortWithinPartitions("token", "key").write.parquet(f"{own}/postings")
     if replaced is not None:
         replaced.write.parquet(f"{own}/replaced")
     spark.createDataFrame([(generation, base, own)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
@@ -51,7 +56,7 @@ def build(nodes: DataFrame, path: str, key: str, fields: list[str], symbol: str
     """Writes the index of all nodes: range-partitioned and sorted by token, so that Parquet skips what a search doesn't ask for."""
     spark = nodes.sparkSession
     known = segments(spark, path)
-    _add(spark, path, postings(nodes, key, fields, symbol), None, known[-1][0] + 1 if known else 0, True)
+    _add(spark, path, postings(nodes, key, fields, symbol), None, known[-1][0] + 1 if known else 0, True, nodes.count() * len(fields))
 
 
 def merge(changed: DataFrame, path: str, key: str, fields: list[str], symbol: str | None = None, deleted: DataFrame | None = None) -> None:
@@ -60,7 +65,7 @@ def merge(changed: DataFrame, path: str, key: str, fields: list[str], symbol: st
     keys = changed.select(F.col(key).alias("key"))
     if deleted is not None:
         keys = keys.unionByName(deleted.select(F.col(key).alias("key")))
-    _add(spark, path, postings(changed, key, fields, symbol), keys.distinct(), segments(spark, path)[-1][0] + 1, False)
+    _add(spark, path, postings(changed, key, fields, symbol), keys.distinct(), segments(spark, path)[-1][0] + 1, False, changed.count() * len(fields))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +88,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def compact(spark: SparkSession, path: str) -> None:
     """Writes all that counts as a new base; older segments are no longer read."""
-    _add(spark, path, load(spark, path), None, segments(spark, path)[-1][0] + 1, True)
+    rows = load(spark, path)
+    _add(spark, path, rows, None, segments(spark, path)[-1][0] + 1, True, rows.count())
 
 
 def exact(index: DataFrame, text: str) -> DataFrame:

@@ -18,13 +18,18 @@ from weft.scratch import written
 EXACT, PREFIX = 4.0, 1.0
 
 
-def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Inverted index (token, key, field, tf): written once, searched by equality or prefix of the token, which Parquet prunes when sorted by it."""
+def tokens(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, token) of every word of the fields, repeats included."""
     rows = None
     for f in fields:
         one = df.select(F.col(key).alias("key"), F.lit(f).alias("field"), F.explode(query_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("token"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("token", "key", "field").agg(F.count(F.lit(1)).alias("tf"))
+    return rows
+
+
+def token_index(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Inverted index (token, key, field, tf): written once, searched by equality or prefix of the token, which Parquet prunes when sorted by it."""
+    return tokens(df, key, fields).groupBy("token", "key", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _words(text: str) -> list[str]:
