@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,32 @@ def test_nearest_of_ties_and_lengths(spark):
     for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {0: [3, 5, 6, 7, 8], 50: [61]}
+
+
+def test_nearest_answers_once_a_cell():
+    """Nearly random vectors: no replicas, since these are only read more often, and k + 1 answers of a cell however many of its lists a query visits."""
+    x = unit(np.random.default_rng(12).normal(size=(3000, 64))).astype(np.float32)
+    counts = []
+    for n in (3000, 15000):
+        index = neighbours.fit(x, n)
+        assert index["replicas"] == 1
+        asked = pa.RecordBatch.from_arrays([pa.array(np.arange(60)), pa.array(list(x[:60].astype(float)))], ["id", "v"])
+        counts.append(sum(b.num_rows for b in neighbours._visits(index, [asked])))
+    assert counts[0] <= 60 * 23 and counts[1] <= 60 * neighbours.CELLS
+    rng = np.random.default_rng(13)
+    v, q = rng.normal(size=(400, 8)), rng.normal(size=(20, 8))
+    lists = np.sort(rng.integers(0, 9, 400))
+    visited = [sorted(rng.choice(9, 5, replace=False).tolist()) for _ in q]
+    fields = ["d", "cell", "e", "query", "list", "lists", "id", "v"]
+
+    def rows(n, query, which, own, ids, vectors):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 8, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array([query] * n), pa.array(which), pa.array(own, pa.list_(pa.int64())), pa.array(ids), pa.array(list(vectors))], fields)
+
+    first, rest = rows(20, True, np.full(20, -2), visited, 1000 + np.arange(20), q), rows(400, False, lists, [None] * 400, np.arange(400), v)
+    twice = rows(30, False, np.full(30, 9), [None] * 30, np.arange(30), v[:30])  # replicas in a list that nobody visits
+    got = pa.Table.from_batches(list(neighbours._nearest(5, [first, rest.slice(0, 150), rest.slice(150), twice]))).to_pylist()
+    assert len(got) == 20 * 6
+    near = unit(q) @ unit(v).T
+    for i in range(20):
+        own = np.flatnonzero(np.isin(lists, visited[i]))
+        assert [r["c"] for r in got if r["q"] == 1000 + i] == own[np.argsort(-near[i, own])][:6].tolist()
