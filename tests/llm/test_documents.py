@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.llm import minhash, mixing, packing, pii, quality, substring
@@ -435,3 +436,26 @@ def test_apportionment(spark):
         df = spark.createDataFrame([(i, v, seats) for i, v in votes], "i int, v double, s long")
         got = {r.i: r.out for r in mixing.apportion(df, [], "v", "s", [F.col("i").asc()], "out").collect()}
         assert got == {i: sum(x == i for _, x in quotients) for i, v in votes if v}
+
+
+def test_verify_aligns_only_what_may_hold_a_passage(monkeypatch):
+    """Pairs of ranges that share fewer shingles than two shortest passages do are dropped by counting, all others are compared as before."""
+    rng = np.random.default_rng(7)
+    sides, expected = [], []
+    for k in range(200):
+        a = rng.integers(0, 1 << 32, 100).astype(np.uint32)
+        b = np.concatenate([rng.integers(0, 1 << 32, 20).astype(np.uint32), a[: 60 if k % 4 == 0 else 20]])
+        if k % 8 == 0:
+            b = np.insert(b, 50, 1)  # not on one diagonal
+        sides.append((a, b))
+        expected += [(k, s, e) for s, e, *_ in substring.passages(a, b, 46, 75, 100)]
+    calls = []
+    true = substring.aligned
+    monkeypatch.setattr(substring, "aligned", lambda *x: calls.append(1) or true(*x))
+    n = len(sides)
+    fields = {"id": pa.array(np.arange(n)), "hub": pa.array(np.arange(n) + n), "delta": pa.array(np.zeros(n, np.int64)), "lo": pa.array(np.zeros(n, np.int64)), "lo2": pa.array(np.zeros(n, np.int64)), "own": pa.array([a.tobytes() for a, _ in sides]), "other": pa.array([b.tobytes() for _, b in sides])}
+    got = pa.Table.from_batches(list(substring._verify(46, 75, 100, [pa.RecordBatch.from_pydict(fields)]))).to_pylist()
+    assert [(r["id"], r["s"], r["e"]) for r in got if r["id"] < n] == expected and len({k for k, *_ in expected}) == 50
+    assert len(calls) <= 50
+    repeats = [np.array(x, np.uint32) for x in ([7] * 40 + [8] * 5, [7] * 2 + [8] * 50)]
+    assert substring._common(pa.array([repeats[0].tobytes(), b""]), pa.array([repeats[1].tobytes(), b"abcd"])).tolist() == [7, 0]

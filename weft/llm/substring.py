@@ -18,6 +18,8 @@ from weft.llm.common import by_group, mix, shingle_hashes, slices, word_hashes,
 WORDS, LEAST, HASHES = 5, 50, 3
 #: Rounds of comparing with one member of each group, before what is left is compared in pairs of blocks of so many members.
 ROUNDS, MEMBERS = 2, 512
+#: Pairs of members that are held against each other at once.
+TOGETHER = 512
 #: Shingles by which inserted and deleted words may move the two sides of a passage against each other around an anchor.
 SHIFT = 16
 
@@ -113,19 +115,26 @@ def _scan(least: int, count: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(np.diff(at).astype(np.int64)), seq, windows], ["id", "digest", "words", "seq", "windows"])
 
 
-def aligned(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+def _met(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of b by shingle, then place, and for each place of a where its equals begin and end in there."""
+    kept = np.sort(b.astype(np.uint64) << np.uint64(32) | np.arange(len(b), dtype=np.uint64))
+    own = a.astype(np.uint64) << np.uint64(32)
+    return kept, np.searchsorted(kept, own), np.searchsorted(kept, own | np.uint64(0xFFFFFFFF), "right")
+
+
+def aligned(a: np.ndarray, b: np.ndarray, offset: int, met: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places i of a and j of b with equal shingles, both ascending, near the diagonal j = i + offset: a longest such chain,
     each i with its nearest j, so that inserted and deleted words move the diagonal instead of ending the passage."""
-    order = np.argsort(b, kind="stable")
-    kept = b[order]
-    low, high = np.searchsorted(kept, a, "left"), np.searchsorted(kept, a, "right")
+    kept, low, high = met or _met(a, b)
     i = np.flatnonzero(high > low)
     if not len(i):
         return i, i
-    # of equal shingles in b (ascending places) the one nearest to the diagonal
-    nearest = np.searchsorted(kept.astype(np.uint64) << np.uint64(32) | order.astype(np.uint64), a[i].astype(np.uint64) << np.uint64(32) | np.maximum(0, i + offset).astype(np.uint64))
-    after, before = order[np.clip(nearest, low[i], high[i] - 1)], order[np.clip(nearest - 1, low[i], high[i] - 1)]
-    j = np.where(np.abs(after - i - offset) < np.abs(before - i - offset), after, before)
+    order, first, last = (kept & np.uint64(0xFFFFFFFF)).astype(np.int64), low[i], high[i] - 1
+    j = order[first]
+    if (last > first).any():  # of equal shingles in b (ascending places) the one nearest to the diagonal
+        nearest = np.searchsorted(kept, a[i].astype(np.uint64) << np.uint64(32) | np.maximum(0, i + offset).astype(np.uint64))
+        after, before = order[np.clip(nearest, first, last)], order[np.clip(nearest - 1, first, last)]
+        j = np.where(np.abs(after - i - offset) < np.abs(before - i - offset), after, before)
     if (np.diff(j) > 0).all():
         return i, j
     tails: list[int] = []
@@ -157,24 +166,35 @@ def passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offse
             s, e = int(same[0]), int(same[-1]) + 1
             if e - s >= length and e - s + SHIFT >= min(len(a), len(b)) and of * len(same) >= top * (2 * (e - s) - len(same)):
                 return [(lo + s, lo + e, lo + offset + s, lo + offset + e)]
-    found = _aligned_passages(a, b, length, top, of, offset)
+    kept, low, high = met = _met(a, b)
+    there = np.flatnonzero(high > low)
+    if len(there) < _needed(length, top, of):
+        return []
+    found = _aligned_passages(a, b, length, top, of, offset, met)
     if not found:
-        there, here = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-        if len(there) and len(there) + len(here) > 2 * len(np.unique(a[there])):  # shingles repeat: other diagonals fit as well
-            for k in (0, -1):
-                found = found or _aligned_passages(a, b, length, top, of, int(here[k] - there[k]))
+        values, first = np.unique(low[there], return_index=True)
+        last = high[there[first]]
+        if len(there) + (last - values).sum() > 2 * len(values):  # shingles repeat: other diagonals fit as well
+            place = kept & np.uint64(0xFFFFFFFF)  # ascending within a shingle
+            for k, here in ((0, place[values].min()), (-1, place[last - 1].max())):
+                found = found or _aligned_passages(a, b, length, top, of, int(here) - int(there[k]), met)
     return found
 
 
-def _aligned_passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int) -> list[tuple[int, int, int, int]]:
-    i, j = aligned(a, b, offset)
+def _needed(length: int, top: int, of: int) -> int:
+    """Equal shingles of two shortest passages."""
+    return -(-2 * length * top // (top + of))
+
+
+def _aligned_passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: int, offset: int, met: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    i, j = aligned(a, b, offset, met)
     if not len(i):
         return []
     cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
     out: list[tuple[int, int, int, int]] = []
     reach = -1
-    needed = -(-2 * length * top // (top + of))  # equal shingles of two shortest passages
+    needed = _needed(length, top, of)
     for k in range(len(first)):
         if reach == len(first) - 1 or len(i) - first[k] < needed:
             break
@@ -187,9 +207,27 @@ def _aligned_passages(a: np.ndarray, b: np.ndarray, length: int, top: int, of: i
     return out
 
 
+def _common(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """How many shingles, as multisets, the ranges of each row have in common: no chain of equal ones is longer."""
+    sides = []
+    for given in (one, two):
+        given = given.cast(pa.large_binary())
+        ends = np.frombuffer(given.buffers()[1], np.int64)[given.offset : given.offset + len(given) + 1] // 4
+        key = np.frombuffer(given.buffers()[2], np.uint32)[ends[0] : ends[-1]].astype(np.uint64) | np.repeat(np.arange(len(given), dtype=np.uint64), np.diff(ends)) << np.uint64(32)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        sides.append((key[first], np.diff(np.append(first, len(key)))))
+    (x, n), (y, m) = sides
+    if not len(x) or not len(y):
+        return np.zeros(len(one))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return np.bincount((x >> np.uint64(32)).astype(np.int64), np.where(y[at] == x, np.minimum(n, m[at]), 0), len(one))
+
+
 def _verify(length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
+        batch = batch.filter(pa.array(_common(batch.column("own"), batch.column("other")) >= _needed(length, top, of)))
         offsets = (batch.column("lo").to_numpy() - batch.column("delta").to_numpy() - batch.column("lo2").to_numpy()).tolist()
         for i, (x, y) in enumerate(zip(batch.column("own"), batch.column("other"), strict=True)):
             a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
@@ -204,9 +242,8 @@ def _verify(length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -
 
 def _numbered(near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of some ranges and the range each is in; a range's k-th occurrence of a shingle differs from its first."""
-    value, row = np.concatenate(near).astype(np.uint64), np.repeat(np.arange(len(near)), [len(x) for x in near])
-    order = np.lexsort((value, row))
-    v, r = value[order], row[order]
+    key = np.sort(np.concatenate(near).astype(np.uint64) | np.repeat(np.arange(len(near), dtype=np.uint64), [len(x) for x in near]) << np.uint64(32))
+    v, r = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)).astype(np.int64)
     fresh = np.ones(len(v), bool)
     fresh[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     at = np.arange(len(v))
@@ -283,6 +320,18 @@ def _long_enough(weights: np.ndarray, length: int) -> np.ndarray:
     return ((total[:, length - 1 :] >= least) & (weights[:, length - 1 :] == 1)).any(1)
 
 
+def _alike(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may hold similar ranges: each range has 3 of 4 shingles in common with the other, the shorter one 6 of 7."""
+    here = other[1][right[:, None], own[0][left]]
+    good = _long_enough(np.maximum(here, -3), length)
+    left, right, here = left[good], right[good], here[good]
+    there = own[1][left[:, None], other[0][right]]
+    good = _long_enough(np.where(there < -6, there, np.maximum(there, -3)), length)
+    left, right, here, there = left[good], right[good], here[good], there[good]
+    good = _long_enough(here, length) | _long_enough(there, length)
+    return left[good], right[good]
+
+
 def _pairs(least: int, length: int, top: int, of: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares the members of two blocks of a group (without a second, of the first): for each one left over the passages that it shares
     with the first other member, most shared shingles first, that it shares one with. Pairs don't leave the task.
@@ -310,20 +359,22 @@ def _pairs(least: int, length: int, top: int, of: int, batches: Iterator[pa.Reco
             for x, y, own, other, left, right in ((sides[0], sides[-1], places[0], places[-1], p, q), (sides[-1], sides[0], places[-1], places[0], q, p))[: 1 if same[k] else 2]:
                 order = np.lexsort((-shared, left))
                 left, right = left[order], right[order]
-                for a, b in zip(*(np.searchsorted(left, np.arange(len(x[0])), side) for side in ("left", "right")), strict=True):
-                    if a == b or not x[3][left[a]]:
-                        continue
-                    i, near = left[a], right[a:b]
-                    n = len(x[4][i])
-                    if 4 * top >= 3 * of:
-                        here, there = other[1][near][:, own[0][i, :n]], own[1][i][other[0][near]]
-                        near = near[_long_enough(np.maximum(here, -3), length) & _long_enough(np.where(there < -6, there, np.maximum(there, -3)), length) & (_long_enough(here, length) | _long_enough(there, length))]
-                    for j in near.tolist():
+                first = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)) if len(left) else np.zeros(1, np.int64)
+                c = 0
+                while c < len(first) - 1:  # the partners of some members at a time
+                    stop = max(c + 1, int(np.searchsorted(first, first[c] + TOGETHER, "right")) - 1)
+                    part = slice(first[c], first[stop])
+                    l, r = (v[part][x[3][left[part]]] for v in (left, right))
+                    c = stop
+                    if 4 * top >= 3 * of and len(l):
+                        l, r = _alike(own, other, l, r, length)
+                    for i, j in zip(l.tolist(), r.tolist(), strict=True):
+                        if not x[3][i]:
+                            continue
                         found = passages(x[4][i], y[4][j], length, top, of, int(y[1][j] - x[1][i]))
                         if found:
                             x[3][i] = y[3][j] = False
                             out += [(x[0][i], y[0][j], s + x[2][i], e + x[2][i]) for s, e, *_ in found] + [(y[0][j], x[0][i], s + y[2][j], e + y[2][j]) for *_, s, e in found]
-                            break
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(out, np.int64).T], ["id", "other", "s", "e"])
 
