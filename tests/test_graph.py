@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.operators import paths, traverse
-from weft.plans import model
+from weft.plans import model, star
 from weft.plans.model import EDGES, NODES, OMICS, GraphSpec, Relation
 
 
@@ -160,3 +160,15 @@ def test_one_walk_prepares_nothing(spark, monkeypatch):
     kept, _ = traverse.signal_decay(n, e, seeds(spark, "z"), spec, rings=2)
     assert {r.key for r in kept.collect()} == {"z", "n0", "n1", "n2"}
     assert sorted(sizes)[-1] == 401 and sorted(sizes)[-2] < 20
+
+
+def test_capped_in_parts(spark, monkeypatch, tmp_path):
+    """However many tasks deal with them, a hub's best edges are the same, and tasks follow the number of lines."""
+    rows = [("hub", f"n{i:04d}", "r", float(i % 37), 5) for i in range(900)] + [(f"n{i:04d}", "hub", "r", 1.0, 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "from string, to string, rel string, rank double, cap int")
+    once, dealt = (sorted(map(tuple, traverse.capped(df, ["from"], {5}, parts).collect())) for parts in (None, 7))
+    assert once == dealt and len(once) == 905
+    assert traverse.capped(df, ["from"], {5}, 7).rdd.getNumPartitions() >= 7
+    spark.range(100).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(star, "PART", 30)
+    assert star.parts(spark, str(tmp_path)) == 4

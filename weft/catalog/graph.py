@@ -89,8 +89,9 @@ def edge_conductance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = adjacency(star.edges(spark, sf_dir).filter("rel = 'SUPPLIER_PART'"), star.SPEC)
-    return traverse.capped(a, ["from"], {25}).select("from", "to", "rank")
+    parts = star.parts(spark, sf_dir)
+    a = adjacency(star.edges(spark, sf_dir, parts).filter("rel = 'SUPPLIER_PART'"), star.SPEC)
+    return traverse.capped(a, ["from"], {25}, parts).select("from", "to", "rank")
 
 
 def multi_seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,21 @@ MAX_RINGS, BACKBONE_HOPS = 8, 4
 BROADCAST_ROWS = 1 << 20
 
 
-def capped(candidates: DataFrame, group: list[str], caps: set[int]) -> DataFrame:
+def capped(candidates: DataFrame, group: list[str], caps: set[int], parts: int | None = None) -> DataFrame:
     """Of each group's edges of one relation the best `cap` (rank down, neighbour up); relations without a cap pass.
 
     Ranks are first held against the largest cap: with a constant bound Spark limits groups before the shuffle, so a hub's
-    edges don't all travel.
+    edges don't all travel. `parts`: tasks that edges are dealt to, a hub's by their neighbour before its best ones meet.
     """
     if not caps:
         return candidates.filter("cap is null")
     order = Window.partitionBy(*group, "rel").orderBy(F.desc("rank"), "to")
-    ranked = candidates.filter("cap is not null").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(caps))
+    given = candidates.filter("cap is not null")
+    if parts and parts > 1:
+        part = Window.partitionBy(*group, "rel", "_part").orderBy(F.desc("rank"), "to")
+        dealt = given.withColumn("_part", F.pmod(F.xxhash64("to"), F.lit(parts))).repartition(parts, *group, "rel", "_part")
+        given = dealt.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= max(caps)).drop("_part", "_rn").repartition(parts, *group, "rel")
+    ranked = given.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max(caps))
     return candidates.filter("cap is null").unionByName(ranked.filter(F.col("_rn") <= F.col("cap")).drop("_rn"))
 
 

@@ -49,8 +49,17 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rel, src, dst, score, tier); a pair of an order and a part counts as literature if all its lines were returned."""
+#: Lines that a task deals with at most, where tasks follow the input.
+PART = 1 << 19
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for all lines."""
+    return table(spark, sf_dir, "lineitem").count() // PART + 1
+
+
+def edges(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """(rel, src, dst, score, tier); a pair of an order and a part counts as literature if all its lines were returned. `parts`: tasks that suppliers' lines are dealt to."""
     t = lambda name: table(spark, sf_dir, name)
     key = lambda mark, column: F.concat(F.lit(mark), F.col(column).cast("string"))
     none, no_tier = F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("tier")
@@ -60,7 +69,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = t("lineitem")
     order_part = lines.groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("score"), F.when(F.bool_and(F.col("l_returnflag") == "R"), "literature").alias("tier"))
-    supplier_part = lines.groupBy("l_suppkey", "l_partkey").agg((1 - F.max("l_discount")).alias("score"))
+    supplied = lines.repartition(parts, "l_suppkey", "l_partkey") if parts and parts > 1 else lines
+    supplier_part = supplied.groupBy("l_suppkey", "l_partkey").agg((1 - F.max("l_discount")).alias("score"))
     out = rel(t("nation"), "REGION_NATION", key("R:", "n_regionkey"), key("N:", "n_nationkey"))
     for x in (
         rel(t("supplier"), "NATION_SUPPLIER", key("N:", "s_nationkey"), key("S:", "s_suppkey")),
